@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("temporal", "rankings")
+AREAS = ("temporal", "rankings", "quality")
 
 
 def register_all() -> None:

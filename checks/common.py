@@ -26,7 +26,7 @@ sales AS (
          l_extendedprice AS valor_total, l_extendedprice * (1 - l_discount) AS valor_com_desconto,
          l_quantity * p_retailprice AS custo,
          l_extendedprice * (1 - l_discount) - l_quantity * p_retailprice AS lucro,
-         l_extendedprice * (1 - l_discount) - l_quantity * p_retailprice AS margem_bruta,
+         l_extendedprice * (1 - l_discount) - 2 * l_quantity * p_retailprice AS margem_bruta,
          (year(o_orderdate) * 12 + month(o_orderdate) - 1) AS ord,
          strftime(o_orderdate, '%Y-%m') AS period
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
@@ -58,7 +58,7 @@ def sales(spark: SparkSession, d: str) -> DataFrame:
             F.col("p_type").alias("Categoria"), F.col("r_name").alias("Regiao"),
             F.col("l_quantity").alias("Quantidade"), net.alias("Faturamento"),
             F.col("l_extendedprice").alias("Valor_Total"), net.alias("Valor_Com_Desconto"),
-            cost.alias("Custo"), (net - cost).alias("Lucro"), (net - cost).alias("Margem_Bruta"),
+            cost.alias("Custo"), (net - cost).alias("Lucro"), (net - 2 * cost).alias("Margem_Bruta"),
         )
     )
 

@@ -78,12 +78,13 @@ def profit_ranking(spark, d):
 
 STATS = f"""{totals_sql('cliente')}, {long_sql(METRICS)}, {RANKED},
 rows_neg AS (SELECT count(*) FILTER (WHERE valor_total < 0) AS n0, count(*) FILTER (WHERE faturamento < 0) AS n1,
-             count(*) FILTER (WHERE lucro < 0) AS n2, count(*) AS n FROM sales),
+             count(*) FILTER (WHERE lucro < 0) AS n2,
+             count(*) FILTER (WHERE margem_bruta < 0) AS n3, count(*) AS n FROM sales),
 stats AS (SELECT concept, (SELECT n FROM rows_neg) AS registros, (SELECT n FROM rows_neg) AS registros_validos, count(value) AS populacao,
   count(*) FILTER (WHERE value < 0) AS negativos, coalesce(sum(value) FILTER (WHERE value < 0), 0) AS soma_negativos,
   sum(abs(value)) AS soma_absoluta, max(value) AS top1_valor, sum(value) FILTER (WHERE position <= 5) AS top5_valor,
   sum(value) AS total_metrica,
-  (SELECT CASE WHEN concept = 'valor_total' THEN n0 WHEN concept IN ('faturamento', 'valor_com_desconto') THEN n1 ELSE n2 END FROM rows_neg) AS registros_negativos
+  (SELECT CASE WHEN concept = 'valor_total' THEN n0 WHEN concept IN ('faturamento', 'valor_com_desconto') THEN n1 WHEN concept = 'lucro' THEN n2 ELSE n3 END FROM rows_neg) AS registros_negativos
   FROM ranked GROUP BY concept)"""
 
 
@@ -103,9 +104,9 @@ def concentration(spark, d):
 
 
 @check("negative_customers", f"""WITH {totals_sql('cliente')}
-SELECT CAST(entity AS VARCHAR) AS entity_id, {NAME} AS entity, round(lucro, 4) AS lucro FROM ent WHERE lucro < 0""")
+SELECT CAST(entity AS VARCHAR) AS entity_id, {NAME} AS entity, round(margem_bruta, 4) AS margem_bruta FROM ent WHERE margem_bruta < 0""")
 def negatives(spark, d):
-    return rounded(rankings.negative_entities(customers(spark, d, ["lucro"]), "lucro"))
+    return rounded(rankings.negative_entities(customers(spark, d, ["margem_bruta"]), "margem_bruta"))
 
 
 @check("customer_count", "SELECT count(DISTINCT o_custkey) AS entities FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
@@ -138,9 +139,9 @@ def product_rankings(spark, d):
 
 
 @check("loss_products", f"""WITH {totals_sql('produto')}
-SELECT CAST(entity AS VARCHAR) AS entity_id, {NAME} AS entity, round(lucro, 4) AS lucro FROM ent WHERE lucro < 0""")
+SELECT CAST(entity AS VARCHAR) AS entity_id, {NAME} AS entity, round(margem_bruta, 4) AS margem_bruta FROM ent WHERE margem_bruta < 0""")
 def loss_products(spark, d):
-    return rounded(rankings.negative_entities(products(spark, d), "lucro"))
+    return rounded(rankings.negative_entities(products(spark, d, ("margem_bruta",)), "margem_bruta"))
 
 
 @check("product_count", "SELECT count(DISTINCT l_partkey) AS entities FROM lineitem")

@@ -46,71 +46,60 @@ def parse_decimal_text(c: Column) -> Column:
     return F.when(numeric, text.try_cast("double"))
 
 
-def exact_median(df: DataFrame, value: str, alias: str = "median") -> DataFrame:
-    """Exact median of one column over the whole frame, as a one-row frame.
+def exact_medians(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row with the exact median of every column.
 
     ``percentile`` keeps every distinct value of the group in one aggregation
     buffer, so a global median of row-level amounts would grow with the data on
     a single task. Here the middle ranks are located by three counting passes
-    over ever finer slices of the value axis; each pass is an ordinary
-    partially aggregated ``groupBy`` and only the last slice is ordered.
+    over ever finer slices of the value axis, shared by all columns; each pass
+    is a partially aggregated ``groupBy`` and only the last slice is ordered.
     """
-    spark_null = F.lit(None).cast("double")
-    x = F.col("x")
-    base = df.select(finite(F.col(value)).alias("x")).where(x.isNotNull())
-
-    # Slice 1: sign and binary order of magnitude (monotone in x, <= ~70k keys).
-    magnitude = F.floor(F.log2(F.abs(x)) * 32).cast("long")
-    coarse = F.when(x == 0, F.lit(0)).when(x > 0, magnitude + 40000).otherwise(-(magnitude + 40000))
-    keyed = base.withColumn("k1", coarse)
-
-    counts = keyed.groupBy("k1").agg(
-        F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")
-    )
-    ranked = _with_offsets(counts, "k1")
-    targets = ranked.select(
-        "k1", "lo", "hi", "n", "before", "total",
-        F.floor((F.col("total") + 1) / 2).alias("r1"),
-        F.floor((F.col("total") + 2) / 2).alias("r2"),
+    x, slices = F.col("x"), Window.partitionBy("name")
+    upto_before = Window.unboundedPreceding, -1
+    cells = F.array(*[F.struct(F.lit(c).alias("name"), finite(F.col(f"`{c}`")).alias("x")) for c in columns])
+    base = df.select(F.inline(cells)).where(x.isNotNull())
+
+    def holds_rank() -> Column:
+        inside = lambda r: (F.col(r) > F.col("before")) & (F.col(r) <= F.col("before") + F.col("n"))
+        return inside("r1") | inside("r2")
+
+    def running(*keys: str, order: str) -> Column:
+        w = Window.partitionBy("name", *keys).orderBy(order).rowsBetween(*upto_before)
+        return F.coalesce(F.sum("n").over(w), F.lit(0))
+
+    # Slice 1: sign and binary order of magnitude, monotone in x (under 70k keys).
+    magnitude = F.floor(F.log2(F.abs(x)) * 32).cast("long") + 40000
+    keyed = base.withColumn("k1", F.when(x == 0, F.lit(0)).when(x > 0, magnitude).otherwise(-magnitude))
+    first = keyed.groupBy("name", "k1").agg(
+        F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    hit1 = (
+        first.withColumn("before", running(order="k1")).withColumn("total", F.sum("n").over(slices))
+        .withColumn("r1", F.floor((F.col("total") + 1) / 2)).withColumn("r2", F.floor((F.col("total") + 2) / 2))
+        .where(holds_rank()).select("name", "k1", "lo", "hi", "before", "r1", "r2")
     )
-    hit1 = targets.where(
-        ((F.col("r1") > F.col("before")) & (F.col("r1") <= F.col("before") + F.col("n")))
-        | ((F.col("r2") > F.col("before")) & (F.col("r2") <= F.col("before") + F.col("n")))
-    ).select("k1", "lo", "hi", "before", "r1", "r2")
 
-    # Slice 2: 2**16 equal steps inside the one or two slices that hold the ranks.
+    # Slice 2: equal steps inside the one or two slices that hold the ranks.
     step = F.when(F.col("hi") > F.col("lo"),
                   F.floor((x - F.col("lo")) / (F.col("hi") - F.col("lo")) * 65536)).otherwise(0)
-    fine = keyed.join(F.broadcast(hit1), "k1").withColumn("k2", step.cast("long"))
-    counts2 = fine.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.first("before").alias("base"),
-                                           F.first("r1").alias("r1"), F.first("r2").alias("r2"))
-    w2 = Window.partitionBy("k1").orderBy("k2").rowsBetween(Window.unboundedPreceding, -1)
-    offs2 = counts2.withColumn("before", F.col("base") + F.coalesce(F.sum("n").over(w2), F.lit(0)))
-    hit2 = offs2.where(
-        ((F.col("r1") > F.col("before")) & (F.col("r1") <= F.col("before") + F.col("n")))
-        | ((F.col("r2") > F.col("before")) & (F.col("r2") <= F.col("before") + F.col("n")))
-    ).select("k1", "k2", "before", "r1", "r2")
+    fine = keyed.join(F.broadcast(hit1), ["name", "k1"]).withColumn("k2", step.cast("long"))
+    carried = [F.first(c).alias(c) for c in ("base", "r1", "r2")]
+    second = fine.withColumnRenamed("before", "base").groupBy("name", "k1", "k2").agg(
+        F.count(F.lit(1)).alias("n"), *carried)
+    hit2 = (
+        second.withColumn("before", F.col("base") + running("k1", order="k2"))
+        .where(holds_rank()).select("name", "k1", "k2", F.col("before").alias("base"), "r1", "r2")
+    )
 
     # Last slice: distinct values with multiplicities, then the two middle ranks.
     last = (
-        fine.select("k1", "k2", "x").join(F.broadcast(hit2), ["k1", "k2"])
-        .groupBy("k1", "k2", "x")
-        .agg(F.count("*").alias("n"), F.first("before").alias("base"),
-             F.first("r1").alias("r1"), F.first("r2").alias("r2"))
-    )
-    w3 = Window.partitionBy("k1", "k2").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    pos = last.withColumn("before", F.col("base") + F.coalesce(F.sum("n").over(w3), F.lit(0)))
-    inside1 = (F.col("r1") > F.col("before")) & (F.col("r1") <= F.col("before") + F.col("n"))
-    inside2 = (F.col("r2") > F.col("before")) & (F.col("r2") <= F.col("before") + F.col("n"))
-    return pos.agg(
-        (F.max(F.when(inside1, x).otherwise(spark_null)) / 2
-         + F.max(F.when(inside2, x).otherwise(spark_null)) / 2).alias(alias)
+        fine.select("name", "k1", "k2", "x").join(F.broadcast(hit2), ["name", "k1", "k2"])
+        .groupBy("name", "k1", "k2", "x").agg(F.count(F.lit(1)).alias("n"), *carried)
+        .withColumn("before", F.col("base") + running("k1", "k2", order="x"))
     )
 
+    def at(rank: str, name: str) -> Column:
+        inside = (F.col(rank) > F.col("before")) & (F.col(rank) <= F.col("before") + F.col("n"))
+        return F.max(F.when(inside & (F.col("name") == name), x))
 
-def _with_offsets(counts: DataFrame, key: str) -> DataFrame:
-    """Running totals over the bounded list of coarse slices."""
-    w = Window.partitionBy(F.lit(0)).orderBy(key)
-    return counts.withColumn(
-        "before", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(0))))
+    return last.agg(*[(at("r1", c) / 2 + at("r2", c) / 2).alias(c) for c in columns])
