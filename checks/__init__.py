@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("temporal", "rankings", "quality")
+AREAS = ("temporal", "rankings", "quality", "star")
 
 
 def register_all() -> None:

@@ -31,7 +31,7 @@ def entity_key(c: Column) -> Column:
 
 def header_name(c: Column) -> Column:
     """Column-name form: plain lower-case words joined by underscores."""
-    worded = F.replace(fold(c), F.lit("%"), F.lit("percentual"))
+    worded = F.replace(fold(c), F.lit("%"), F.lit(" percentual "))
     return F.regexp_replace(F.regexp_replace(worded, r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
 
 
