@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("temporal", "rankings", "quality", "star")
+AREAS = ("temporal", "rankings", "quality", "star", "evolution")
 
 
 def register_all() -> None:
