@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("temporal", "rankings", "quality", "star", "evolution")
+AREAS = ("temporal", "rankings", "quality", "star", "evolution", "insights")
 
 
 def register_all() -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.comparison import with_comparison
 from ledgerlens.operators import metrics, temporal, time_quality
 
 from .common import ROLES, SALES, check, rounded, sales, table
@@ -185,9 +186,9 @@ def compare_pairs(spark, d):
     p = table(spark, d, "lineitem").groupBy("l_orderkey").agg(
         F.sum(F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).when(F.col("l_returnflag") == "A", F.col("l_quantity")).otherwise(0.0)).alias("a"),
         F.sum(F.when(F.col("l_linestatus") == "F", -F.col("l_quantity")).otherwise(F.col("l_tax"))).alias("b"))
-    c = p.select("l_orderkey", temporal.guarded_comparison(F.col("a"), F.col("b"), F.lit(40.0)).alias("c"))
-    return rounded(c.select("l_orderkey", *[f"c.{n}" for n in (
-        "absolute_change", "direction", "comparable", "continuous", "reference_magnitude", "reason", "percentage_change")]), 6)
+    c = with_comparison(p, F.col("a"), F.col("b"), F.lit(40.0))
+    return rounded(c.select("l_orderkey", "absolute_change", "direction", "comparable", "continuous", "reference_magnitude",
+                            "reason", "percentage_change"), 6)
 
 
 @check("series_magnitude", f"WITH {series_sql('faturamento', 'lucro')}, {MAGNITUDE} SELECT metric, round(mag, 4) AS magnitude FROM mags")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .numeric import finite
@@ -54,61 +54,65 @@ def pair_magnitude(a: Column, b: Column) -> Column:
     )
 
 
-def guarded_comparison(
+COMPARISON_FIELDS = (
+    "previous_value", "current_value", "absolute_change", "direction", "percentage_change", "percentage_valid",
+    "comparable", "reason", "continuous", "reference_magnitude",
+)
+
+
+def with_comparison(
+    df: DataFrame,
     previous: Column,
     current: Column,
     reference: Column | None = None,
     previous_ordinal: Column | None = None,
     current_ordinal: Column | None = None,
     require_consecutive: bool = False,
-) -> Column:
-    """Struct with change, direction, percentage and the reason a percentage is withheld.
+) -> DataFrame:
+    """Adds change, direction, percentage and the reason a percentage is withheld.
 
     Period positions are optional; when given, the later one must follow the
-    earlier one, and directly so if ``require_consecutive``.
+    earlier one, and directly so if ``require_consecutive``. Values are computed
+    in steps, each a column of its own: one big expression would repeat its
+    parts in every field and outgrow the code size limit of a stage.
     """
-    before, after = finite(previous), finite(current)
-    delta = finite(after - before)
-    usable = delta.isNotNull()
     dated = previous_ordinal is not None and current_ordinal is not None
-    if dated:
-        ordered = F.coalesce(current_ordinal > previous_ordinal, F.lit(False))
-        consecutive = F.when(usable & ordered, current_ordinal == previous_ordinal + 1)
-        periods_fine = ordered & consecutive if require_consecutive else ordered
-        comparable = usable & F.coalesce(periods_fine, F.lit(False))
-    else:
-        ordered = F.lit(True)
-        consecutive = F.lit(None).cast("boolean")
-        comparable = usable
-    own = pair_magnitude(before, after)
+    unknown = F.lit(None).cast("boolean")
+    before, after, delta = F.col("_before"), F.col("_after"), F.col("_delta")
+    usable, ordered, successive = delta.isNotNull(), F.col("_ordered"), F.col("_successive")
     known = F.coalesce(finite(reference), F.lit(0.0)) if reference is not None else F.lit(0.0)
-    magnitude = F.when(comparable, F.greatest(own, known))
-    percentage = finite(F.try_divide(delta, before) * 100)
-
-    reason = F.when(~usable | delta.isNull(), F.lit("invalid_value"))
-    if dated:
-        reason = reason.when(~ordered, F.lit("invalid_period"))
-        if require_consecutive:
-            reason = reason.when(~consecutive, F.lit("non_consecutive_periods"))
+
+    out = df.withColumns({
+        "_before": finite(previous), "_after": finite(current), "_known": known,
+        "_ordered": F.coalesce(current_ordinal > previous_ordinal, F.lit(False)) if dated else F.lit(True),
+        "_successive": current_ordinal == previous_ordinal + 1 if dated else unknown,
+    })
+    out = out.withColumn("_delta", finite(after - before))
+    fits = ordered & F.coalesce(successive, F.lit(False)) if dated and require_consecutive else ordered
+    out = out.withColumns({
+        "_comparable": usable & fits,
+        "_continuous": F.when(usable & ordered, successive) if dated else unknown,
+        "_percent": finite(F.try_divide(delta, before) * 100),
+    })
+    out = out.withColumn(
+        "_magnitude", F.when(F.col("_comparable"), F.greatest(pair_magnitude(before, after), F.col("_known"))))
+    reason = F.when(~usable, "invalid_value").when(~ordered, "invalid_period")
+    if dated and require_consecutive:
+        reason = reason.when(~successive, "non_consecutive_periods")
     reason = (
-        reason.when(before == 0, F.lit("zero_reference"))
-        .when(before < 0, F.lit("negative_reference"))
-        .when(after < 0, F.lit("sign_change"))
-        .when(before < magnitude * LOW_BASE_SHARE, F.lit("low_reference_base"))
-        .when(percentage.isNull(), F.lit("invalid_percentage"))
-    )
-    direction = (
-        F.when(delta > 0, F.lit("increase")).when(delta < 0, F.lit("decrease")).when(usable, F.lit("stable"))
-    )
-    return F.struct(
-        before.alias("previous_value"),
-        after.alias("current_value"),
-        delta.alias("absolute_change"),
-        F.when(comparable & reason.isNull(), F.round(percentage, 2)).alias("percentage_change"),
-        direction.alias("direction"),
-        (comparable & reason.isNull()).alias("percentage_valid"),
-        comparable.alias("comparable"),
-        reason.alias("reason"),
-        consecutive.alias("continuous"),
-        magnitude.alias("reference_magnitude"),
+        reason.when(before == 0, "zero_reference")
+        .when(before < 0, "negative_reference")
+        .when(after < 0, "sign_change")
+        .when(before < F.col("_magnitude") * LOW_BASE_SHARE, "low_reference_base")
+        .when(F.col("_percent").isNull(), "invalid_percentage")
     )
+    out = out.withColumn("_reason", reason)
+    valid = F.col("_comparable") & F.col("_reason").isNull()
+    direction = F.when(delta > 0, "increase").when(delta < 0, "decrease").when(usable, "stable")
+    return out.withColumns({
+        "previous_value": before, "current_value": after, "absolute_change": delta, "direction": direction,
+        "percentage_change": F.when(valid, F.round("_percent", 2)), "percentage_valid": valid,
+        "comparable": F.col("_comparable"), "reason": F.col("_reason"), "continuous": F.col("_continuous"),
+        "reference_magnitude": F.col("_magnitude"),
+    }).drop("_before", "_after", "_known", "_ordered", "_successive", "_delta", "_comparable", "_continuous", "_percent",
+            "_magnitude", "_reason")

@@ -56,3 +56,8 @@ def json_text(c: Column) -> Column:
 
 def digest24(payload: Column) -> Column:
     return F.substring(F.sha2(F.encode(payload, "UTF-8"), 256), 1, 24)
+
+
+def number_text(c: Column) -> Column:
+    """A number as shown in messages: at most two decimals, at least one."""
+    return F.regexp_replace(F.format_string("%.2f", c.cast("double")), r"(\.\d)0$", "$1")

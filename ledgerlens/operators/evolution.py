@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.comparison import guarded_comparison, month_ordinal
+from ..functions.comparison import month_ordinal, with_comparison
 from ..functions.numeric import finite
 from .temporal import compare_series
 
@@ -133,14 +133,12 @@ def entity_changes(pairs: DataFrame, windows: DataFrame) -> DataFrame:
     """
     keep = [c for c in windows.columns if not c.startswith("records_")]
     rows = pairs.join(F.broadcast(windows.select(*keep)), ["metric", "ord_before"])
-    change = guarded_comparison(F.col("a"), F.col("b"), F.col("ref"), F.col("ord_before"), F.col("ord_after"), True)
     share = lambda v, total, neg: F.when((F.col(total) > 0) & (F.col(neg) == 0), F.col(v) / F.col(total) * 100)
-    return rows.withColumn("c", change).where(F.col("c.comparable")).select(
+    compared = with_comparison(rows, F.col("a"), F.col("b"), F.col("ref"), F.col("ord_before"), F.col("ord_after"), True)
+    return compared.where("comparable").select(
         "metric", "entity", "label", "identity_source", "previous_period", "current_period", "ord_before",
         "records_before", "records_after", F.col("va").alias("valid_before"), F.col("vb").alias("valid_after"),
-        F.col("c.previous_value").alias("previous_value"), F.col("c.current_value").alias("current_value"),
-        F.col("c.absolute_change").alias("absolute_change"), F.col("c.percentage_change").alias("percentage_change"),
-        F.col("c.percentage_valid").alias("percentage_valid"), F.col("c.reason").alias("reason"),
+        "previous_value", "current_value", "absolute_change", "percentage_change", "percentage_valid", "reason",
         share("a", "global_before", "negative_groups_before").alias("previous_share"),
         share("b", "global_after", "negative_groups_after").alias("current_share"),
         "series_magnitude", "global_magnitude", "global_before", "global_after", "global_change", "complete_fields",

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.comparison import guarded_comparison, month_label, month_ordinal, period_ordinal
+from ..functions.comparison import COMPARISON_FIELDS, month_label, month_ordinal, period_ordinal, with_comparison
 from ..functions.numeric import finite, not_nan
 from .metrics import Roles
 
@@ -96,12 +96,11 @@ def compare_series(series: DataFrame, keys: list[str] | None = None, granularity
         F.lag("ord").over(w).alias("prev_ord"),
         F.lag("records").over(w).alias("previous_records"),
     ).where(F.col("pos") > 1)
-    change = guarded_comparison(
-        F.col("prev_value"), F.col("value"), F.col("series_magnitude"), F.col("prev_ord"), F.col("ord"), True
-    )
-    return stepped.withColumn("c", change).select(
+    compared = with_comparison(
+        stepped, F.col("prev_value"), F.col("value"), F.col("series_magnitude"), F.col("prev_ord"), F.col("ord"), True)
+    return compared.select(
         *keys, "previous_period", F.col("period").alias("current_period"), "ord",
-        "previous_records", F.col("records").alias("current_records"), "series_magnitude", "c.*",
+        "previous_records", F.col("records").alias("current_records"), "series_magnitude", *COMPARISON_FIELDS,
     )
 
 
@@ -124,10 +123,8 @@ def sparse_periods(series: DataFrame) -> DataFrame:
 
 
 def public_reason(reason: Column) -> Column:
-    mapped = F.lit(None).cast("string")
-    for name, public in PUBLIC_REASONS.items():
-        mapped = F.when(reason == name, F.lit(public)).otherwise(mapped)
-    return F.coalesce(mapped, reason)
+    names = F.create_map(*[F.lit(x) for pair in PUBLIC_REASONS.items() for x in pair])
+    return F.coalesce(F.try_element_at(names, reason), reason)
 
 
 def trend(evolution: Column) -> Column:
@@ -150,20 +147,19 @@ def total_evolution(series: DataFrame, keys: list[str] | None = None) -> DataFra
         F.count(F.lit(1)).alias("periods"),
         F.coalesce(F.median(F.when(size > 0, size)), F.lit(0.0)).alias("magnitude"),
     )
-    change = guarded_comparison(
-        F.col("a.value"), F.col("z.value"), F.col("magnitude"), F.col("a.ord"), F.col("z.ord")
-    )
+    compared = with_comparison(
+        ends, F.col("a.value"), F.col("z.value"), F.col("magnitude"), F.col("a.ord"), F.col("z.ord"))
     enough = F.col("periods") >= 2
-    return ends.withColumn("c", change).select(
-        *keys,
-        F.col("periods"),
+    facts = compared.select(
+        *keys, "periods",
         F.col("a.period").alias("first_period"), F.col("z.period").alias("last_period"),
         F.col("a.value").alias("first_value"), F.col("z.value").alias("last_value"),
-        F.when(enough, F.col("c.percentage_change")).alias("evolution"),
-        F.when(enough, F.col("c.absolute_change")).alias("absolute_change"),
-        F.when(enough, public_reason(F.col("c.reason"))).otherwise(F.lit("dados_insuficientes")).alias("reason"),
-        trend(F.when(enough, F.col("c.percentage_change"))).alias("trend"),
+        F.when(enough, F.col("percentage_change")).alias("evolution"),
+        F.when(enough, F.col("absolute_change")).alias("absolute_change"),
+        F.when(enough, F.coalesce("reason", F.lit(""))).otherwise("invalid_value").alias("reason"),
     )
+    named = F.when(F.col("reason") != "", public_reason(F.col("reason")))
+    return facts.withColumn("reason", named).withColumn("trend", trend(F.col("evolution")))
 
 
 def decline_runs(changes: DataFrame, keys: list[str] | None = None) -> DataFrame:
