@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("temporal", "rankings", "quality", "star", "evolution", "insights")
+AREAS = ("temporal", "rankings", "quality", "star", "evolution", "insights", "entities")
 
 
 def register_all() -> None:
