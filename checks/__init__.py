@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("temporal", "rankings", "quality", "star", "evolution", "insights", "entities")
+AREAS = ("temporal", "rankings", "quality", "star", "evolution", "insights", "entities", "compare", "mapping")
 
 
 def register_all() -> None:

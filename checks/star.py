@@ -262,7 +262,7 @@ LABELS = ["Pedido ID", "Data da Venda", "Valor Bruto", "Valor c/ Desconto", "Val
 @check("header_concepts", f"""
 WITH l(label, concept) AS (VALUES ('Pedido ID', 'pedido'), ('Data da Venda', 'data'), ('Valor Bruto', 'valor_total'), ('Valor c/ Desconto', 'valor_com_desconto'),
  ('Valor Líquido', NULL), ('Total', NULL), ('Margem Bruta %', 'margem_bruta_percentual'), ('Meio de Pagamento', 'forma_pagamento'), ('Cliente', 'cliente'))
-SELECT label, concept, count(*) AS n FROM l, nation GROUP BY 1, 2""")
+SELECT label, concept, count(*) AS n FROM l, customer GROUP BY 1, 2""")
 def header_concepts(spark, d):
-    n = table(spark, d, "nation").select(F.explode(F.array(*[F.lit(x) for x in LABELS])).alias("label"), F.col("n_nationkey").alias("g"))
+    n = table(spark, d, "customer").select(F.explode(F.array(*[F.lit(x) for x in LABELS])).alias("label"), F.col("c_custkey").alias("g"))
     return roles.concept_of_label(n, "label", "g").groupBy("label", "concept").agg(F.count(F.lit(1)).alias("n"))

@@ -97,7 +97,7 @@ def comparison_windows(coverage: DataFrame, series: DataFrame, undated_share: Co
         return F.abs(a - b) <= F.greatest(F.greatest(F.abs(a), F.abs(b)) * RELATIVE_TOLERANCE, F.lit(ABSOLUTE_TOLERANCE))
 
     joined = steps.join(cov("before"), ["metric", "ord_before"]).join(cov("after"), ["metric", "ord_after"])
-    full = lambda s: (F.col(f"records_{s}") > 0) & (F.col(f"identified_valid_{s}") / F.col(f"records_{s}") >= MIN_COVERAGE)
+    full = lambda s: (F.col(f"records_{s}") > 0) & (F.try_divide(F.col(f"identified_valid_{s}"), F.col(f"records_{s}")) >= MIN_COVERAGE)
     return joined.where(
         close(F.col("sum_before"), F.col("global_before")) & close(F.col("sum_after"), F.col("global_after"))
     ).withColumn("complete_fields", full("before") & full("after") & (undated_share <= 1 - MIN_COVERAGE))
@@ -172,4 +172,4 @@ def window_absences(pairs: DataFrame, windows: DataFrame) -> DataFrame:
 
 def undated_share(months: DataFrame) -> DataFrame:
     """Share of records without a date, one row."""
-    return months.agg((F.sum(F.when(F.col("ord").isNull(), F.col("records")).otherwise(0)) / F.sum("records")).alias("share"))
+    return months.agg(F.try_divide(F.sum(F.when(F.col("ord").isNull(), F.col("records")).otherwise(0)), F.sum("records")).alias("share"))

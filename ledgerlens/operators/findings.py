@@ -129,7 +129,7 @@ def _population_confidence(by_name: bool) -> tuple[Column, Column]:
     """Confidence and reasons from coverage and population columns."""
     rows, valid, population = F.col("registros"), F.col("registros_validos"), F.col("populacao")
     documented = F.coalesce(rows > 0, F.lit(False)) & valid.isNotNull()
-    covered = documented & (valid / rows >= HIGH_COVERAGE)
+    covered = documented & (F.try_divide(valid, rows) >= HIGH_COVERAGE)
     small = population.isNull() | (population < MIN_POPULATION)
     level = F.when(small | (documented & ~covered), "low").when(~documented | F.lit(by_name), "medium").otherwise("high")
     return level, _reasons(
@@ -143,7 +143,7 @@ def _population_confidence(by_name: bool) -> tuple[Column, Column]:
 def concentration_finding(stats: DataFrame, metric: str, with_id: bool, analysis: str | None = None) -> DataFrame:
     """Share of the five largest customers, if the total is positive and nothing is negative."""
     total, top1, top5, n = (F.col(c) for c in ("total_metrica", "top1_valor", "top5_valor", "populacao"))
-    share = top5 / total * 100
+    share = F.try_divide(top5, total) * 100
     usable = (
         (total > 0) & (n > 0) & (top1 >= 0) & (top1 <= top5) & (top5 <= total + CENT) & (F.col("registros_negativos") == 0)
     )
@@ -167,7 +167,7 @@ def concentration_finding(stats: DataFrame, metric: str, with_id: bool, analysis
             ("registros_validos", F.col("registros_validos"), "count", f"{src}.registros_validos"),
             ("populacao", n, "count", f"{src}.populacao"), ("total_metrica", total, None, f"{src}.total_metrica"),
             ("top1_valor", top1, None, f"{src}.top1_valor"), ("top5_valor", top5, None, f"{src}.top5_valor"),
-            ("top1_percentual", top1 / total * 100, "%", src, top1, total), ("top5_percentual", share, "%", src, top5, total),
+            ("top1_percentual", F.try_divide(top1, total) * 100, "%", src, top1, total), ("top5_percentual", share, "%", src, top5, total),
         ).alias("evidence"),
         F.when(impact != "low", A_CONCENTRATION).alias("recommendation"),
     )
@@ -177,9 +177,9 @@ def negative_findings(stats: DataFrame, scope: str, with_id: bool = True, analys
     """Negative results of a population; ``stats`` has one row per metric with the negative evidence."""
     count, n, loss, size = (F.col(c) for c in ("negativos", "populacao", "soma_negativos", "soma_absoluta"))
     usable = (count > 0) & (n >= count) & (loss < 0) & (size >= F.abs(loss)) & (size > 0)
-    relative = F.abs(loss) / size
+    relative = F.try_divide(F.abs(loss), size)
     enough = n >= MIN_POPULATION
-    impact = F.when(enough & (count >= 5) & (count / n >= LOSS_HIGH) & (relative >= LOSS_HIGH), "high").when(
+    impact = F.when(enough & (count >= 5) & (F.try_divide(count, n) >= LOSS_HIGH) & (relative >= LOSS_HIGH), "high").when(
         enough & (count >= 2) & (relative >= LOSS_MEDIUM), "medium").otherwise("low")
     rows = stats.where(F.col("concept").isin("lucro", "margem_bruta") & usable).withColumn("metric", F.col("concept"))
     customers = scope == "customers"
@@ -203,7 +203,7 @@ def negative_findings(stats: DataFrame, scope: str, with_id: bool = True, analys
             ("populacao", n, "count", src), ("negativos", count, "count", src), ("soma_negativos", loss, None, src),
             ("soma_absoluta", size, None, src),
             ("participacao_magnitude_negativa", relative * 100, "%", src, F.abs(loss), size),
-            ("participacao_populacao_negativa", count / n * 100, "%", src, count, n),
+            ("participacao_populacao_negativa", F.try_divide(count, n) * 100, "%", src, count, n),
         ).alias("evidence"),
         filled(A_NEGATIVE, label).alias("recommendation"),
     )
@@ -219,9 +219,9 @@ def temporal_findings(changes: DataFrame, coverage: DataFrame, analysis: str | N
     rows = changes.withColumn("periods", F.count(F.lit(1)).over(observed) + 1).join(F.broadcast(coverage), "metric")
     delta, percent = F.col("absolute_change"), F.col("percentage_change")
     scale = F.greatest(F.col("series_magnitude"), F.coalesce("reference_magnitude", F.lit(0.0)))
-    ratio = F.abs(delta) / scale
+    ratio = F.try_divide(F.abs(delta), scale)
     rows = rows.where(F.col("comparable") & F.col("continuous") & (delta != 0) & (scale > 0)).where(ratio >= TEMPORAL_DELTA)
-    covered = (F.col("input_records") > 0) & (F.col("valid_records") / F.col("input_records") >= HIGH_COVERAGE)
+    covered = (F.col("input_records") > 0) & (F.try_divide(F.col("valid_records"), F.col("input_records")) >= HIGH_COVERAGE)
     counted = (F.col("previous_records") >= MIN_RECORDS) & (F.col("current_records") >= MIN_RECORDS)
     solid = covered & counted & (F.col("periods") >= 3)
     confidence = F.when(solid, "medium").otherwise("low")
@@ -265,11 +265,11 @@ def entity_findings(changes: DataFrame, movements: DataFrame, kind: str, analysi
     prefix, scope_name = ("customer", "customers") if kind == "cliente" else ("product", "products")
     delta, total = F.col("absolute_change"), F.col("global_change")
     scale = F.greatest(F.col("series_magnitude"), F.coalesce("global_magnitude", F.lit(0.0)))
-    ratio = F.abs(delta) / scale
+    ratio = F.try_divide(F.abs(delta), scale)
     rows = changes.where((scale > 0) & (ratio >= ENTITY_DELTA))
     together = delta * total > 0
-    contribution = F.when(together, delta / total * 100)
-    contributor = together & F.col("complete_fields") & (F.abs(total) / scale >= GLOBAL_DELTA) & (contribution >= CONTRIBUTION_MIN)
+    contribution = F.when(together, F.try_divide(delta, total) * 100)
+    contributor = together & F.col("complete_fields") & (F.try_divide(F.abs(total), scale) >= GLOBAL_DELTA) & (contribution >= CONTRIBUTION_MIN)
     full = lambda s: (F.col(f"valid_{s}") >= MIN_RECORDS) & (F.col(f"valid_{s}") == F.col(f"records_{s}"))
     sufficient = full("before") & full("after")
     solid = F.col("complete_fields") & sufficient

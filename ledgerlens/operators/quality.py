@@ -226,7 +226,7 @@ def quality_score(
     null_percent = F.try_divide(F.col("nulls"), total) * 100
     deducted = (
         F.least(F.lit(30.0), null_percent)
-        + F.least(F.lit(20.0), F.col("duplicates") / F.col("rows") * 100)
+        + F.least(F.lit(20.0), F.try_divide(F.col("duplicates"), F.col("rows")) * 100)
         + F.least(F.lit(30), F.col("w"))
         + F.lit(10 if header_missing else 0)
         + F.lit(min(10, empty_columns_removed))

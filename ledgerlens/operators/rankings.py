@@ -298,7 +298,7 @@ def dimension_top(totals: DataFrame, measure: str, k: int = TOP_VALUES) -> DataF
         "dimension", F.col("position").cast("bigint").alias("position"), F.col("entity").alias("value_id"),
         display_entity(F.col("entity"), F.col("label")).alias("value_label"),
         F.col("value").alias(measure),
-        F.when(F.col("total") != 0, F.col("value") / F.col("total") * 100).alias("share"),
+        F.when(F.col("total") != 0, F.try_divide(F.col("value"), F.col("total")) * 100).alias("share"),
     )
 
 

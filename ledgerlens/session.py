@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +44,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         else:
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, prefix: str) -> str:
+    """A fresh folder all executors can reach: below ``spark.checkpoint.dir``, local only for local sessions."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return f"{configured.rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
+    if spark.sparkContext.master.startswith("local"):
+        return tempfile.mkdtemp(prefix=f"{prefix}-")
+    raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
