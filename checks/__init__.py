@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("temporal", "rankings", "quality", "star", "evolution", "insights", "entities", "compare", "mapping", "grid")
+AREAS = ("temporal", "rankings", "quality", "star", "evolution", "insights", "entities", "compare", "mapping", "grid", "files")
 
 
 def register_all() -> None:

@@ -20,6 +20,20 @@ def _row(*cells):
     return F.array(*[c.cast("string") if not isinstance(c, str) else F.lit(c) for c in cells])
 
 
+def once(build):
+    """One build per session and folder: the frames are checkpoints that the queries below share."""
+    made = {}
+
+    def get(spark, d):
+        key = (spark.sparkContext.applicationId, d)
+        if key not in made:
+            made[key] = build(spark, d)
+        return made[key]
+
+    return get
+
+
+@once
 def report(spark, d):
     """Header, and per month a period row, its orders, a total and a note, with a blank row after it."""
     o = table(spark, d, "orders").select(
@@ -46,6 +60,11 @@ def report(spark, d):
     return cut_lineage(with_dense_row_number(out, ["file", "sheet"], "ord").drop("ord"))
 
 
+@once
+def recovery(spark, d):
+    return grid.recover(report(spark, d))
+
+
 ORD = """o AS (SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, * FROM orders),
 mon AS (SELECT y, m, count(*) AS n, sum(o_totalprice) AS t FROM o GROUP BY 1, 2),
 pos AS (SELECT *, 1 + sum(n + 4) OVER (PARTITION BY y ORDER BY m) - (n + 4) AS before FROM mon)"""
@@ -98,14 +117,14 @@ def report_gate(spark, d):
 @check("grid_sections", f"""WITH {ORD}
 SELECT CAST(y AS VARCHAR) AS sheet, CAST(before + 2 AS BIGINT) AS start_row, CAST(before + 1 + n AS BIGINT) AS end_row, n AS candidate_rows, n AS compatible_rows, 100.0 AS compatibility, n >= 20 AS strong FROM pos""")
 def sections(spark, d):
-    return grid.recover(report(spark, d))["sections"].select("sheet", "start_row", "end_row", "candidate_rows", "compatible_rows", "compatibility", "strong")
+    return recovery(spark, d)["sections"].select("sheet", "start_row", "end_row", "candidate_rows", "compatible_rows", "compatibility", "strong")
 
 
 @check("grid_pattern", f"""WITH {ORD}
 SELECT CAST(y AS VARCHAR) AS sheet, 'NDNT' AS dominant, CAST(sum(n) AS BIGINT) AS equal_rows, count(*) AS sequences, 100.0 AS compatibility, true AS strong,
  CASE WHEN sum(n) >= 20 THEN '1' ELSE '' END AS id_positions FROM mon GROUP BY y HAVING sum(n) >= 20""")
 def pattern(spark, d):
-    p = grid.recover(report(spark, d))["pattern"].where("equal_rows >= 20")
+    p = recovery(spark, d)["pattern"].where("equal_rows >= 20")
     return rounded(p.select("sheet", F.array_join("dominant", "").alias("dominant"), "equal_rows", "sequences", "compatibility", "strong",
                             F.array_join(F.transform("id_positions", lambda i: i.cast("string")), ",").alias("id_positions")))
 
@@ -114,13 +133,13 @@ def pattern(spark, d):
 SELECT CAST(y AS VARCHAR) AS sheet, type, CAST(n AS BIGINT) AS n FROM (SELECT y, 'transacao' AS type, sum(n) AS n FROM mon GROUP BY y UNION ALL SELECT y, 'cabecalho', 1 FROM mon GROUP BY y
  UNION ALL SELECT y, unnest(['periodo', 'total', 'comentario', 'vazia']), count(*) FROM mon GROUP BY y)""")
 def audit(spark, d):
-    return grid.recover(report(spark, d))["audit"].groupBy("sheet", "type").agg(F.count(F.lit(1)).alias("n"))
+    return recovery(spark, d)["audit"].groupBy("sheet", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @check("grid_period_context", f"""WITH {ORD}, names AS (SELECT * FROM (VALUES {', '.join(f"({i + 1}, '{n.upper()}')" for i, n in enumerate(MONTHS))}) t(m, name))
 SELECT CAST(y AS VARCHAR) AS sheet, name AS context, n FROM mon JOIN names USING (m)""")
 def context(spark, d):
-    a = grid.recover(report(spark, d))["audit"].where("type = 'transacao'")
+    a = recovery(spark, d)["audit"].where("type = 'transacao'")
     return a.groupBy("sheet", "context").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -129,7 +148,7 @@ SELECT CAST(y AS VARCHAR) AS sheet, CAST(sum(n) + 4 * count(*) + 1 AS BIGINT) AS
  CAST(0 AS BIGINT) AS unknown, 100.0 AS recognised_percent, 100.0 AS structural_confidence, 100.0 AS classified_coverage,
  round(sum(n) / (sum(n) + 3 * count(*) + 1) * 100, 2) AS record_coverage, 'accepted' AS status, 'Rows were extracted with a consistent structure.' AS reason FROM mon GROUP BY y HAVING sum(n) >= 20""")
 def sheet_metrics(spark, d):
-    m = grid.recover(report(spark, d))["metrics"].where("records >= 20")
+    m = recovery(spark, d)["metrics"].where("records >= 20")
     return rounded(m.select("sheet", "rows", "records", "summaries", "periods", "empty", "unknown", "recognised_percent", "structural_confidence",
                             "classified_coverage", "record_coverage", "status", "reason"), 2)
 
@@ -138,18 +157,18 @@ def sheet_metrics(spark, d):
 SELECT CAST(y AS VARCHAR) AS sheet, CAST(3 AS BIGINT) AS start_row, CAST(max(before + 1 + n) AS BIGINT) AS end_row, CAST(sum(n) AS BIGINT) AS records,
  round(sum(n) / (max(before + 1 + n) - 2) * 100, 2) AS coverage FROM pos GROUP BY y""")
 def blocks(spark, d):
-    return rounded(grid.detected_blocks(grid.recover(report(spark, d))["audit"]).select("sheet", "start_row", "end_row", "records", "coverage"), 2)
+    return rounded(grid.detected_blocks(recovery(spark, d)["audit"]).select("sheet", "start_row", "end_row", "records", "coverage"), 2)
 
 
 @check("grid_review_detail", f"""WITH {ORD} SELECT 100.0 AS confidence, CAST(sum(n) + 3 * count(*) + count(DISTINCT y) AS BIGINT) AS content_rows, CAST(sum(n) AS BIGINT) AS record_rows, CAST(0 AS BIGINT) AS unknown_rows FROM mon""")
 def review(spark, d):
-    return rounded(grid.review_detail(grid.recover(report(spark, d))["metrics"]).drop("reason"), 2)
+    return rounded(grid.review_detail(recovery(spark, d)["metrics"]).drop("reason"), 2)
 
 
 @check("recovered_table", """SELECT count(*) AS n, round(sum(o_totalprice), 2) AS total, count(DISTINCT strftime(o_orderdate, '%d/%m/%Y')) AS days, count(DISTINCT o_orderpriority) AS status
 FROM orders WHERE year(o_orderdate) = 1997""")
 def recovered(spark, d):
-    r = grid.recover(report(spark, d))
+    r = recovery(spark, d)
     records = r["audit"].where("type = 'transacao'")
     plan = cut_lineage(grid.column_plan(records, r["headers"]))
     number = records.where("sheet = '1997'").select("table_no").first()["table_no"]
@@ -159,7 +178,7 @@ def recovered(spark, d):
 
 @check("recovered_columns", f"""WITH {ORD} SELECT CAST(y AS VARCHAR) AS sheet, name, action FROM (SELECT DISTINCT y FROM mon), (VALUES ('Pedido', 'keep'), ('Data', 'keep'), ('Valor Total', 'parse'), ('Status', 'keep')) t(name, action)""")
 def recovered_columns(spark, d):
-    r = grid.recover(report(spark, d))
+    r = recovery(spark, d)
     return grid.column_plan(r["audit"].where("type = 'transacao'"), r["headers"]).select("sheet", "name", "action")
 
 

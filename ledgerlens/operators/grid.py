@@ -299,7 +299,9 @@ def classify_rows(rows: DataFrame, heads: DataFrame, parts: DataFrame) -> DataFr
     begin = rows.where(F.col("free") | (F.col("type") == HEADER)).groupBy(*KEYS).agg(F.min("row_no").alias("begin"))
     rows = rows.join(begin, KEYS, "left").withColumn("in_block", F.coalesce(F.col("row_no") > F.col("begin"), F.lit(False)))
     carried = F.col("in_block") & (F.col("data") >= 2) & valued & (F.col("similar") >= ALIKE_IN_BLOCK)
-    rows = rows.withColumn("eligible", F.col("free") | F.coalesce(open_row & ~F.col("blocked") & carried, F.lit(False)))
+    # Written out here: the scans below refer to these marks many times over.
+    rows = cut_lineage(rows.withColumn("eligible", F.col("free") | F.coalesce(open_row & ~F.col("blocked") & carried, F.lit(False))).drop(
+        "filled", "label", "money", "folded", "section_pattern", "repeats", "similar", "free", "begin", "blocked", "first_row"))
 
     is_head = F.col("type") == HEADER
     name_text = F.array_join(F.transform("names", lambda v: F.coalesce(fold(v), F.lit(""))), "\u0001")
@@ -505,7 +507,9 @@ def lateral_regions(grid: DataFrame) -> DataFrame:
     head = grid.where(F.col("row_no") <= 20).groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("row_no", "cells"))).alias("s"))
     part = runs.join(head, KEYS).withColumn(
         "sample", F.transform("s", lambda r: F.transform(F.sequence(F.col("first_col"), F.col("last_col")), lambda i: F.get(r["cells"], i))))
-    scored = part.withColumn("h", best_header("sample")).select(*KEYS, "first_col", "last_col", (F.col("h.row") + 1).alias("header_row"))
+    # The sample is written out: a Python function cannot take an argument built by a lambda.
+    sampled = cut_lineage(part.select(*KEYS, "first_col", "last_col", "sample"))
+    scored = sampled.withColumn("h", best_header("sample")).select(*KEYS, "first_col", "last_col", (F.col("h.row") + 1).alias("header_row"))
     facts = scored.groupBy(*KEYS).agg(
         ((F.count(F.lit(1)) > 1) & F.bool_and(F.col("last_col") > F.col("first_col")) & (F.count("header_row") == F.count(F.lit(1)))
          & (F.count_distinct("header_row") > 1)).alias("split"))
@@ -534,7 +538,7 @@ def recover(grid: DataFrame, formulas: DataFrame | None = None, merged: DataFram
     cand = cut_lineage(candidates(rows.join(gate, KEYS, "left_semi"), formulas))
     parts = cut_lineage(sections(cand))
     pattern = cut_lineage(sheet_pattern(cand, parts))
-    marked = mark_summary_runs(cand, pattern).join(pattern.select(*KEYS, "strong_global"), KEYS, "left")
+    marked = cut_lineage(mark_summary_runs(cand, pattern).join(pattern.select(*KEYS, "strong_global"), KEYS, "left"))
     audit = classify_rows(marked, heads, parts)
     audit = last_known(audit, KEYS, "row_no", {"head_row": F.when(F.col("type") == HEADER, F.col("row_no"))})
     audit = cut_lineage(merge_continuations(audit))
