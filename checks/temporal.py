@@ -151,12 +151,13 @@ def monthly(spark, d):
 @check("monthly_change", f"""WITH {changes_sql('faturamento')}
 SELECT previous_period, current_period, round(previous_value, 4) AS previous_value, round(current_value, 4) AS current_value,
        round(absolute_change, 4) AS absolute_change, direction, comparable, continuous, reason, percentage_change,
-       round(reference_magnitude, 4) AS reference_magnitude FROM changes""")
+       round(reference_magnitude, 6) AS reference_magnitude FROM changes""")
 def monthly_change(spark, d):
     c = temporal.compare_series(series(spark, d, ("faturamento",)))
+    amounts = [F.round(n, 4).alias(n) for n in ("previous_value", "current_value", "absolute_change")]
     return rounded(c.select(
-        "previous_period", "current_period", "previous_value", "current_value", "absolute_change", "direction",
-        "comparable", "continuous", "reason", "percentage_change", "reference_magnitude"))
+        "previous_period", "current_period", *amounts, "direction", "comparable", "continuous", "reason", "percentage_change",
+        "reference_magnitude"), 6)
 
 
 @check("change_by_customer_segment_gap", f"""
@@ -191,9 +192,9 @@ def compare_pairs(spark, d):
                             "reason", "percentage_change"), 6)
 
 
-@check("series_magnitude", f"WITH {series_sql('faturamento', 'lucro')}, {MAGNITUDE} SELECT metric, round(mag, 4) AS magnitude FROM mags")
+@check("series_magnitude", f"WITH {series_sql('faturamento', 'lucro')}, {MAGNITUDE} SELECT metric, round(mag, 6) AS magnitude FROM mags")
 def magnitude(spark, d):
-    return rounded(temporal.series_magnitude(series(spark, d), ["metric"]))
+    return rounded(temporal.series_magnitude(series(spark, d), ["metric"]), 6)
 
 
 @check("period_positions", """
