@@ -85,3 +85,16 @@ def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
             c = c.cast("bigint")
         cols.append(c.alias(name))
     return df.select(*cols)
+
+
+def once(build):
+    """One build per session and folder: the frames are checkpoints that the queries below share."""
+    made = {}
+
+    def get(spark, d):
+        key = (spark.sparkContext.applicationId, d)
+        if key not in made:
+            made[key] = build(spark, d)
+        return made[key]
+
+    return get

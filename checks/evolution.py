@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ledgerlens.session import cut_lineage
 from ledgerlens.operators import evolution, findings, rankings, selection, temporal
 
-from .common import ROLES, SALES, check, rounded, sales
+from .common import ROLES, SALES, check, once, rounded, sales
 from .rankings import STATS
 from .temporal import changes_sql, comparison_sql
 
@@ -298,11 +298,12 @@ f1 AS (SELECT *, CASE priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 EN
        WHEN scope = 'customers' THEN 'clientes' WHEN scope = 'products' THEN 'produtos' ELSE 'outros' END AS family FROM f0)"""
 
 
+@once
 def pool(spark, d):
-    return findings.all_findings(
+    return cut_lineage(findings.all_findings(
         findings.concentration_finding(stats(spark, d), "faturamento", True),
         findings.negative_findings(stats(spark, d), "customers"), findings.negative_findings(record_stats(spark, d), "records"),
-        found_temporal(spark, d), found_entities(spark, d))
+        found_temporal(spark, d), found_entities(spark, d)))
 
 
 @check("all_findings", f"WITH {ALL_SQL} SELECT id, rule, metric, scope, impact, confidence, priority, round(materiality, 6) AS materiality FROM f1")

@@ -9,7 +9,7 @@ from ledgerlens.functions.ordered import with_dense_row_number
 from ledgerlens.operators import grid, headers
 from ledgerlens.session import cut_lineage
 
-from .common import check, rounded, table
+from .common import check, once, rounded, table
 
 MONTHS = cl.MONTHS[:12]
 NUMBER = "CASE WHEN month(o_orderdate) = {} THEN '{}'"
@@ -20,19 +20,6 @@ def _row(*cells):
     return F.array(*[c.cast("string") if not isinstance(c, str) else F.lit(c) for c in cells])
 
 
-def once(build):
-    """One build per session and folder: the frames are checkpoints that the queries below share."""
-    made = {}
-
-    def get(spark, d):
-        key = (spark.sparkContext.applicationId, d)
-        if key not in made:
-            made[key] = build(spark, d)
-        return made[key]
-
-    return get
-
-
 @once
 def report(spark, d):
     """Header, and per month a period row, its orders, a total and a note, with a blank row after it."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ledgerlens.operators import enrich, insights, metrics, rankings, temporal
 from ledgerlens.session import cut_lineage
 
-from .common import ROLES, SALES, check, rounded, sales, table
+from .common import ROLES, SALES, check, once, rounded, sales, table
 from .rankings import DIM_SQL, DNAME, NAME, PM, STATS, dims, long_sql, totals_sql
 from .star import RETURNS_SQL
 from .temporal import EVOLUTION, MAGNITUDE, RUNS, TREND, changes_sql
@@ -20,6 +20,7 @@ DETAIL_ROLES = {
 }
 
 
+@once
 def detail(spark, d):
     """Product detail over sales enriched with ratings, stock and returns; reduced to products once."""
     from .star import tables
@@ -131,6 +132,7 @@ ins AS (
 FULL = DETAIL + ", " + MEANS + ", " + EXTREMES + "," + SUMMARY_SQL.replace(SALES + ",", "", 1)
 
 
+@once
 def parts(spark, d):
     """The aggregate frames the rules read, each reduced once."""
     s = sales(spark, d)

@@ -27,4 +27,4 @@ def parse_date_text(c: Column) -> Column:
     for pattern, layout in reversed(DATE_FORMATS):
         plain = pattern.replace("[ T]", " ")
         parsed = F.when(text.rlike(plain), F.try_to_timestamp(text, F.lit(layout))).otherwise(parsed)
-    return parsed
+    return F.when(text.rlike(r"^\d{1,4}[-/.]\d"), parsed)

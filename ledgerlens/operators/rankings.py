@@ -293,7 +293,8 @@ def dimension_sizes(totals: DataFrame) -> DataFrame:
 def dimension_top(totals: DataFrame, measure: str, k: int = TOP_VALUES) -> DataFrame:
     """Top values of every dimension with their share of the dimension total."""
     values = totals.select("dimension", "entity", "label", F.col(measure).alias("value"))
-    sums = values.groupBy("dimension").agg(F.sum("value").alias("total"))
+    # Counting labels keeps both branches on the same columns, so they share one exchange of the totals.
+    sums = values.groupBy("dimension").agg(F.sum("value").alias("total"), F.count("label").alias("labelled")).where("labelled >= 0").drop("labelled")
     return top_entities(values, k, ["dimension"]).join(sums, "dimension").select(
         "dimension", F.col("position").cast("bigint").alias("position"), F.col("entity").alias("value_id"),
         display_entity(F.col("entity"), F.col("label")).alias("value_label"),
