@@ -186,7 +186,7 @@ def show(df):
 def stats(spark, d):
     names = ["faturamento", "margem_bruta", "lucro"]
     t = rankings.entity_totals(sales(spark, d), "Cliente_ID", "Cliente", {m: ROLES[m] for m in names})
-    return rankings.evidence_stats(t, names)
+    return rankings.evidence_stats(cut_lineage(t), names)
 
 
 def record_stats(spark, d):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import rankings
+from ledgerlens.session import cut_lineage
 
 from .common import ROLES, SALES, check, rounded, sales, table
 
@@ -93,14 +94,14 @@ SELECT concept, registros, registros_validos, populacao, negativos, round(soma_n
  round(soma_absoluta, 2) AS soma_absoluta, round(top1_valor, 2) AS top1_valor, round(top5_valor, 2) AS top5_valor,
  round(total_metrica, 2) AS total_metrica, registros_negativos FROM stats""")
 def evidence(spark, d):
-    return rounded(rankings.evidence_stats(customers(spark, d), METRICS), 2)
+    return rounded(rankings.evidence_stats(cut_lineage(customers(spark, d)), METRICS), 2)
 
 
 @check("customer_concentration", f"""WITH {STATS}
 SELECT concept, round(top1_valor / total_metrica * 100, 6) AS participacao_maior_cliente,
        round(top5_valor / total_metrica * 100, 6) AS concentracao_top_5 FROM stats WHERE concept = 'faturamento'""")
 def concentration(spark, d):
-    return rounded(rankings.concentration(rankings.evidence_stats(customers(spark, d), METRICS), "faturamento"), 6)
+    return rounded(rankings.concentration(rankings.evidence_stats(cut_lineage(customers(spark, d)), METRICS), "faturamento"), 6)
 
 
 @check("negative_customers", f"""WITH {totals_sql('cliente')}
@@ -126,7 +127,7 @@ UNION ALL SELECT 3, 'O cliente com maior faturamento difere do cliente com maior
 UNION ALL SELECT 4, CASE WHEN negativos = 1 THEN '1 cliente apresenta Lucro negativo.' ELSE negativos || ' clientes apresentam Lucro negativo.' END
   FROM stats WHERE concept = 'lucro' AND negativos > 0""")
 def messages(spark, d):
-    return rounded(rankings.customer_messages(customers(spark, d), METRICS))
+    return rounded(rankings.customer_messages(cut_lineage(customers(spark, d)), METRICS))
 
 
 PM = ["quantidade", "faturamento", "lucro"]

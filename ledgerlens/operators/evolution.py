@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.comparison import month_ordinal, with_comparison
 from ..functions.numeric import finite
+from .rankings import labelled_groups
 from .temporal import compare_series
 
 # Fixed values.
@@ -40,10 +41,11 @@ def entity_months(
         identity.alias("entity"), month_ordinal(_c(date)).alias("ord"), label.alias("label"),
         *[finite(_c(c).try_cast("double")).alias(m) for m, c in metrics.items()],
     )
-    return slim.groupBy("entity", "ord").agg(
-        F.min("label").alias("label"), F.count(F.lit(1)).alias("records"),
-        *[F.sum(m).alias(f"s_{m}") for m in metrics], *[F.count(m).alias(f"n_{m}") for m in metrics],
-    )
+    aggs = [("records", F.count(F.lit(1)), F.sum)]
+    for m in metrics:
+        aggs += [(f"s_{m}", F.sum(m), F.sum), (f"n_{m}", F.count(m), F.sum)]
+    keys = {"entity": F.col("entity"), "ord": F.col("ord")}
+    return labelled_groups(slim, keys, F.col("label") if label_column else None, None, aggs)
 
 
 def with_identity(months: DataFrame, has_id: bool, has_label: bool, merged: DataFrame | None = None) -> DataFrame:

@@ -19,7 +19,7 @@ from ..functions.numeric import not_nan
 from ..functions.text import display_entity, number_text
 from .findings import filled
 from .metrics import KPI_KEYS, Roles
-from .rankings import first_label, top_entities
+from .rankings import labelled_groups, top_entities
 
 # Order of priorities and kinds, list lengths, public type names.
 PRIORITY_RANK = {"alta": 3, "media": 2, "baixa": 1}
@@ -76,14 +76,15 @@ def product_detail(df: DataFrame, roles: Roles, row_no: str | None = None) -> Da
     key, label = (roles["produto_id"], roles.get("produto")) if "produto_id" in roles else (roles["produto"], None)
     q = lambda r: F.col(f"`{roles[r]}`")
     num = lambda r: not_nan(q(r).try_cast("double")) if r in roles else F.lit(None).cast("double")
-    flag = lambda r: F.coalesce(F.bool_or(q(r)), F.lit(False)) if r in roles else F.lit(False)
-    return df.where(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("entity")).agg(
-        first_label(label, row_no).alias("label"),
-        *[F.coalesce(F.sum(num(r)), F.lit(0.0)).alias(r) for r in ("quantidade", "faturamento", "lucro")],
-        F.max(num("avaliacao_media")).alias("avaliacao_media"),
-        *[F.max(num(r)).alias(r) for r in ("estoque_atual", "estoque_minimo", "estoque_maximo", "taxa_devolucao")],
-        flag("risco_ruptura").alias("risco_ruptura"), flag("estoque_excessivo").alias("estoque_excessivo"),
-    ).withColumn("product", display_entity(F.col("entity"), F.col("label")))
+    flag = lambda r: F.coalesce(F.bool_or(q(r)), F.lit(False)) if r in roles else F.bool_or(F.lit(False))
+    aggs = [(r, F.coalesce(F.sum(num(r)), F.lit(0.0)), F.sum) for r in ("quantidade", "faturamento", "lucro")]
+    levels = ("avaliacao_media", "estoque_atual", "estoque_minimo", "estoque_maximo", "taxa_devolucao")
+    aggs += [(r, F.max(num(r)), F.max) for r in levels]
+    aggs += [(r, flag(r), F.bool_or) for r in ("risco_ruptura", "estoque_excessivo")]
+    known = df.where(F.col(f"`{key}`").isNotNull())
+    grouped = labelled_groups(known, {"entity": F.col(f"`{key}`")}, F.col(f"`{label}`") if label else None,
+                              F.col(f"`{row_no}`") if row_no else None, aggs)
+    return grouped.withColumn("product", display_entity(F.col("entity"), F.col("label")))
 
 
 def product_means(detail: DataFrame) -> DataFrame:

@@ -61,12 +61,24 @@ def entity_columns(roles: Roles, kind: str) -> tuple[str | None, str | None]:
     return (ident, label) if ident else (label, None)
 
 
-def first_label(label: str | None, row_no: str | None) -> Column:
-    """First label in source order, or the smallest when the source has no order."""
+def labelled_groups(
+    df: DataFrame, keys: dict[str, Column], label: Column | None, row_no: Column | None, aggs: list[tuple],
+) -> DataFrame:
+    """Groups by ``keys`` with one label each: the first in source order, or the smallest.
+
+    ``aggs`` are (name, aggregate, merge). The label is part of the first
+    grouping, because a text minimum has no hash aggregation and would sort all
+    rows; the second grouping only sees one row per key and label.
+    """
     if label is None:
-        return F.lit(None).cast("string")
-    text = _q(label).cast("string")
-    return F.min_by(F.when(text.isNotNull(), text), F.when(text.isNotNull(), _q(row_no))) if row_no else F.min(text)
+        plain = df.groupBy(*[c.alias(n) for n, c in keys.items()]).agg(*[a.alias(n) for n, a, _ in aggs])
+        return plain.withColumn("label", F.lit(None).cast("string"))
+    seen = [F.min(row_no).alias("_seen")] if row_no is not None else []
+    fine = df.groupBy(*[c.alias(n) for n, c in keys.items()], label.cast("string").alias("_label")).agg(
+        *[a.alias(n) for n, a, _ in aggs], *seen)
+    known = F.col("_label").isNotNull()
+    first = F.min_by("_label", F.when(known, F.col("_seen"))) if seen else F.min("_label")
+    return fine.groupBy(*keys).agg(first.alias("label"), *[m(n).alias(n) for n, _, m in aggs])
 
 
 def entity_totals(
@@ -77,11 +89,11 @@ def entity_totals(
     Rows without identity form the NULL entity, so totals over all rows are
     sums over this frame and the rows are never scanned twice.
     """
-    aggs = [F.count(F.lit(1)).alias("records"), first_label(label, row_no).alias("label")]
+    aggs = [("records", F.count(F.lit(1)), F.sum)]
     for m, c in metrics.items():
         v = not_nan(_q(c).try_cast("double"))
-        aggs += [F.sum(v).alias(m), F.count(v).alias(f"{m}_valid"), F.count_if(v < 0).alias(f"{m}_neg_rows")]
-    return df.groupBy(_q(key).alias("entity")).agg(*aggs)
+        aggs += [(m, F.sum(v), F.sum), (f"{m}_valid", F.count(v), F.sum), (f"{m}_neg_rows", F.count_if(v < 0), F.sum)]
+    return labelled_groups(df, {"entity": _q(key)}, _q(label) if label else None, _q(row_no) if row_no else None, aggs)
 
 
 def metric_values(totals: DataFrame, metrics: list[str], fill_zero: bool = False) -> DataFrame:
@@ -237,10 +249,9 @@ def growth_candidates(totals: DataFrame, k: int = TOP_PRODUCTS) -> DataFrame:
         "entity", "label",
         F.coalesce("faturamento", F.lit(0.0)).alias("faturamento"), F.coalesce("lucro", F.lit(0.0)).alias("lucro"),
     )
-    means = known.agg(F.avg("faturamento").alias("mr"), F.avg("lucro").alias("mp"))
-    picked = known.where(
-        (F.col("lucro") > means.select("mp").scalar()) & (F.col("faturamento") < means.select("mr").scalar())
-    )
+    # One subquery over the columns of the main branch, so both can share one exchange.
+    means = known.agg(F.struct(F.avg("faturamento").alias("mr"), F.avg("lucro").alias("mp"), F.count("label").alias("n"))).scalar()
+    picked = known.where((F.col("lucro") > means["mp"]) & (F.col("faturamento") < means["mr"]))
     w = Window.partitionBy(F.lit(0)).orderBy(F.col("lucro").desc(), F.col("entity"))
     return picked.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k).select(
         F.col("position").cast("bigint").alias("position"),
@@ -280,10 +291,9 @@ def dimension_totals(df: DataFrame, roles: Roles, row_no: str | None = None) ->
     fan = df.select(
         *[not_nan(_q(roles[m]).try_cast("double")).alias(m) for m in measures], *order, F.inline(entries)
     ).where(F.col("entity").isNotNull())
-    return fan.groupBy("dimension", "entity").agg(
-        first_label("label", "_row" if row_no else None).alias("label"),
-        *[F.coalesce(F.sum(m), F.lit(0.0)).alias(m) for m in measures],
-    )
+    keys = {"dimension": F.col("dimension"), "entity": F.col("entity")}
+    return labelled_groups(fan, keys, F.col("label"), F.col("_row") if row_no else None,
+                           [(m, F.coalesce(F.sum(m), F.lit(0.0)), F.sum) for m in measures])
 
 
 def dimension_sizes(totals: DataFrame) -> DataFrame:
