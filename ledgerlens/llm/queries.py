@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, license_scan, line_dedup
+from ledgerlens.llm import bpe, license_scan, line_dedup, packing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -85,3 +85,13 @@ SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT d
 def lines(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "source", "text")
     return line_dedup.drop_boilerplate(docs, counts=True).drop("source")
+
+
+@query("op2_best_fit_packing")
+def packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, d, "documents"), tokenizer("byte_bpe_50k.json")))
+
+
+@query("op7_simhash_near_dedup")
+def near_copies(spark: SparkSession, d: str) -> DataFrame:
+    return simhash.near_copies(table(spark, d, "documents"))
