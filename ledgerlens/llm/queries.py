@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, license_scan, line_dedup, packing, simhash
+from ledgerlens.llm import bpe, license_scan, line_dedup, packing, quality_rules, secret_scan, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -95,3 +95,22 @@ def packed(spark: SparkSession, d: str) -> DataFrame:
 @query("op7_simhash_near_dedup")
 def near_copies(spark: SparkSession, d: str) -> DataFrame:
     return simhash.near_copies(table(spark, d, "documents"))
+
+
+@query("op1_secret_scan")
+def secrets(spark: SparkSession, d: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, d, "documents"))
+    base = F.filter("spans", lambda x: x["kind"] != "model")
+
+    def number(kind: str):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select("doc_id", number("assign"), number("access"), number("hex"), F.sha2(secret_scan.listed(base), 256).alias("base_sha256"),
+                        secret_scan.listed(F.col("spans")).alias("spans"), number("model"))
+
+
+@query("op8_quality_rules")
+def quality(spark: SparkSession, d: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, d, "documents"), tokenizer("piece_bpe_32k.model"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                         "n_tokens", *quality_rules.MEASURES)
