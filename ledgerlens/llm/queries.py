@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, license_scan, line_dedup, packing, quality_rules, secret_scan, simhash
+from ledgerlens.llm import (
+    bpe, graph_search, html_text, license_scan, line_dedup, packing, quality_model, quality_rules, secret_scan, simhash,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -114,3 +116,22 @@ def quality(spark: SparkSession, d: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, d, "documents"), tokenizer("piece_bpe_32k.model"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
                          "n_tokens", *quality_rules.MEASURES)
+
+
+@query("op6_graph_search")
+def neighbours(spark: SparkSession, d: str) -> DataFrame:
+    vectors = table(spark, d, "embeddings")
+    return graph_search.search(graph_search.index(vectors), vectors.where("vec_id % 20 = 0"))
+
+
+@query("op9_quality_model")
+def quality_scores(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    scored = quality_model.score(docs, quality_model.fit(docs, table(spark, d, "labels")))
+    return scored.select("doc_id", (quality_model.fold(F.col("doc_id")) == 0).alias("held_out"), "score",
+                         (F.col("score") >= quality_model.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op10_html_extraction")
+def page_texts(spark: SparkSession, d: str) -> DataFrame:
+    return html_text.extract(table(spark, d, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
