@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,8 +62,6 @@ def _codes(classes: bytes) -> np.ndarray:
 
 def train(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Log-likelihood ratio (random over ordinary) of each pair of classes."""
-    import pandas as pd
-
     def count(frames):
         for frame in frames:
             sums = np.zeros((2, STATES * STATES), np.int64)
@@ -106,8 +105,6 @@ def model_spans(text: str, ratios: np.ndarray, taken: list[tuple[int, int]]) ->
 
 def scan(docs: DataFrame, doc: str = "doc_id", text: str = "text", ratios: np.ndarray | None = None) -> DataFrame:
     """Per row: ``doc``, ``spans`` (array of kind, start, end, by start, then kind as listed)."""
-    import pandas as pd
-
     flat = docs.sparkSession.sparkContext.broadcast((train(docs, text) if ratios is None else ratios).ravel())
     kind = dict(docs.select(col(doc).alias("d")).dtypes)["d"]
 
@@ -131,7 +128,6 @@ def listed(spans: Column) -> Column:
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", ratios: np.ndarray | None = None) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``mark``; spans that overlap become one. Null stays null."""
-    import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
     flat = docs.sparkSession.sparkContext.broadcast((train(docs, text) if ratios is None else ratios).ravel())
