@@ -41,6 +41,8 @@ CLASS_OF = bytes(ALPHABET.find(chr(b)) + 1 if chr(b) in ALPHABET else 0 for b in
 LEAST_TOTAL, LEAST_PER_CHAR = 30.0, 2.0
 #: Share of the random model that is uniform, as samples are few kinds of secret out of many.
 UNIFORM = 0.3
+#: Occurrences that the distribution of single characters counts as, in each row of a model.
+BACK_OFF = 5.0
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, int]]:
@@ -85,7 +87,9 @@ def train(docs: DataFrame, text: str = "text") -> np.ndarray:
     for r in counted.groupBy("label", "pair").agg(F.sum("n").alias("n")).collect():  # 2 * STATES ** 2 rows at most
         sums[r["label"], r["pair"] // STATES, r["pair"] % STATES] = r["n"]
     sums[:, 0, 0] = 0  # between tokens
-    flat = (sums + 0.1) / (sums + 0.1).sum(2, keepdims=True)
+    single = sums.sum(1, keepdims=True) + 0.1
+    backed = sums + BACK_OFF * single / single.sum(2, keepdims=True)  # what a model hasn't seen follows single characters
+    flat = backed / backed.sum(2, keepdims=True)
     random = (1 - UNIFORM) * flat[1] + UNIFORM / STATES if sums[1].sum() else np.full((STATES, STATES), 1 / STATES)
     return np.log(random / flat[0])
 

@@ -1,0 +1,167 @@
+"""Near copies, search, the compression classifier, page texts and the pipeline."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerlens.llm import graph_search, html_text, quality_model, simhash
+from ledgerlens.llm.components import components
+
+
+def brute_fingerprint(text):
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode().lower().split()
+    if not words:
+        return 0
+    shingles = [b" ".join(words[i:i + 3]) for i in range(max(1, len(words) - 2))]
+    hashes = [xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(nodes, linked):
+    up = {x: x for x in nodes}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in linked:
+        a, b = top(a), top(b)
+        up[max(a, b)] = min(a, b)
+    return {x: top(x) for x in nodes}
+
+
+def test_near_copies_equal_brute_force(spark):
+    rng = np.random.default_rng(2)
+    words = ["w%d" % i for i in range(400)]
+    base = [" ".join(rng.choice(words, 60)) for _ in range(12)]
+    texts = [None, "", " \t\n", "One", "one", "one two", "É a b", "é a b"] + base * 3
+    for t in base:
+        for _ in range(6):
+            w = t.split()
+            w[rng.integers(len(w))] = "changed"
+            texts.append(" ".join(w))
+    docs = spark.createDataFrame([(i * 3, t, 1) for i, t in enumerate(texts)], "doc_id bigint, text string, fp int")
+    got = {r["doc_id"]: r for r in simhash.near_copies(docs).collect()}
+    prints = {i * 3: brute_fingerprint(t) for i, t in enumerate(texts)}
+    assert {d: int(r["fingerprint"], 16) for d, r in got.items()} == prints
+    ids = sorted(prints)
+    want = brute_components(ids, [(a, b) for a in ids for b in ids if a < b and (prints[a] ^ prints[b]).bit_count() <= 3])
+    assert {d: r["component_id"] for d, r in got.items()} == want
+    kept = simhash.keep_one(docs.unionAll(docs.where("doc_id = 9")))
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
+    assert simhash.near_copies(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("direct", [1, 64])
+def test_links_equal_brute_force(spark, direct):
+    rng = np.random.default_rng(direct)
+    centres = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
+    prints = {0}
+    for c in centres:
+        for _ in range(60):
+            x = int(c)
+            for b in rng.integers(0, 64, rng.integers(0, 5)):
+                x ^= 1 << int(b)
+            prints.add(x)
+    signed = [x - (1 << 64) if x >> 63 else x for x in prints]
+    got = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp bigint"), direct).collect()
+    want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
+    assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want)
+
+
+def test_components_equal_brute_force(spark):
+    rng = np.random.default_rng(9)
+    linked = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5001 + i) for i in range(50)] + [(7, 7)]
+    nodes = {x for e in linked if e[0] != e[1] for x in e}
+    got = components(spark.createDataFrame(linked, "a bigint, b bigint"))
+    assert {r["node"]: r["root"] for r in got.collect()} == brute_components(nodes, [e for e in linked if e[0] != e[1]])
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_search_recall_and_cases(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 16)).astype(np.float32)
+    x[100:400] = x[100]  # a third of all rows share one vector
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(5000, None), (5001, [0.0] * 16), (5002, [float("nan")] * 16), (5003, [None] * 16), (5004, [float("inf")] * 16), (5005, []), (20, x[20].tolist())]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("shard", F.lit("clash")).withColumn("size", F.lit(1))
+    got: dict[int, list] = {}
+    for r in graph_search.search(graph_search.index(vectors), vectors.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    exact = x.astype(np.float64)
+    hits = 0
+    assert set(got) == set(range(0, 900, 20))
+    for q, found in got.items():
+        assert [r for r, _, _ in found] == list(range(1, 21)) and q not in [v for _, v, _ in found]
+        assert all(np.isclose(s, exact[q] @ exact[v], rtol=1e-12) for _, v, s in found)
+        best = sorted((-(exact[q] @ exact[v]), v) for v in range(900) if v != q)[:20]
+        near = {round(-s, 9) for s, _ in best}
+        hits += sum(round(s, 9) in near for _, _, s in found)
+    assert hits >= 0.9 * 20 * len(got)
+    same = [v for _, v, s in got[100] if np.isclose(s, exact[100] @ exact[101], rtol=1e-12)]
+    assert len(same) > 5 and same == list(range(101, 101 + len(same)))  # ties to the smaller id
+    few = vectors.where("vec_id < 3")
+    assert graph_search.search(graph_search.index(few), few).count() == 6
+    none = vectors.limit(0)
+    assert graph_search.search(graph_search.index(none), none).count() == 0
+
+
+def test_quality_model_on_held_out_rows(spark):
+    rng = np.random.default_rng(8)
+    good, bad = ["river", "stone", "garden", "winter", "letter", "number"], ["buy", "cheap", "click", "$$$", "now", "free"]
+    rows = [(i, " ".join(rng.choice(good if i % 3 else bad, 80)), 7) for i in range(400)] + [(1000, None, 1), (1001, "", 1), (1002, "river " * 40000, 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, score int")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(400)], "doc_id bigint, quality int")
+    model = quality_model.fit(docs, labels)
+    scored = quality_model.score(docs, model)
+    got = {r["doc_id"]: r["score"] for r in scored.collect()}
+    assert len(got) == len(rows) and got[1000] == got[1001] and all(0 <= s <= 1 for s in got.values())
+    out = {r["doc_id"] for r in docs.where(quality_model.fold(F.col("doc_id")) == 0).collect()}
+    assert np.mean([(got[i] >= 0.3) == (i % 3 > 0) for i in out if i < 400]) > 0.95
+    assert 0 <= quality_model.fit(docs, labels.where("quality = 1")).intercept  # one kind of label only
+    assert quality_model.score(docs.limit(0), model).count() == 0
+    assert quality_model.fit(docs.limit(0), labels).slope == 0.0
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="no-sidebar"><nav><ul><li>Menu %d</li></ul></nav>
+<div class="top-banner">Ad</div><div><p>Standing text of the site</p></div><article><h1>Title &amp;\n  more%d</h1><p>One <b>bold</b><br>two&nbsp;three<p>Four
+<script>var x = "</p>";</script><p>Shared by all</p><aside>Side</aside><form>Form</form></article><section id="comments"><p>Reader</p></section><footer>F</footer>"""
+
+
+def test_page_texts(spark):
+    rows = [(i, f"https://A.example.com/{i}", PAGE % (i, i)) for i in range(30)]
+    rows += [(100, None, None), (101, "nonsense", ""), (102, None, "<p>a<p>b &lt; c<li>d"), (103, "http://b.org", "<div>" * 3000 + "deep"), (104, "http://b.org?x", "<p>" + "word " * 50000)]
+    rows += [(200 + i, "http://c.org/", f"<body><div class='x'>Site bar</div><p>Own {i}</p></body>") for i in range(20)] + [(0, rows[0][1], rows[0][2])]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("host", F.lit("clash")).withColumn("t", F.lit(0)).withColumn("text", F.lit(1))
+    found = html_text.extract(pages).collect()
+    assert len(found) == len(rows)
+    got = {r["page_id"]: r["text"] for r in found}
+    for i in range(30):
+        assert got[i] == f"Title & more{i}\n\nOne bold two three\n\nFour\n\nShared by all"
+    assert got[100] == got[101] == "" and got[102] == "a\n\nb < c\n\nd" and got[103] == "deep" and got[104] == ("word " * 50000).strip()
+    assert all(got[200 + i] == f"Own {i}" for i in range(20))  # what recurs on the host is template
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_pipeline_equals_its_stages_by_brute_force(spark):
+    import corpus_pipeline as pipeline
+
+    rng = np.random.default_rng(6)
+    words = [f"{a}{b}{c}" for a in ("ba", "te", "mi", "so") for b in ("la", "no", "ru") for c in ("", "s", "ne", "to")]
+    texts = ["menu of the site\n" * (i % 2) + " ".join(rng.choice(words, 90)) for i in range(120)]
+    texts += [texts[5]] * 4 + [None, "", "too few words", texts[7] + ' token = "0123456789abcdef0123456789abcdef"']
+    docs = spark.createDataFrame([(i, t, "en", "host", 0, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint, extra string")
+    at = docs
+    for name, stage in pipeline.STAGES[:-1]:
+        at = stage(spark, at, "")
+        assert sorted(at.columns) == sorted(docs.columns), name
+    rows = {r["doc_id"]: r for r in at.collect()}
+    assert set(rows) == set(range(120)) | {127} - {7} or set(rows) == set(range(120)) | {127}
+    assert all("menu of the site" not in r["text"] and r["n_chars"] == len(r["text"]) for r in rows.values())
+    assert 127 not in rows or "[SECRET]" in rows[127]["text"] and "0123456789abcdef" not in rows[127]["text"]
+    packed = pipeline.STAGES[-1][1](spark, at, "").collect()
+    assert {r["doc_id"] for r in packed} == set(rows)
+    assert pipeline.STAGES[0][1](spark, docs.limit(0), "").count() == 0
