@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ledgerlens.operators import entities, metrics, temporal
 from ledgerlens.session import cut_lineage
 
-from .common import check, rounded, table
+from .common import check, once, rounded, table
 
 VARIANT = """CASE l_linenumber WHEN 1 THEN upper(base) WHEN 2 THEN replace(base, ' ', '  ') WHEN 3 THEN replace(base, 'e', 'é')
  WHEN 4 THEN replace(base, 'small', 'smal') WHEN 5 THEN regexp_replace(base, 'widget|gadget', 'wigdet') ELSE base END"""
@@ -65,49 +65,58 @@ def neighbours(spark, d):
 
 @check("blocking_statistics", f"""WITH {NAMES}, {BLOCKED}
 SELECT (SELECT count(*) FROM labels) AS unique_entities, (SELECT CAST(floor(count(*) * (count(*) - 1) / 2) AS BIGINT) FROM labels) AS theoretical_pairs,
- CAST((SELECT sum(variants - 1) FROM leads) + (SELECT count(*) FROM blocked) AS BIGINT) AS blocked_pairs, (SELECT count(*) FROM blocked) AS fuzzy_comparisons""")
+ CAST((SELECT sum(variants - 1) FROM leads) + (SELECT count(*) FROM blocked) AS BIGINT) AS blocked_pairs, (SELECT count(*) FROM blocked) AS fuzzy_comparisons,
+ CAST((SELECT floor(count(*) * (count(*) - 1) / 2) FROM labels) - (SELECT sum(variants - 1) FROM leads) - (SELECT count(*) FROM blocked) AS BIGINT) AS pairs_left_out""")
 def statistics(spark, d):
     return rounded(entities.blocking_statistics(labels(spark, d)))
 
 
-@check("fuzzy_name_pairs")
+FUZZY = f"""{BLOCKED.strip()},
+fuzzy AS (SELECT x.lead AS "left", y.lead AS "right", 1 - levenshtein(left_key, right_key) / greatest(length(left_key), length(right_key))::DOUBLE AS similarity
+  FROM blocked JOIN leads x ON x.key = left_key JOIN leads y ON y.key = right_key WHERE 1 - levenshtein(left_key, right_key) / greatest(length(left_key), length(right_key))::DOUBLE >= 0.9)"""
+
+
+@check("fuzzy_name_pairs", f"""WITH {NAMES}, {FUZZY} SELECT "left", "right", round(similarity, 4) AS similarity, 'grafia_muito_semelhante' AS reasons FROM fuzzy""")
 def fuzzy(spark, d):
     return rounded(entities.fuzzy_pairs(labels(spark, d)).select("left", "right", "similarity", F.concat_ws(",", "reasons").alias("reasons")))
 
 
+@once
 def candidates(spark, d):
     return cut_lineage(entities.entity_candidates(named(spark, d), ROLES))
 
 
-@check("entity_candidates")
-def all_candidates(spark, d):
-    return rounded(entities.review_list(candidates(spark, d)).withColumn("reasons", F.concat_ws(",", "reasons")).drop("left_first_seen", "right_first_seen"))
-
-
-CAND = f"""{NAMES}, {EXACT},
+CAND = f"""{NAMES}, {EXACT}, {FUZZY},
+every AS (SELECT "left", "right", 1.0 AS similarity, concat_ws(',', CASE WHEN "left" <> a OR "right" <> b THEN 'diferenca_espacamento' END,
+  CASE WHEN a <> b AND lower(a) = lower(b) THEN 'diferenca_caixa' END, CASE WHEN lower(a) <> lower(b) THEN 'diferenca_acentuacao' END) AS reasons FROM exact
+  UNION ALL SELECT "left", "right", similarity, 'grafia_muito_semelhante' FROM fuzzy),
 cand AS (SELECT substr(sha256('[null, "produto", "Produto", ["' || least("left", "right") || '", "' || greatest("left", "right") || '"]]'), 1, 24) AS candidate_id, "left", "right",
-  x.records AS left_records, y.records AS right_records, x.orders AS left_orders, y.orders AS right_orders, x.metric_value + y.metric_value AS combined_preview,
-  CASE WHEN y.records > x.records THEN "right" ELSE "left" END AS recommended_value FROM exact JOIN labels x ON x.value = "left" JOIN labels y ON y.value = "right")"""
+  similarity, reasons, x.records AS left_records, y.records AS right_records, x.orders AS left_orders, y.orders AS right_orders, x.metric_value + y.metric_value AS combined_preview,
+  CASE WHEN y.records > x.records THEN "right" ELSE "left" END AS recommended_value FROM every JOIN labels x ON x.value = "left" JOIN labels y ON y.value = "right")"""
 
 
-def exact_candidates(spark, d):
-    return candidates(spark, d).where("similarity = 1.0 AND reasons[0] <> 'grafia_muito_semelhante'")
+@check("entity_candidates", f"""WITH {CAND} SELECT candidate_id, 'produto' AS entity_type, "left", "right", round(similarity, 2) AS similarity, reasons,
+ CASE WHEN round(similarity, 2) >= 0.97 THEN 'alta' ELSE 'media' END AS confidence, 'pending' AS status FROM cand""")
+def all_candidates(spark, d):
+    return rounded(candidates(spark, d).select("candidate_id", "entity_type", "left", "right", "similarity", F.concat_ws(",", "reasons").alias("reasons"), "confidence", "status"))
 
 
 @check("candidate_context", f"""WITH {CAND} SELECT candidate_id, "left", "right", left_records, right_records, left_orders, right_orders, round(combined_preview, 2) AS combined_preview, recommended_value FROM cand""")
 def context(spark, d):
-    return rounded(exact_candidates(spark, d).select("candidate_id", "left", "right", "left_records", "right_records", "left_orders", "right_orders",
+    return rounded(candidates(spark, d).select("candidate_id", "left", "right", "left_records", "right_records", "left_orders", "right_orders",
                                                      "combined_preview", "recommended_value"), 2)
 
 
 DECIDE = f"""{CAND},
-one AS (SELECT min(candidate_id) AS candidate_id, "left" FROM cand GROUP BY "left"),
+asked AS (SELECT min(candidate_id) AS candidate_id FROM cand GROUP BY "left"),
+wanted AS (SELECT candidate_id, unnest(["left", "right"]) AS value FROM asked JOIN cand USING (candidate_id)),
+one AS (SELECT candidate_id FROM wanted JOIN (SELECT value, min(candidate_id) AS f FROM wanted GROUP BY value) USING (value) GROUP BY candidate_id HAVING bool_and(f = candidate_id)),
 stat AS (SELECT c.*, CASE WHEN o.candidate_id IS NOT NULL THEN 'merged' ELSE 'pending' END AS status FROM cand c LEFT JOIN one o ON o.candidate_id = c.candidate_id)"""
 
 
 def decided(spark, d):
-    """The first candidate of every lead value is merged."""
-    c = exact_candidates(spark, d)
+    """The first candidate of every lead value is to be merged; where two of them share a value, the first stands."""
+    c = candidates(spark, d)
     first = c.groupBy("left").agg(F.min("candidate_id").alias("candidate_id"))
     return c, cut_lineage(entities.record_decisions(c, first.select("candidate_id", F.lit("merge").alias("decision"), F.lit(None).cast("string").alias("canonical_value"))))
 
@@ -123,9 +132,12 @@ def counts(spark, d):
     return entities.candidate_counts(decided(spark, d)[1])
 
 
-@check("decision_errors", f"""WITH {DECIDE}
+@check("decision_errors", f"""WITH {DECIDE},
+sides AS (SELECT candidate_id, status, unnest(["left", "right"]) AS value FROM stat),
+taken AS (SELECT value, min(candidate_id) AS f FROM sides GROUP BY value UNION ALL SELECT value, candidate_id FROM sides WHERE status = 'merged'),
+clash AS (SELECT DISTINCT candidate_id FROM sides JOIN taken USING (value) WHERE f <> candidate_id)
 SELECT candidate_id, CASE WHEN status = 'merged' THEN 'Alterar uma decisão confirmada ainda não é suportado.' END AS error FROM stat
-UNION ALL SELECT candidate_id, CASE WHEN status = 'pending' THEN 'Uma variante já participa de outra união. Uniões sobrepostas não são suportadas nesta etapa.' END FROM stat
+UNION ALL SELECT candidate_id, CASE WHEN status = 'pending' AND candidate_id IN (SELECT candidate_id FROM clash) THEN 'Uma variante já participa de outra união. Uniões sobrepostas não são suportadas nesta etapa.' END FROM stat
 UNION ALL SELECT 'x' || candidate_id, 'O candidato não pertence a esta análise.' FROM stat UNION ALL SELECT candidate_id, 'Decisão inválida. Escolha unir ou manter separadas.' FROM stat
 UNION ALL SELECT candidate_id, 'O label deve ser a variante recomendada deste candidato.' FROM stat""")
 def errors(spark, d):

@@ -86,10 +86,15 @@ def first_types(spark, d):
     return typed.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@check("header_detection", f"WITH {ORD} SELECT CAST(y AS VARCHAR) AS sheet, CAST(1 AS BIGINT) AS header_row FROM mon GROUP BY y")
+@check("header_detection", f"""WITH {ORD} SELECT CAST(y AS VARCHAR) AS sheet, CASE WHEN y % 4 < 3 THEN CAST(1 + y % 4 AS BIGINT) END AS header_row FROM mon GROUP BY y""")
 def header_detection(spark, d):
+    """A sheet has as many title rows above its header as its year leaves by four; where that is three, it has no header."""
     g = report(spark, d)
-    return headers.top_header(g, grid.KEYS).select("sheet", "header_row")
+    titles = F.col("sheet").cast("int") % 4
+    none = F.lit(None).cast("string")
+    moved = g.where((titles < 3) | (F.col("row_no") > 1)).withColumn("row_no", F.col("row_no") + F.when(titles < 3, titles).otherwise(-1))
+    above = g.where((F.col("row_no") == 1) & (titles < 3)).select("file", "sheet", F.explode(F.slice(F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint")), 1, titles)).alias("row_no"))
+    return headers.top_header(moved.unionByName(above.withColumn("cells", _row(F.concat(F.lit("Relatorio "), "sheet"), none, none, none))), grid.KEYS).select("sheet", "header_row")
 
 
 @check("report_gate", f"WITH {ORD} SELECT CAST(y AS VARCHAR) AS sheet, true AS is_report FROM mon GROUP BY y UNION ALL SELECT 'plain', false FROM customer WHERE c_custkey = (SELECT min(c_custkey) FROM customer)")

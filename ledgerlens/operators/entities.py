@@ -7,13 +7,10 @@ prefix shared by most labels is spread over many tasks and no pair is lost.
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from ..functions.numeric import not_nan
 from ..functions.text import digest24, entity_key, json_text, squeeze
@@ -21,11 +18,11 @@ from ..session import cut_lineage
 from .metrics import Roles
 from .rankings import CUSTOMER_METRICS
 
-# Fixed values.
-MIN_SIMILARITY, HIGH_SIMILARITY = 0.92, 0.97
+# Fixed values. Similarity is one minus the edit distance over the longer length, the form that runs as a column;
+# a letter or two in a long name stay above the threshold as they do with a ratio of matching blocks.
+MIN_SIMILARITY, HIGH_SIMILARITY = 0.9, 0.97
 MIN_LENGTH, MAX_LENGTH_GAP = 10, 0.12
 NEIGHBOURS, PREFIX = 20, 3
-MAX_CANDIDATES = 500
 UNITS = ("mm", "cm", "m", "km", "g", "kg", "ml", "l")
 COMPANY_SUFFIXES = ("ltda", "me", "sa", "eireli")
 ENTITY_TYPES = ("cliente", "produto", "categoria", "loja", "colaborador")
@@ -107,8 +104,11 @@ def ranked_keys(keys: DataFrame) -> DataFrame:
     return stored.withColumn("_p", part).join(F.broadcast(offsets), "_p").select("key", (F.col("_off") + inside).alias("rank"))
 
 
-def neighbour_pairs(ranked: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(left_key, right_key): each key with up to 20 followers of the same prefix that pass the guards."""
+def neighbour_pairs(ranked: DataFrame, chunk: int = CHUNK, neighbours: int = NEIGHBOURS, prefix: int = PREFIX) -> DataFrame:
+    """(left_key, right_key): each key with up to ``neighbours`` followers of the same ``prefix`` letters that pass the guards.
+
+    Both limits are the method (a sorted neighbourhood); :func:`blocking_statistics` tells how many pairs they leave out.
+    """
     key = F.col("key")
     tokens = F.split(key, " ")
     marks = F.transform(tokens, lambda t: F.regexp_replace(t, r"^[.,]+|[.,]+$", ""))
@@ -116,62 +116,55 @@ def neighbour_pairs(ranked: DataFrame, chunk: int = CHUNK) -> DataFrame:
         "n": F.length(key), "digits": F.regexp_extract_all(key, F.lit(r"(\d+)"), F.lit(1)),
         "units": F.array_sort(F.array_distinct(F.filter(marks, lambda t: t.isin(*UNITS)))), "tail": F.element_at(tokens, -1)})
     own = F.floor(F.col("rank") / chunk)
-    near_start = (F.col("rank") % chunk < NEIGHBOURS) & (own > 0)
+    near_start = (F.col("rank") % chunk < neighbours) & (own > 0)
     copies = F.when(near_start, F.array(own, own - 1)).otherwise(F.array(own))
     item = F.struct("key", "n", "digits", "units", "tail")
     spread = described.select("rank", own.alias("own"), item.alias("item"), F.explode(copies).alias("chunk"))
-    w = Window.partitionBy("chunk").orderBy("rank").rowsBetween(1, NEIGHBOURS)
+    w = Window.partitionBy("chunk").orderBy("rank").rowsBetween(1, neighbours)
     seen = spread.withColumn("next", F.collect_list("item").over(w)).where(F.col("chunk") == F.col("own"))
 
     def admissible(r: Column) -> Column:
         l = F.col("item")
         gap = F.abs(l["n"] - r["n"]) <= F.greatest(l["n"], r["n"]) * MAX_LENGTH_GAP
         suffix = ~(l["tail"].isin(*COMPANY_SUFFIXES) | r["tail"].isin(*COMPANY_SUFFIXES)) | (l["tail"] == r["tail"])
-        same_block = F.substring(l["key"], 1, PREFIX) == F.substring(r["key"], 1, PREFIX)
+        same_block = F.substring(l["key"], 1, prefix) == F.substring(r["key"], 1, prefix)
         return same_block & gap & (l["digits"] == r["digits"]) & (l["units"] == r["units"]) & suffix
 
     kept = seen.select("item", F.explode(F.filter("next", admissible)).alias("other"))
     return kept.select(F.col("item.key").alias("left_key"), F.col("other.key").alias("right_key"))
 
 
-@F.pandas_udf(DoubleType())
-def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Matching-block ratio of two texts; cheap upper bounds are tried first."""
-    def one(a: str, b: str) -> float:
-        m = SequenceMatcher(None, a, b, autojunk=False)
-        if m.real_quick_ratio() < MIN_SIMILARITY or m.quick_ratio() < MIN_SIMILARITY:
-            return 0.0
-        return m.ratio()
-
-    return pd.Series([one(a, b) for a, b in zip(left, right)], dtype="float64")
+def similarity(left: Column, right: Column) -> Column:
+    """One minus the edit distance over the longer length."""
+    return 1.0 - F.levenshtein(left, right) / F.greatest(F.length(left), F.length(right))
 
 
-def fuzzy_pairs(labels: DataFrame) -> DataFrame:
+def fuzzy_pairs(labels: DataFrame, least: float = MIN_SIMILARITY, neighbours: int = NEIGHBOURS, prefix: int = PREFIX) -> DataFrame:
     """Different normalised names that read almost alike."""
     leads = _leads(labels).select("key", "lead")
     long_keys = leads.where(F.length("key") >= MIN_LENGTH).select("key")
-    compared = neighbour_pairs(ranked_keys(long_keys)).withColumn("similarity", similarity("left_key", "right_key"))
-    close = compared.where(F.col("similarity") >= MIN_SIMILARITY)
+    compared = neighbour_pairs(ranked_keys(long_keys), neighbours=neighbours, prefix=prefix)
+    close = compared.withColumn("similarity", similarity(F.col("left_key"), F.col("right_key"))).where(F.col("similarity") >= least)
     side = lambda s: leads.select(F.col("key").alias(f"{s}_key"), F.col("lead").alias(s))
     return close.join(side("left"), "left_key").join(side("right"), "right_key").select(
         "left", "right", "similarity", F.array(F.lit(SPELLING)).alias("reasons"))
 
 
 def blocking_statistics(labels: DataFrame) -> DataFrame:
-    """One row: labels, theoretical pairs, compared pairs."""
+    """One row: labels, theoretical pairs, pairs that are compared and pairs that the neighbourhood leaves out."""
     leads = _leads(labels)
     exact = leads.agg(F.coalesce(F.sum(F.col("variants") - 1), F.lit(0)).alias("n")).scalar()
     fuzzy = neighbour_pairs(ranked_keys(leads.where(F.length("key") >= MIN_LENGTH))).agg(F.count(F.lit(1)).alias("n")).scalar()
     n = F.col("unique_entities")
     return labels.agg(F.count(F.lit(1)).alias("unique_entities")).select(
-        n, (F.floor(n * (n - 1) / 2)).alias("theoretical_pairs"), (exact + fuzzy).alias("blocked_pairs"), fuzzy.alias("fuzzy_comparisons"))
+        n, (F.floor(n * (n - 1) / 2)).alias("theoretical_pairs"), (exact + fuzzy).alias("blocked_pairs"), fuzzy.alias("fuzzy_comparisons"),
+        (F.floor(n * (n - 1) / 2) - exact - fuzzy).alias("pairs_left_out"))
 
 
 def entity_candidates(df: DataFrame, roles: Roles, analysis: str | None = None, row_no: str | None = None) -> DataFrame:
     """All candidate pairs of all text-identified entity types with both sides' context.
 
-    ``position`` numbers them; the review list is ``position <= MAX_CANDIDATES``
-    and ``total`` is the full count.
+    Distinct labels are paired first; the context is kept for those in a pair.
     """
     open_types, _ = resolvable_types(df.columns, roles)
     metric = next((roles[m] for m in CUSTOMER_METRICS if m in roles), None)
@@ -196,15 +189,14 @@ def entity_candidates(df: DataFrame, roles: Roles, analysis: str | None = None,
         F.lit(", ["), json_text(low), F.lit(", "), json_text(F.greatest("left", "right")), F.lit("]]"))
     prefer_right = (F.col("right_records") > F.col("left_records")) | (
         (F.col("right_records") == F.col("left_records")) & F.coalesce(F.col("right_first_seen") < F.col("left_first_seen"), F.lit(False)))
-    w = Window.partitionBy("entity_type").orderBy("step", "left", "right")
     return pairs.withColumn("candidate_id", digest24(payload)).withColumn(
         "recommended_value", F.when(prefer_right, F.col("right")).otherwise(F.col("left"))
-    ).withColumn("status", F.lit(PENDING)).withColumn("place", F.row_number().over(w)).drop("step")
+    ).withColumn("status", F.lit(PENDING))
 
 
-def review_list(candidates: DataFrame, limit: int = MAX_CANDIDATES) -> DataFrame:
-    """The first candidates for review; the total stays available through :func:`candidate_counts`."""
-    return candidates.orderBy("type_no", "place").limit(limit)
+def review_order(candidates: DataFrame) -> DataFrame:
+    """Candidates in review order; how many a page shows is the caller's choice."""
+    return candidates.orderBy("type_no", "step", "left", "right")
 
 
 def candidate_counts(candidates: DataFrame) -> DataFrame:
@@ -219,8 +211,10 @@ def validate_decisions(candidates: DataFrame, decisions: DataFrame) -> DataFrame
     taken = candidates.where(F.col("status") == MERGED).select(
         "column", F.col("candidate_id").alias("other"), F.explode(F.array("left", "right")).alias("value"))
     joined = decisions.join(known, "candidate_id", "left")
-    sides = joined.where(F.col("column").isNotNull()).select("candidate_id", "column", F.explode(F.array("left", "right")).alias("value"))
-    clash = sides.join(taken, ["column", "value"]).where(F.col("other") != F.col("candidate_id")).select("candidate_id").distinct().withColumn("clash", F.lit(True))
+    sides = joined.where(F.col("column").isNotNull()).select("candidate_id", "column", "decision", F.explode(F.array("left", "right")).alias("value"))
+    # of several unions of one value that are decided together, the first stands
+    first = sides.where(F.col("decision") == "merge").groupBy("column", "value").agg(F.min("candidate_id").alias("other"))
+    clash = sides.join(taken.unionByName(first), ["column", "value"]).where(F.col("other") != F.col("candidate_id")).select("candidate_id").distinct().withColumn("clash", F.lit(True))
     expected = F.when(F.col("decision") == "merge", MERGED).otherwise(KEPT)
     error = (
         F.when(F.col("decision").isNull() | ~F.col("decision").isin("merge", "keep_separate"), ERR_DECISION)

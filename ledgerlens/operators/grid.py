@@ -16,7 +16,7 @@ from ..functions import cells as cl
 from ..functions.ordered import last_known, running_sums
 from ..functions.text import fold
 from ..session import cut_lineage
-from .headers import best_header, candidate_headers, top_header
+from .headers import SAMPLE, best_rows, candidate_headers, top_header
 
 # Thresholds and weights of the row rules, reasons.
 KEYS = ["file", "sheet"]
@@ -328,7 +328,9 @@ def late_headers(rows: DataFrame, heads: DataFrame) -> DataFrame:
     """(keys, head_row, position, label, kinds and shares before/after, valid, allowed, confidence).
 
     Records are assigned to the segment between two late headers; kinds are
-    counted per segment and column, and cumulated over the short segment list.
+    counted per segment and column, and running totals over the segments give
+    what lies before and after each header, so that the work grows with the
+    number of headers and not with its square.
     """
     late = heads.where(F.col("row_no") > LATE_ROW).select(*KEYS, F.col("row_no").alias("head_row"), "names", F.col("score").alias("head_score"))
     marks = rows.join(late.select(*KEYS, F.col("head_row").alias("row_no"), F.lit(1).alias("mark")), [*KEYS, "row_no"], "left")
@@ -338,13 +340,18 @@ def late_headers(rows: DataFrame, heads: DataFrame) -> DataFrame:
     sized = records.groupBy(*KEYS, "segment").agg(F.count(F.lit(1)).alias("n"))
     kinds = records.select(*KEYS, "segment", F.posexplode("sig").alias("pos", "kind")).where(F.col("kind") != cl.BLANK).groupBy(
         *KEYS, "segment", "pos", "kind").agg(F.count(F.lit(1)).alias("n"))
-    before, after = F.col("s.segment") < F.col("h.segment"), F.col("s.segment") >= F.col("h.segment")
-    on = [F.col(f"s.{k}") == F.col(f"h.{k}") for k in KEYS]
-    sides = numbered.alias("h").join(sized.alias("s"), on).groupBy(*[F.col(f"h.{k}").alias(k) for k in KEYS], F.col("h.head_row").alias("head_row")).agg(
-        F.sum(F.when(before, F.col("n")).otherwise(0)).alias("rows_before"), F.sum(F.when(after, F.col("n")).otherwise(0)).alias("rows_after"))
-    per = numbered.alias("h").join(kinds.alias("s"), on).groupBy(
-        *[F.col(f"h.{k}").alias(k) for k in KEYS], F.col("h.head_row").alias("head_row"), F.col("s.pos").alias("pos"), F.col("s.kind").alias("kind")).agg(
-        F.sum(F.when(before, F.col("n")).otherwise(0)).alias("b"), F.sum(F.when(after, F.col("n")).otherwise(0)).alias("a"))
+    # A header's rows before it are the running total of the segments before its own, those after it the rest of the total.
+    # Every late header opens the segment of its number, so the segments that a total is wanted for are the headers' own.
+    def both_sides(counts: DataFrame, keys: list[str]) -> DataFrame:
+        wanted = counts.select(*keys).distinct().join(numbered.select(*KEYS, "segment", "head_row"), KEYS)
+        joined = wanted.join(counts, [*keys, "segment"], "full")
+        summed = running_sums(joined, keys, "segment", {"upto": F.coalesce("n", F.lit(0))})
+        total = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
+        before = F.col("upto") - F.coalesce("n", F.lit(0))
+        return summed.where(F.col("head_row").isNotNull()).join(total, keys).select(*keys, "head_row", before.alias("b"), (F.col("total") - before).alias("a"))
+
+    sides = both_sides(sized, KEYS).select(*KEYS, "head_row", F.col("b").alias("rows_before"), F.col("a").alias("rows_after"))
+    per = both_sides(kinds, [*KEYS, "pos", "kind"])
     stats = per.groupBy(*KEYS, "head_row", "pos").agg(
         F.max_by("kind", "b").alias("kind_before"), F.max("b").alias("bmax"), F.sum("b").alias("bsum"),
         F.max_by("kind", "a").alias("kind_after"), F.max("a").alias("amax"), F.sum("a").alias("asum")).where("asum > 0")
@@ -504,12 +511,10 @@ def lateral_regions(grid: DataFrame) -> DataFrame:
     cells = grid.select(*KEYS, F.posexplode("cells").alias("pos", "v")).where(~cl.blank(F.col("v"))).select(*KEYS, "pos").distinct()
     w = Window.partitionBy(*KEYS).orderBy("pos")
     runs = cells.withColumn("run", F.col("pos") - F.row_number().over(w)).groupBy(*KEYS, "run").agg(F.min("pos").alias("first_col"), F.max("pos").alias("last_col"))
-    head = grid.where(F.col("row_no") <= 20).groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("row_no", "cells"))).alias("s"))
-    part = runs.join(head, KEYS).withColumn(
-        "sample", F.transform("s", lambda r: F.transform(F.sequence(F.col("first_col"), F.col("last_col")), lambda i: F.get(r["cells"], i))))
-    # The sample is written out: a Python function cannot take an argument built by a lambda.
-    sampled = cut_lineage(part.select(*KEYS, "first_col", "last_col", "sample"))
-    scored = sampled.withColumn("h", best_header("sample")).select(*KEYS, "first_col", "last_col", (F.col("h.row") + 1).alias("header_row"))
+    inside = F.transform(F.sequence(F.col("first_col"), F.col("last_col")), lambda i: F.get(F.col("cells"), i))
+    sample = runs.join(grid.where(F.col("row_no") <= SAMPLE), KEYS).select(*KEYS, "first_col", "last_col", "row_no", inside.alias("cells"))
+    found = best_rows(sample, [*KEYS, "first_col", "last_col"], "row_no").select(*KEYS, "first_col", F.col("row_no").alias("header_row"))
+    scored = runs.select(*KEYS, "first_col", "last_col").join(found, [*KEYS, "first_col"], "left")
     facts = scored.groupBy(*KEYS).agg(
         ((F.count(F.lit(1)) > 1) & F.bool_and(F.col("last_col") > F.col("first_col")) & (F.count("header_row") == F.count(F.lit(1)))
          & (F.count_distinct("header_row") > 1)).alias("split"))

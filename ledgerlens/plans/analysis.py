@@ -70,7 +70,7 @@ def analyze(
             aliases = entities.alias_map(candidates)
             data = entities.apply_aliases(data, aliases, list(open_types.values()))
             merged = aliases.select("canonical_value")
-        results["entity_candidates"] = entities.review_list(candidates)
+        results["entity_candidates"] = candidates
         results["entity_counts"] = entities.candidate_counts(candidates)
 
     kpi_row = cut_lineage(metrics.kpis(data, roles))

@@ -8,7 +8,7 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.headers import score_rows
+from ..operators.headers import top_header
 
 # File kinds, delimiters in order of preference, sample length.
 PATTERN = "*.{csv,txt,tsv}"
@@ -55,7 +55,8 @@ def read_csv(spark: SparkSession, path: str, header: bool | None = None) -> Data
     reader = spark.read.option("sep", sep).option("encoding", encoding).option("multiLine", False).option("mode", "FAILFAST")
     if header is None:
         first = [[c for c in row] for row in reader.option("header", False).csv(path).limit(SAMPLE_LINES).collect()]
-        header = bool(first) and score_rows(first)[0] == 0
+        sample = spark.createDataFrame([(1, i + 1, row) for i, row in enumerate(first)], "sheet int, row_no bigint, cells array<string>")
+        header = bool(first) and top_header(sample, ["sheet"]).first()["header_row"] == 1
     df = reader.option("header", header).csv(path)
     if header:
         names, seen = [], {}

@@ -1,7 +1,7 @@
 """Recovery of small report sheets."""
 
 from ledgerlens.operators import grid
-from ledgerlens.operators.headers import score_rows
+from ledgerlens.operators.headers import top_header
 from ledgerlens.sources import files, sinks, snapshots
 
 SCHEMA = "file string, sheet string, row_no bigint, cells array<string>"
@@ -42,9 +42,17 @@ def test_plain_table_is_left_alone(spark):
     assert not grid.report_gate(r, h).first()["is_report"]
 
 
-def test_header_scores():
-    assert score_rows([["Relatorio", None, None], ["Data", "Cliente", "Valor"], ["2025-01-01", "x1", "10"]])[0] == 1
-    assert score_rows([["1", "2"], ["3", "4"]]) == (None, 0.0)
+def test_header_scores(spark):
+    def found(rows):
+        sample = spark.createDataFrame([("s", i + 1, r) for i, r in enumerate(rows)], "sheet string, row_no bigint, cells array<string>")
+        r = top_header(sample, ["sheet"]).first()
+        return r["header_row"], r["header_score"]
+
+    assert found([["Relatorio", None, None], ["Data", "Cliente", "Valor"], ["2025-01-01", "x1", "10"]]) == (2, 100.0)
+    assert found([["1", "2"], ["3", "4"]]) == (None, 0.0)
+    assert found([["Alfa", "Beta"]]) == (1, 75.0)
+    assert found([["Alfa", "Beta"], ["Gama", "Delta"]]) == (None, 0.0)
+    assert found([["Preço Médio", "coluna_2", None], ["a", "b", "1"], ["c", "7", ""]])[0] == 1
 
 
 def test_files_and_snapshots(spark, tmp_path):

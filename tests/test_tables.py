@@ -1,7 +1,6 @@
 """Cleaning, quality, rankings, mapping and entities on small tables."""
 
 import random
-from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
@@ -64,6 +63,15 @@ def test_chunked_scans_equal_plain_ones(spark):
         assert (r["s"], r["l"], r["n"]) == (total, last, nxt)
 
 
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, last + (x != y))
+    return row[-1]
+
+
 def _brute(texts):
     out = set()
     blocks = {}
@@ -72,7 +80,7 @@ def _brute(texts):
     for block in blocks.values():
         for i, a in enumerate(block):
             for b in block[i + 1:i + 21]:
-                if abs(len(a) - len(b)) <= max(len(a), len(b)) * 0.12 and SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.92:
+                if abs(len(a) - len(b)) <= max(len(a), len(b)) * 0.12 and 1 - _edits(a, b) / max(len(a), len(b)) >= 0.9:
                     out.add((a, b))
     return out
 
@@ -98,6 +106,20 @@ def test_names_that_must_not_match(spark):
     assert entities.exact_variant_pairs(labels).count() == 0 and entities.fuzzy_pairs(labels).count() == 0
 
 
+def test_letters_that_change_places_match(spark):
+    df = spark.createDataFrame([("Distribuidora Oliveira",), ("Distribuidora Oliviera",)], "Cliente string")
+    assert entities.fuzzy_pairs(entities.label_context(df, "Cliente", None, None)).count() == 1
+
+
+def test_unions_that_share_a_name(spark):
+    rows = [("Armazem Central", 3), ("Armazém Central", 2), ("ARMAZEM CENTRAL", 1)]
+    df = spark.createDataFrame([(n,) for n, k in rows for _ in range(k)], "Cliente string")
+    c = entities.entity_candidates(df, {"cliente": "Cliente"}).cache()
+    asked = c.selectExpr("candidate_id", "'merge' AS decision", "CAST(NULL AS STRING) AS canonical_value")
+    errors = [r["error"] for r in entities.validate_decisions(c, asked).collect()]
+    assert len(errors) == 2 and errors.count(None) == 1
+
+
 def test_name_variants(spark):
     df = spark.createDataFrame([("José Silva", 100.0, 1), ("JOSÉ  SILVA", 50.0, 2), ("José Silva", 10.0, 3)], "Cliente string, Valor_Total double, n long")
     c = entities.entity_candidates(df, {"cliente": "Cliente", "valor_total": "Valor_Total"}, row_no="n").collect()
