@@ -109,14 +109,13 @@ def links(prints: DataFrame, direct: int = DIRECT) -> DataFrame:
     keyed = prints.select("fp", F.explode(F.array(*[
         F.struct(F.lit(i).alias("start"), _segment(F.col("fp"), i).bitwiseOR(F.shiftleft(_segment(F.col("fp"), i + 1), _width(i))).alias("key"))
         for i in range(SEGMENTS)])).alias("k")).select("fp", "k.start", "k.key")
-    sizes = keyed.groupBy("start", "key").agg(F.count("*").alias("n")).where("n > 1")
-    keyed = keyed.join(sizes, ["start", "key"])
+    crowded = written(keyed.groupBy("start", "key").agg(F.count("*").alias("n")).where(F.col("n") > direct).drop("n"), "simhash-crowded")
     pair = lambda extra: (F.col("a.fp") < F.col("b.fp")) & (F.col("a.start") == F.col("b.start")) & (F.col("a.key") == F.col("b.key")) & extra
     difference = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     near = _chained(difference, F.col("a.start")) & (F.bit_count(difference) <= BUDGET)
-    few = keyed.where(F.col("n") <= direct)
+    few = keyed.join(crowded, ["start", "key"], "left_anti")
     plain = few.alias("a").join(few.alias("b"), pair(near)).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
-    many = keyed.where(F.col("n") > direct)
+    many = keyed.join(crowded, ["start", "key"], "left_semi")
     following = F.lit(0).cast("bigint")
     for i in range(SEGMENTS):
         both = _segment(F.col("fp"), i + 2).bitwiseOR(F.shiftleft(_segment(F.col("fp"), i + 3), _width(i + 2)))
