@@ -22,7 +22,7 @@ def months(spark, d, kind="cliente", with_id=True):
 
 
 def windows(spark, d, em):
-    s = temporal.monthly_series(sales(spark, d), "Data", M)
+    s = evolution.series_of(em, NAMES)
     share = evolution.undated_share(em).scalar()
     return evolution.comparison_windows(evolution.period_coverage(em, NAMES), s, share)
 
@@ -106,10 +106,10 @@ def entity_magnitude(spark, d):
 
 
 @check("comparison_windows", f"""WITH {base_sql()}
-SELECT metric, previous_period, current_period, round(global_change, 2) AS global_change, population_before, population_after, complete_fields FROM win""")
+SELECT metric, previous_period, current_period, round(global_change, 4) AS global_change, population_before, population_after, complete_fields FROM win""")
 def comparison_windows(spark, d):
     return rounded(windows(spark, d, months(spark, d)).select(
-        "metric", "previous_period", "current_period", "global_change", "population_before", "population_after", "complete_fields"), 2)
+        "metric", "previous_period", "current_period", "global_change", "population_before", "population_after", "complete_fields"), 4)
 
 
 CH = """SELECT metric, CAST(entity AS VARCHAR) AS entity, label, previous_period, current_period, round(absolute_change, 4) AS absolute_change,

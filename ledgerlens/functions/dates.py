@@ -16,7 +16,13 @@ DATE_FORMATS = (
     (r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2}:\d{2}$", "yyyy-M-d H:mm:ss"),
     (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", "d/M/yyyy H:mm"),
     (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", "d/M/yyyy H:mm:ss"),
+    (r"^\d{1,2}/\d{1,2}/\d{2}$", "d/M/yy"),
+    (r"^\d{1,2}-\d{1,2}-\d{2}$", "d-M-yy"),
+    (r"^\d{1,2} [A-Z][a-z]{2} \d{4}$", "d MMM yyyy"),
+    (r"^\d{1,2} [A-Z][a-z]{3,8} \d{4}$", "d MMMM yyyy"),
+    (r"^\d{8}$", "yyyyMMdd"),
 )
+FRACTIONAL = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(\.\d{1,9})?(Z|[+-]\d{2}:?\d{2})?$"
 DATE_PATTERN = r"^\d{4}-\d{1,2}-\d{1,2}$|^\d{1,2}/\d{1,2}/\d{4}$"
 
 
@@ -27,4 +33,7 @@ def parse_date_text(c: Column) -> Column:
     for pattern, layout in reversed(DATE_FORMATS):
         plain = pattern.replace("[ T]", " ")
         parsed = F.when(text.rlike(plain), F.try_to_timestamp(text, F.lit(layout))).otherwise(parsed)
-    return F.when(text.rlike(r"^\d{1,4}[-/.]\d"), parsed)
+    # years of two digits from 69 on are those of the last century
+    parsed = F.when(text.rlike(r"^\d{1,2}[-/]\d{1,2}[-/](69|[7-9]\d)$"), parsed - F.expr("INTERVAL 100 YEARS")).otherwise(parsed)
+    parsed = F.when(text.rlike(FRACTIONAL), text.try_cast("timestamp")).otherwise(parsed)
+    return F.when(text.rlike(r"^\d{1,4}[-/.]\d|^\d{8}$|^\d{1,2} [A-Z][a-z]{2}"), parsed)

@@ -2,21 +2,32 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented Latin letters and their plain forms.
-ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuucnyy"
+def _plain_letters() -> dict[str, str]:
+    """Precomposed letters of the Latin blocks and the plain lower- or upper-case letter each is made of."""
+    found = {}
+    for point in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        base = unicodedata.normalize("NFD", chr(point))[0]
+        if base != chr(point) and base.isascii():
+            found[chr(point)] = base
+    return found
+
+
+LETTERS = _plain_letters()
 
 
 def strip_accents(c: Column) -> Column:
-    return F.translate(c, ACCENTED + ACCENTED[:-1].upper() + "Ÿ", PLAIN + PLAIN[:-1].upper() + "Y")
+    """Plain letters: combining marks are dropped, precomposed Latin letters lose theirs."""
+    return F.regexp_replace(F.translate(c, "".join(LETTERS), "".join(LETTERS.values())), r"\p{Mn}+", "")
 
 
 def fold(c: Column) -> Column:
     """Lower case, trimmed, without accents."""
-    return F.translate(F.lower(F.trim(c)), ACCENTED, PLAIN)
+    return strip_accents(F.lower(F.trim(c)))
 
 
 def squeeze(c: Column) -> Column:
@@ -26,7 +37,7 @@ def squeeze(c: Column) -> Column:
 
 def entity_key(c: Column) -> Column:
     """Comparison form of an entity name: squeezed, case-folded, plain letters."""
-    return F.translate(F.lower(squeeze(c)), ACCENTED, PLAIN)
+    return strip_accents(F.replace(F.lower(squeeze(c)), F.lit("ß"), F.lit("ss")))
 
 
 def header_name(c: Column) -> Column:

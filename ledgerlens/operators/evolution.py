@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.comparison import month_ordinal, with_comparison
+from ..functions.comparison import month_label, month_ordinal, with_comparison
 from ..functions.numeric import finite
 from .rankings import labelled_groups
 from .temporal import compare_series
@@ -105,22 +105,31 @@ def comparison_windows(coverage: DataFrame, series: DataFrame, undated_share: Co
     ).withColumn("complete_fields", full("before") & full("after") & (undated_share <= 1 - MIN_COVERAGE))
 
 
+def series_of(months: DataFrame, metrics: list[str]) -> DataFrame:
+    """(metric, ord, period, value, records) of all entities together, from their months instead of the rows."""
+    sums = months.where(F.col("ord").isNotNull()).groupBy("ord").agg(
+        *[F.sum(f"s_{m}").alias(f"s_{m}") for m in metrics], *[F.sum(f"n_{m}").alias(f"n_{m}") for m in metrics])
+    entries = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"s_{m}").alias("value"), F.col(f"n_{m}").alias("records")) for m in metrics])
+    return sums.select("ord", F.inline(entries)).where("records > 0").select("metric", "ord", month_label(F.col("ord")).alias("period"), "value", "records")
+
+
 def matched_pairs(months: DataFrame, metrics: list[str]) -> DataFrame:
     """(entity, metric, before, after) for entities seen in two adjacent months."""
     w = Window.partitionBy("entity").orderBy("ord")
-    whole = Window.partitionBy("entity")
 
     def magnitude(m: str) -> Column:
         size = F.abs(F.col(f"s_{m}"))
-        return F.coalesce(F.median(F.when(size > 0, size)).over(whole), F.lit(0.0)).alias(f"ref_{m}")
+        return F.coalesce(F.median(F.when(size > 0, size)), F.lit(0.0)).alias(f"ref_{m}")
 
-    stepped = months.where(F.col("entity").isNotNull() & F.col("ord").isNotNull()).select(
+    # an entity's magnitude is the same in all its rows: once per entity, joined on the partitioning of the window
+    seen = months.where(F.col("entity").isNotNull() & F.col("ord").isNotNull())
+    references = seen.groupBy("entity").agg(*[magnitude(m) for m in metrics])
+    stepped = seen.select(
         "entity", "label", "identity_source", "ord", "records", F.lead("ord").over(w).alias("next_ord"),
         F.lead("records").over(w).alias("records_b"),
-        *[magnitude(m) for m in metrics],
         *[F.col(f"s_{m}").alias(f"a_{m}") for m in metrics], *[F.col(f"n_{m}").alias(f"va_{m}") for m in metrics],
         *[F.lead(f"s_{m}").over(w).alias(f"b_{m}") for m in metrics], *[F.lead(f"n_{m}").over(w).alias(f"vb_{m}") for m in metrics],
-    ).where(F.col("next_ord") == F.col("ord") + 1)
+    ).where(F.col("next_ord") == F.col("ord") + 1).join(references, "entity")
     return stepped.select(
         "entity", "label", "identity_source", F.col("ord").alias("ord_before"),
         F.col("records").alias("records_before"), F.col("records_b").alias("records_after"),

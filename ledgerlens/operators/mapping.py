@@ -123,16 +123,20 @@ def structural_types(df: DataFrame, row_no: str | None = None) -> DataFrame:
     return facts.select("column", "position", role.alias("role"), sure.alias("role_confidence"), "rows", "filled", "cardinality")
 
 
+#: Letters of an example that are shown.
+SHOWN = 80
+
+
 def _examples(df: DataFrame, row_no: str | None) -> DataFrame:
     """(column, examples): the first three values in source order, or the smallest."""
     data = df.drop(row_no) if row_no else df
     types = dict(data.dtypes)
     order = F.col(f"`{row_no}`") if row_no else F.lit(0)
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.substring(F.col(f"`{c}`").cast("string"), 1, 80).alias("value")) for c in types])
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in types])
     first = df.select(order.alias("_o"), F.inline(cells)).where("value is not null").groupBy("column", "value").agg(F.min("_o").alias("_o"))
     w = Window.partitionBy("column").orderBy("_o", "value")
     top = first.withColumn("i", F.row_number().over(w)).where(F.col("i") <= EXAMPLES)
-    return top.groupBy("column").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "value"))), lambda s: s["value"]).alias("seen"))
+    return top.groupBy("column").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "value"))), lambda s: F.substring(s["value"], 1, SHOWN)).alias("seen"))
 
 
 def profile_columns(df: DataFrame, row_no: str | None = None, headers: DataFrame | None = None) -> DataFrame:

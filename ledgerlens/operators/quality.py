@@ -1,12 +1,13 @@
 """Profiling, type inference, issues, coherence audit and quality score.
 
-The profile rests on one value-frequency frame ``(column, value, n)``: rows are
-fanned out to their cells and reduced map-side, so pattern tests run once per
-distinct value instead of once per row, and a hot value costs one record.
+Profiles and type shares are one aggregation over the rows; only what needs the
+values themselves (frequencies, distinct identifiers, duplicates) shuffles.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,42 +99,52 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     return same.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("duplicates"))
 
 
-def _name_has(terms: tuple[str, ...], whole_words: bool) -> Column:
-    name = F.lower(F.trim(F.col("column")))
-    if whole_words:
-        return F.arrays_overlap(F.split(name, r"[_\-\s]+"), F.array(*[F.lit(t) for t in terms]))
-    hit = F.lit(False)
-    for t in terms:
-        hit = hit | F.contains(name, F.lit(t))
-    return hit
+def _name_has(name: str, terms: tuple[str, ...], whole_words: bool) -> bool:
+    plain = name.strip().lower()
+    return bool(set(re.split(r"[_\-\s]+", plain)) & set(terms)) if whole_words else any(t in plain for t in terms)
 
 
 def infer_types(df: DataFrame) -> DataFrame:
-    """One row per column with its suggested type: identifier, then date, then number."""
-    freq = value_frequencies(df).where(F.col("value").isNotNull())
-    schema = column_kinds(df)
-    text = F.trim(F.col("value"))
-    lettered = (F.col("kind") == "text") & F.col("value").rlike("[A-Za-z]")
+    """One row per column with its suggested type: identifier, then date, then number.
+
+    Shares of letters, dates and numbers come from one aggregation over the
+    rows, without a shuffle of them. Distinct values are counted only for the
+    columns whose decision can depend on them: those named like an identifier.
+    """
+    types = list(df.dtypes)
+    value = {n: F.when(~_missing(n, t), F.col(f"`{n}`").cast("string")) for n, t in types}
+    facts = []
+    for i, (n, t) in enumerate(types):
+        text, is_text = F.trim(value[n]), kind_of(t) == "text"
+        facts.append(F.count(value[n]).alias(f"f{i}"))
+        if is_text:
+            facts += [
+                F.coalesce(F.bool_or(value[n].rlike("[A-Za-z]")), F.lit(False)).alias(f"l{i}"), F.count_if(text.rlike(DATE_PATTERN)).alias(f"p{i}"),
+                F.count(parse_date_text(text)).alias(f"d{i}"), F.count(parse_decimal_text(text)).alias(f"n{i}")]
+    none, no = F.lit(0).cast("bigint"), F.lit(False)
+    entries = [F.struct(
+        F.lit(n).alias("column"), F.lit(i).alias("position"), F.lit(t).alias("dtype"), F.lit(kind_of(t)).alias("kind"),
+        F.lit(_name_has(n, ID_NAME_TERMS, True)).alias("id_name"), F.lit(_name_has(n, DATE_NAME_TERMS, False)).alias("date_name"), F.col(f"f{i}").alias("filled"),
+        *[(F.col(f"{k}{i}") if kind_of(t) == "text" else default).alias(a)
+          for k, a, default in (("l", "lettered", no), ("p", "date_like", none), ("d", "dates", none), ("n", "numbers", none))]) for i, (n, t) in enumerate(types)]
+    stats = df.agg(*facts).select(F.inline(F.array(*entries))).where("filled > 0")
+    named = [n for n, _ in types if _name_has(n, ID_NAME_TERMS, True)]
+    distinct = None
+    for n in named:
+        part = df.select(F.trim(value[n]).alias("v")).where("v is not null").distinct().agg(F.count(F.lit(1)).alias("distinct_values")).select(F.lit(n).alias("column"), "distinct_values")
+        distinct = part if distinct is None else distinct.unionByName(part)
+    if distinct is None:
+        stats = stats.withColumn("distinct_values", none)
+    else:
+        stats = stats.join(distinct, "column", "left").withColumn("distinct_values", F.coalesce("distinct_values", none))
     is_text = F.col("kind") == "text"
-    stats = (
-        freq.join(F.broadcast(schema), "column")
-        .groupBy("column", "position", "dtype", "kind")
-        .agg(
-            F.sum("n").alias("filled"),
-            F.count_distinct(text).alias("distinct_values"),
-            F.max(lettered).alias("lettered"),
-            F.sum(F.when(is_text & text.rlike(DATE_PATTERN), F.col("n")).otherwise(0)).alias("date_like"),
-            F.sum(F.when(is_text & parse_date_text(text).isNotNull(), F.col("n")).otherwise(0)).alias("dates"),
-            F.sum(F.when(is_text & parse_decimal_text(text).isNotNull(), F.col("n")).otherwise(0)).alias("numbers"),
-        )
-    )
     share = lambda c: F.col(c) / F.col("filled")
     id_score = (
-        F.when(_name_has(ID_NAME_TERMS, True), 60).otherwise(0)
+        F.when(F.col("id_name"), 60).otherwise(0)
         + F.when(F.col("lettered"), 20).otherwise(0)
         + F.when(share("distinct_values") >= MIN_UNIQUE, 20).otherwise(0)
     )
-    date_ok = is_text & (_name_has(DATE_NAME_TERMS, False) | (share("date_like") >= MIN_RATE)) & (share("dates") >= MIN_RATE)
+    date_ok = is_text & (F.col("date_name") | (share("date_like") >= MIN_RATE)) & (share("dates") >= MIN_RATE)
     number_ok = is_text & (share("numbers") >= MIN_RATE)
     suggested = (
         F.when(id_score >= MIN_ID_CONFIDENCE, F.lit("identificador"))

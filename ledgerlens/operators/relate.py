@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from ..functions.text import header_name
 from .roles import classify_columns, column_frame
 
@@ -94,7 +95,8 @@ def detect_relationships(tables: dict[str, DataFrame]) -> DataFrame:
     """Relationships found between key-like columns of the same entity.
 
     Candidate pairs are a self-join of the column frame on the entity name; the
-    overlap of all pairs is one distributed join of distinct key values.
+    overlap of all pairs is one aggregation of the distinct key values, so no
+    column is a join key.
     """
     keys = key_columns(tables)
     found = keys.select("table", "column", "entity", "family", "table_pos", "position").collect()
@@ -111,7 +113,7 @@ def detect_relationships(tables: dict[str, DataFrame]) -> DataFrame:
               "afinidade_pk double, unicidade_a double, unicidade_b double")
     if not wanted:
         return spark.createDataFrame([], schema)
-    values = key_values(tables, wanted)
+    values = cut_lineage(key_values(tables, wanted))
     catalogue = spark.createDataFrame(
         [tuple(k) for k in found if k["column"] in wanted.get(k["table"], [])],
         "table string, column string, entity string, family string, table_pos int, position int")
@@ -124,14 +126,13 @@ def detect_relationships(tables: dict[str, DataFrame]) -> DataFrame:
     unique_a, unique_b = F.col("rate_a") >= KEY_UNIQUENESS, F.col("rate_b") >= KEY_UNIQUENESS
     pairs = pairs.where(unique_a | unique_b)
 
-    left = values.select(F.col("table").alias("table_a"), F.col("column").alias("column_a"), "value")
-    right = values.select(F.col("table").alias("table_b"), F.col("column").alias("column_b"), "value")
+    # One row per value and kind of key with the columns that hold it: a set as small as the schema, from which pairs are counted.
+    held = values.join(F.broadcast(catalogue), ["table", "column"]).groupBy("entity", "family", "value").agg(
+        F.collect_set(F.struct("table_pos", "table", "column")).alias("columns")).where(F.size("columns") > 1)
     names = ["table_a", "column_a", "table_b", "column_b"]
-    overlap = (
-        pairs.select(*names).join(left, ["table_a", "column_a"])
-        .join(right, ["table_b", "column_b", "value"])
-        .groupBy(*names).agg(F.count(F.lit(1)).alias("common"))
-    )
+    met = held.select("columns", F.explode("columns").alias("x")).select("x", F.explode("columns").alias("y")).where("x.table_pos < y.table_pos")
+    overlap = met.select(F.col("x.table").alias("table_a"), F.col("x.column").alias("column_a"), F.col("y.table").alias("table_b"), F.col("y.column").alias("column_b")).groupBy(
+        *names).agg(F.count(F.lit(1)).alias("common"))
     both = unique_a & unique_b
     joined = pairs.join(overlap, names, "left").withColumn("common", F.coalesce("common", F.lit(0)))
     base_count = (

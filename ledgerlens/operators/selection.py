@@ -51,7 +51,7 @@ def select_findings(findings: DataFrame, limit: int = MAX_SELECTED) -> DataFrame
     the n-th finding of every family comes before the (n+1)-th of any. A rank
     has a single confidence, so the cap on low confidence removes a tail of it.
     """
-    limit = max(0, min(limit, MAX_SELECTED))
+    limit = max(0, limit)
     events = collapse_events(distinct_findings(findings)).withColumn("family", family(F.col("rule"), F.col("scope")))
     everything = Window.partitionBy(F.lit(0))
     some_impact = F.max(F.when(F.col("impact") != "low", 1).otherwise(0)).over(everything)
