@@ -5,10 +5,12 @@ from __future__ import annotations
 from pathlib import PurePosixPath
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import running_sums
 from ..operators.headers import top_header
+from ..session import cut_lineage
 
 # File kinds, delimiters in order of preference, sample length.
 PATTERN = "*.{csv,txt,tsv}"
@@ -24,73 +26,136 @@ def find_files(spark: SparkSession, folder: str, pattern: str = PATTERN) -> Data
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path)
+    """(file, split, place, raw): lines as they stand in the files, ``place`` ordering those of a split; ``file`` is the full path."""
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("place"), F.col("value").alias("raw"))
 
 
-def detect_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 if every line is valid UTF-8, else Latin-1."""
-    broken = _lines(spark, path).where(~F.is_valid_utf8("value")).limit(1)
-    return "UTF-8" if broken.isEmpty() else "ISO-8859-1"
+def _outside_quotes(line: Column) -> Column:
+    return F.regexp_replace(line, '"[^"]*"', "")
 
 
-def delimiter_scores(spark: SparkSession, path: str) -> DataFrame:
-    """(delimiter, width, lines): the most regular multi-column width of each delimiter in the first lines."""
-    head = _lines(spark, path).where(F.trim("value") != "").limit(SAMPLE_LINES)
-    options = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(s).alias("delimiter")) for i, s in enumerate(DELIMITERS)])
-    width = F.length("value") - F.length(F.replace(F.col("value"), F.col("delimiter"), F.lit(""))) + 1
-    counts = head.select("value", F.inline(options)).withColumn("width", width).where("width > 1").groupBy("rank", "delimiter", "width").agg(
-        F.count(F.lit(1)).alias("lines"))
-    return counts.groupBy("rank", "delimiter").agg(F.max(F.struct("lines", "width")).alias("b")).select(
-        "rank", "delimiter", F.col("b.width").alias("width"), F.col("b.lines").alias("lines"))
-
-
-def detect_delimiter(spark: SparkSession, path: str) -> str:
-    best = delimiter_scores(spark, path).orderBy(F.desc("lines"), F.desc("width"), "rank").first()
-    return best["delimiter"] if best else ","
+def _count(line: Column, sign: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, sign, F.lit("")))
 
 
-def read_csv(spark: SparkSession, path: str, header: bool | None = None) -> DataFrame:
-    """One delimited file as a table of text columns; the header is kept only if the first row reads like one."""
-    sep, encoding = detect_delimiter(spark, path), detect_encoding(spark, path)
-    reader = spark.read.option("sep", sep).option("encoding", encoding).option("multiLine", False).option("mode", "FAILFAST")
-    if header is None:
-        first = [[c for c in row] for row in reader.option("header", False).csv(path).limit(SAMPLE_LINES).collect()]
-        sample = spark.createDataFrame([(1, i + 1, row) for i, row in enumerate(first)], "sheet int, row_no bigint, cells array<string>")
-        header = bool(first) and top_header(sample, ["sheet"]).first()["header_row"] == 1
-    df = reader.option("header", header).csv(path)
-    if header:
-        names, seen = [], {}
-        for i, c in enumerate(df.columns):
-            base = c.strip().lstrip("﻿") if c and not c.startswith("_c") else f"coluna_{i + 1}"
-            seen[base] = seen.get(base, 0) + 1
-            names.append(base if seen[base] == 1 else f"{base}_{seen[base]}")
-        return df.toDF(*names)
-    return df.toDF(*[f"coluna_{i + 1}" for i in range(len(df.columns))])
+def line_facts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, encoding, open_quotes): UTF-8 if every line is valid UTF-8, else Latin-1; whether a quoted field runs over a line end."""
+    return _lines(spark, path).groupBy("file").agg(
+        F.when(F.bool_and(F.is_valid_utf8("raw")), "UTF-8").otherwise("ISO-8859-1").alias("encoding"),
+        F.bool_or(_count(F.col("raw"), F.lit('"')) % 2 == 1).alias("open_quotes"))
 
 
-def read_grid(spark: SparkSession, path: str) -> DataFrame:
-    """(file, sheet, row_no, cells) of delimited files, before any header decision.
+def _records(lines: DataFrame) -> DataFrame:
+    """(file, encoding, row_no, line): numbered records, lines of one quoted field joined.
 
-    Row numbers follow the source order: rows are numbered inside each file
-    split, and splits get the offset of the splits before them.
+    Rows are numbered inside each file split and splits get the offset of those
+    before them. Where quotes stay open over line ends, a record starts at the
+    lines before which the number of quotes is even: a running total in chunks.
     """
-    sep = detect_delimiter(spark, path)
-    encoding = detect_encoding(spark, path)
-    lines = spark.read.text(path).select(
-        F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), F.col("_metadata.file_block_start").alias("split"),
-        F.monotonically_increasing_id().alias("place"), F.col("value").alias("line"))
-    if encoding != "UTF-8":
-        lines = lines.withColumn("line", F.decode(F.encode("line", "ISO-8859-1"), "ISO-8859-1"))
-    width = lines.agg(F.max(F.length("line") - F.length(F.replace("line", F.lit(sep), F.lit(""))) + 1).alias("w")).first()["w"] or 1
-    schema = ", ".join(f"c{i} string" for i in range(width))
-    cells = F.from_csv("line", schema, {"sep": sep})
     inside = F.row_number().over(Window.partitionBy("file", "split").orderBy("place"))
     sizes = lines.groupBy("file", "split").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("file", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    return lines.withColumn("inside", inside).join(offsets, ["file", "split"]).select(
-        "file", F.lit("csv").alias("sheet"), (F.col("offset") + F.col("inside")).alias("row_no"),
-        F.array(*[cells[f"c{i}"] for i in range(width)]).alias("cells"))
+    keep = ["file", "encoding", "open_quotes"]
+    numbered = lines.withColumn("inside", inside).join(offsets, ["file", "split"]).select(*keep, (F.col("offset") + F.col("inside")).alias("row_no"), "line")
+    plain = numbered.where("not open_quotes").drop("open_quotes")
+    quotes = _count(F.col("line"), F.lit('"'))
+    counted = running_sums(numbered.where("open_quotes"), ["file"], "row_no", {"upto": quotes})
+    starts = counted.withColumn("starts", F.when((F.col("upto") - quotes) % 2 == 0, 1).otherwise(0))
+    named = running_sums(starts, ["file"], "row_no", {"record": F.col("starts")})
+    joined = named.groupBy("file", "encoding", "record").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row_no", "line"))), lambda x: x["line"]), "\n").alias("line"), (F.max("upto") % 2).alias("left_open"))
+    whole = F.when(F.col("left_open") == 1, F.raise_error(F.concat(F.lit("a quoted field is never closed in "), "file"))).otherwise(F.col("line"))
+    return plain.unionByName(joined.select("file", "encoding", F.col("record").alias("row_no"), whole.alias("line")))
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, encoding, row_no, line) of all files below ``path``; ``file`` is the full path, the encoding that of the file."""
+    raw = _lines(spark, path).join(cut_lineage(line_facts(spark, path)), "file")
+    text = F.when(F.col("encoding") == "UTF-8", F.col("raw")).otherwise(F.decode(F.col("raw").cast("binary"), "ISO-8859-1"))
+    return _records(raw.withColumn("line", F.regexp_replace(text, "^\ufeff", "")).drop("raw"))
+
+
+def delimiter_scores(records: DataFrame, sample: int = SAMPLE_LINES) -> DataFrame:
+    """(file, rank, delimiter, width, lines): the most regular multi-column width of each delimiter in the first ``sample`` filled records of each file."""
+    first = F.row_number().over(Window.partitionBy("file").orderBy("row_no"))
+    head = records.where(F.trim("line") != "").withColumn("i", first).where(F.col("i") <= sample)
+    options = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(s).alias("delimiter")) for i, s in enumerate(DELIMITERS)])
+    counts = head.select("file", "line", F.inline(options)).withColumn("width", _count(_outside_quotes(F.col("line")), F.col("delimiter")) + 1).where(
+        "width > 1").groupBy("file", "rank", "delimiter", "width").agg(F.count(F.lit(1)).alias("lines"))
+    return counts.groupBy("file", "rank", "delimiter").agg(F.max(F.struct("lines", "width")).alias("b")).select(
+        "file", "rank", "delimiter", F.col("b.width").alias("width"), F.col("b.lines").alias("lines"))
+
+
+def delimiters(records: DataFrame, sample: int = SAMPLE_LINES) -> DataFrame:
+    """(file, delimiter) of the files that have one; a comma is taken for the others."""
+    return delimiter_scores(records, sample).groupBy("file").agg(F.min_by("delimiter", F.struct(-F.col("lines"), -F.col("width"), "rank")).alias("delimiter"))
+
+
+def read_grid(spark: SparkSession, path: str) -> DataFrame:
+    """(file, sheet, row_no, cells) of delimited files, before any header decision."""
+    found = read_records(spark, path)
+    chosen = cut_lineage(delimiters(found))
+    records = found.join(chosen, "file", "left").withColumn("delimiter", F.coalesce("delimiter", F.lit(DELIMITERS[0])))
+    signs = {DELIMITERS[0], *(r["delimiter"] for r in chosen.select("delimiter").distinct().collect())}  # four at most
+    width = records.agg(F.max(_count(_outside_quotes(F.col("line")), F.col("delimiter")) + 1).alias("w")).first()["w"] or 1
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    cells = F.lit(None).cast("array<string>")
+    for sign in sorted(signs):
+        parsed = F.from_csv("line", schema, {"sep": sign, "multiLine": "true"})
+        cells = F.when(F.col("delimiter") == sign, F.array(*[parsed[f"c{i}"] for i in range(width)])).otherwise(cells)
+    return records.select("file", F.lit("csv").alias("sheet"), "row_no", cells.alias("cells"))
+
+
+def _names(cells: list[str | None]) -> list[str]:
+    """Column names of a header row: blank ones by position, repeated ones numbered, real ones keeping their own."""
+    given = [(c or "").strip() for c in cells]
+    taken, names = {g for g in given if g}, []
+    for i, g in enumerate(given):
+        base = g if g and not g.lower().startswith("unnamed:") else f"coluna_{i + 1}"
+        name, k = base, 2
+        while name in names or (name != g and name in taken):
+            name, k = f"{base}_{k}", k + 1
+        names.append(name)
+    return names
+
+
+def table_plans(spark: SparkSession, path: str) -> tuple[DataFrame, list[Row]]:
+    """The grid of all files, and per file (file, header_row, header): decided for all files in one pass over their first rows."""
+    grid = cut_lineage(read_grid(spark, path))
+    head = cut_lineage(grid.where(F.col("row_no") <= SAMPLE_LINES))
+    cells = head.select("file", F.col("row_no").alias("header_row"), "cells")
+    plans = top_header(head, ["file"]).join(cells, ["file", "header_row"], "left").select("file", "header_row", F.col("cells").alias("header"))
+    return grid, plans.orderBy("file").collect()  # one row per file, as there is one table per file
+
+
+def _table(grid: DataFrame, plan: Row, files: list[Row]) -> DataFrame:
+    """Text columns below the header of one file, or of the parts of one; empty rows and columns are left out."""
+    skip = F.create_map(*[x for f in files for x in (F.lit(f["file"]), F.lit(f["header_row"] or 0))])
+    body = grid.where(F.col("file").isin(*[f["file"] for f in files])).where(F.col("row_no") > skip[F.col("file")])
+    body = body.where(F.exists("cells", lambda c: F.coalesce(F.trim(c) != "", F.lit(False))))
+    header = list(plan["header"]) if plan["header"] else []
+    width = body.agg(F.max(F.size("cells")).alias("w")).first()["w"] or len(header)
+    used = body.agg(*[F.bool_or(F.coalesce(F.trim(F.col("cells")[i]) != "", F.lit(False))).alias(f"c{i}") for i in range(width)]).first() if width else {}
+    names = _names(header + [None] * (width - len(header)))
+    kept = [i for i in range(width) if used[f"c{i}"] or (used[f"c{i}"] is None and i < len(header))]
+    return body.select(*[F.when(F.col("cells")[i] != "", F.col("cells")[i]).alias(names[i]) for i in kept])
+
+
+def read_csv(spark: SparkSession, path: str, header: bool | None = None) -> DataFrame:
+    """One delimited file (or the parts of one) as a table of text columns.
+
+    The header is found among the first rows, whatever stands above it; ragged
+    rows are filled up, and fields may hold line ends. ``header`` forces the
+    first row to be one or not.
+    """
+    grid, plans = table_plans(spark, path)
+    if header is not None:
+        first = {r["file"]: r["cells"] for r in grid.where("row_no = 1").select("file", "cells").collect()}
+        plans = [Row(**{**p.asDict(), "header_row": 1 if header else None, "header": first.get(p["file"]) if header else None}) for p in plans]
+    return _table(grid, plans[0], plans)
 
 
 def table_name(path: str) -> str:
@@ -98,19 +163,24 @@ def table_name(path: str) -> str:
 
 
 def load_tables(spark: SparkSession, folder: str, strict: bool = False) -> dict[str, DataFrame]:
-    """Every file of a folder as a named lazy table; two files of one name are an error."""
-    tables: dict[str, DataFrame] = {}
-    for row in find_files(spark, folder).collect():
+    """Every file of a folder as a named table; two files of one name are an error. How to read them is decided for all at once."""
+    names: dict[str, str] = {}
+    found = find_files(spark, folder).select("path").collect()
+    for row in found:
         name = table_name(row["path"])
-        if name in tables:
+        if name in names:
             raise ValueError(f"two files define table {name!r}")
-        df = read_csv(spark, row["path"])
+        names[name] = row["path"]
+    if not names:
+        raise FileNotFoundError(f"no supported file in {folder}")
+    grid, plans = table_plans(spark, f"{folder.rstrip('/')}/{PATTERN}")
+    tables = {table_name(p["file"]): _table(grid, p, [p]) for p in plans}
+    for name, df in tables.items():
         if strict and df.isEmpty():
             raise ValueError(f"table {name!r} is empty")
-        tables[name] = df
-    if not tables:
-        raise FileNotFoundError(f"no supported file in {folder}")
-    return tables
+    if strict and set(names) - set(tables):
+        raise ValueError(f"empty files: {sorted(set(names) - set(tables))}")
+    return {name: tables[name] for name in names if name in tables}
 
 
 def load_single(spark: SparkSession, path: str) -> DataFrame:

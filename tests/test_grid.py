@@ -1,5 +1,7 @@
 """Recovery of small report sheets."""
 
+import pytest
+
 from ledgerlens.operators import grid
 from ledgerlens.operators.headers import top_header
 from ledgerlens.sources import files, sinks, snapshots
@@ -65,6 +67,17 @@ def test_files_and_snapshots(spark, tmp_path):
     tables = files.load_tables(spark, str(tmp_path / "src"))
     assert set(tables) == {"clientes", "latin"} and tables["clientes"].count() == 30
     assert {r["Nome"] for r in tables["latin"].collect()} == {"João", "Ana"}
+    odd = tmp_path / "odd"
+    odd.mkdir()
+    (odd / "titulos.csv").write_text("\ufeffRelatorio mensal\n\nCliente,Valor,,Valor\nALFA,100\n,,,\n\"B; C\nlinha 2\",7,,9\n", encoding="utf-8")
+    (odd / "dados.txt").write_text("20686\t2020-01-06\t128.7\n20687\t2020-01-07\t90\n")
+    found = files.load_tables(spark, str(odd))
+    assert found["titulos"].columns == ["Cliente", "Valor", "Valor_2"]
+    assert {tuple(r) for r in found["titulos"].collect()} == {("ALFA", "100", None), ("B; C\nlinha 2", "7", "9")}
+    assert found["dados"].columns == ["coluna_1", "coluna_2", "coluna_3"] and found["dados"].count() == 2
+    (odd / "aberto.csv").write_text("Cliente,Valor\n\"sem fechamento")
+    with pytest.raises(Exception, match="never closed"):
+        files.load_tables(spark, str(odd))["aberto"].collect()
     status = spark.createDataFrame([(90, "saudavel")], "score int, status string")
     q = spark.createDataFrame([(1, 2, 0, 0, 90.0, "boa")], "rows long, columns long, total_nulls long, duplicates long, score double, grade string")
     k = spark.createDataFrame([("lucro_total", 1.0)], "indicador string, valor double")
