@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import enrich, insights, metrics, rankings, temporal
-from ledgerlens.session import cut_lineage
+from ledgerlens.plans import analysis
+from ledgerlens.session import cut_lineage, shared_folder
+from ledgerlens.sources import sinks
 
 from .common import ROLES, SALES, check, once, rounded, sales, table
 from .rankings import DIM_SQL, DNAME, NAME, PM, STATS, dims, long_sql, totals_sql
@@ -235,3 +237,42 @@ def provenance(spark, d):
     header = F.col("n_regionkey") == 1
     auto = n.select(F.col("n_name").alias("column"), F.when(header, "cabecalho_posterior").alias("header_origin"), F.when(header, 0.97).alias("header_confidence"))
     return insights.mapping_provenance(auto, n.where("n_regionkey = 0").select(F.col("n_name").alias("column")))
+
+
+@once
+def whole(spark, d):
+    """The whole analysis of the sales and product tables."""
+    li, o, p = (table(spark, d, t) for t in ("lineitem", "orders", "part"))
+    return analysis.analyze({
+        "Vendas": li.join(o, F.expr("l_orderkey = o_orderkey")).select(
+            F.col("l_orderkey").alias("Pedido_ID"), F.col("o_orderdate").alias("Data"), F.col("o_custkey").alias("Cliente_ID"),
+            F.col("l_partkey").alias("Produto_ID"), F.col("l_quantity").alias("Quantidade"), F.col("l_extendedprice").alias("Faturamento")),
+        "Produtos": p.select(F.col("p_partkey").alias("Produto_ID"), F.col("p_name").alias("Nome"), F.col("p_type").alias("Categoria"),
+                             F.col("p_retailprice").alias("Custo_Aquisicao"))})
+
+
+WHOLE = """WITH v AS (SELECT l_extendedprice AS f, l_quantity * p_retailprice AS c, l_orderkey AS p, o_custkey AS k, l_partkey AS i
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
+
+
+@check("executive_summary", f"""{WHOLE} SELECT round(sum(f), 2) AS revenue, round(sum(f - c), 2) AS profit, count(*) AS records, count(DISTINCT i) AS products,
+  true AS lists_bounded, true AS scored FROM v""")
+def summary_row(spark, d):
+    """The one row that holds everything, taken apart again."""
+    row = whole(spark, d)["executive_summary"]
+    value = lambda name: F.element_at(F.filter("kpis", lambda k: k["indicador"] == name), 1)["valor"]
+    counts = F.size(F.filter("lists", lambda x: x["list"] == "principais_riscos")) <= insights.MAX_RISKS
+    return rounded(row.select(
+        value("faturamento_total").alias("revenue"), value("lucro_total").alias("profit"), value("quantidade_registros").cast("bigint").alias("records"),
+        F.col("products")[0]["quantidade_produtos"].alias("products"), (counts & (F.size("lists") > 0)).alias("lists_bounded"),
+        F.col("status")[0]["score"].between(0, 100).alias("scored")), 2)
+
+
+@check("analysis_json", f"""{WHOLE} SELECT 'faturamento_total' AS indicador, round(sum(f), 2) AS valor FROM v UNION ALL SELECT 'custo_total', round(sum(c), 2) FROM v
+  UNION ALL SELECT 'quantidade_registros', count(*) FROM v""")
+def analysis_json(spark, d):
+    """The summary written as JSON and read back."""
+    path = shared_folder(spark, "analysis")
+    sinks.write_json(whole(spark, d)["executive_summary"], path)
+    back = spark.read.json(path).select(F.inline("kpis"))
+    return rounded(back.where(F.col("indicador").isin("faturamento_total", "custo_total", "quantidade_registros")).select("indicador", "valor"), 2)

@@ -136,4 +136,63 @@ def analyze(
     if found:
         every = results["findings"] = cut_lineage(findings.all_findings(*found))
         results["selected_findings"] = selection.select_findings(every)
+    _executive(results, data, roles, main)
     return Analysis(data, roles, results)
+
+
+# What the rules read, where an analysis has no such part.
+PARTS = {
+    "growth": "metric string, trend string, evolution double, drop_percent double, drop_period string, growth_percent double, growth_period string",
+    "runs": "metric string, length bigint, start_ord bigint, periods array<string>",
+    "performance": "registros_prejuizo bigint, prejuizo_total double",
+    "candidates": "product string, position int, lucro double",
+    "extremes": "concept string, position int, product string, quantidade double, estoque_atual double, estoque_minimo double, taxa_devolucao double, avaliacao_media double",
+    "means": "taxa_devolucao_media double, avaliacao_media_geral double, produtos_estoque_excessivo bigint",
+    "concentration": "concentracao_top_5 double",
+    "series_extremes": "metric string, best_period string, best_value double",
+    "product_top": "concept string, position int, product_id string, product string, value double",
+    "leader": "concept string, customer string, value double",
+    "dimension_top": "dimension string, position int, value_label string, faturamento double",
+}
+
+
+def _executive(results: dict[str, DataFrame], data: DataFrame, roles: metrics.Roles, main: str | None) -> None:
+    """Adds opportunities, insights, the organised lists, the status, the customer summary and the one-row summary.
+
+    Everything here is made of the aggregates above; no rule reads the rows again.
+    """
+    spark = data.sparkSession
+    parts = {name: spark.createDataFrame([], schema) for name, schema in PARTS.items()}
+    parts |= {k: results[k] for k in ("growth", "performance", "concentration", "dimension_top") if k in results}
+    if "series" in results:
+        parts["series_extremes"] = cut_lineage(temporal.extremes(results["series"]))
+        parts["runs"] = cut_lineage(insights.run_periods(results["changes"]))
+    if "product_detail" in results:
+        detail = results["product_detail"]
+        parts["extremes"] = cut_lineage(insights.product_extremes(detail))
+        parts["means"] = cut_lineage(insights.product_means(detail))
+        if "lucro" in roles and "faturamento" in roles:
+            parts["candidates"] = cut_lineage(rankings.growth_candidates(detail.select("entity", "label", "faturamento", "lucro")))
+        values = F.array(*[F.struct(F.lit(m).alias("concept"), F.col(m).alias("value")) for m in ("quantidade", "faturamento") if m in roles])
+        if {"quantidade", "faturamento"} & set(roles):
+            parts["product_top"] = cut_lineage(rankings.top_entities(detail.select("entity", "label", F.inline(values)), 1).select(
+                "concept", "position", F.col("entity").cast("string").alias("product_id"), rankings.display_entity(F.col("entity"), F.col("label")).alias("product"), "value"))
+    if "customer_ranking" in results:
+        leaders = results["customer_ranking"].where("position = 1")
+        parts["leader"] = leaders if "customer" in leaders.columns else parts["leader"]
+    opportunity_rows = cut_lineage(insights.opportunities(
+        parts["growth"], parts["runs"], parts["performance"], parts["candidates"], parts["extremes"], parts["means"], parts["concentration"]))
+    insight_rows = cut_lineage(insights.insights(
+        main or "faturamento", parts["series_extremes"], parts["growth"], parts["performance"], parts["product_top"], parts["extremes"], parts["means"],
+        parts["candidates"], parts["concentration"], parts["leader"], parts["dimension_top"], (main or "faturamento").replace("_", " ").capitalize()))
+    results["opportunities"] = insights.by_priority(opportunity_rows)
+    results["insights"] = insights.by_priority(insight_rows)
+    results["organised_lists"] = cut_lineage(insights.organise(opportunity_rows, insight_rows))
+    results["status"] = cut_lineage(insights.status(parts["growth"], parts["performance"], opportunity_rows))
+    summary = {"kpis": results["kpis"], "sufficiency": results["sufficiency"], "status": results["status"], "lists": results["organised_lists"]}
+    if "customer_evidence" in results:
+        summary["customers"] = results["customer_evidence"]
+        results["customer_summary"] = insights.executive_summary(evidence=results["customer_evidence"], messages=results["customer_messages"])
+    if "product_means" in results:
+        summary["products"] = results["product_means"]
+    results["executive_summary"] = insights.executive_summary(**summary)

@@ -27,6 +27,14 @@ def test_analyze_end_to_end(spark):
     got = {r["indicador"]: r["valor"] for r in a["kpis"].collect()}
     assert abs(got["faturamento_total"] - want) < 1e-3 and got["quantidade_registros"] == li.count()
     assert a["selected_findings"].count() <= 8 and a["quality"].first()["score"] is not None
+    row = a["executive_summary"].first()
+    assert row["status"][0]["score"] <= 100 and row["lists"] and {k["indicador"]: k["valor"] for k in row["kpis"]}["quantidade_registros"] == li.count()
+    assert a["opportunities"].columns == a["insights"].columns and a["customer_summary"].count() == 1
+
+
+def test_analyze_without_dates_or_customers(spark):
+    a = analyze({"Itens": spark.createDataFrame([("x", 1.0, 2), ("y", 3.0, 4)], "Produto string, Faturamento double, Quantidade int")})
+    assert a["executive_summary"].count() == 1 and "series" not in a.results
 
 
 @pytest.mark.parametrize("name", QUICK)
