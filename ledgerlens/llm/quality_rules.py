@@ -34,6 +34,8 @@ REACH, LEAST_RANGE = 4.0, 0.05
 NEAR, DEVIATIONS = 0.03, 6.0
 #: Texts that a language needs for bands of its own, and tokens that a text needs for its measures to be judged.
 LANGUAGE_LEAST, TOKENS_LEAST = 50, 100
+#: Entropy is taken relative to that of as many different tokens as the text has, or to this many, as it hardly grows in longer texts.
+TOKENS_FULL = 1000
 CACHE_WORDS = 200_000
 MEASURES = ("chars_per_token", "byte_share", "entropy")
 BANDS = ("middle", "spread", "most_bytes", "least_entropy")
@@ -90,13 +92,13 @@ class Fertility:
         return np.frombuffer(b"".join(map(cache.__getitem__, words)), np.uint32)
 
     def measure(self, words: list[str], chars: int) -> tuple[int, float | None, float | None, float | None]:
-        """Tokens, characters per token, share of byte tokens, entropy over its largest possible value."""
+        """Tokens, characters per token, share of byte tokens, relative entropy."""
         ids = self.tokens(words)
         if not len(ids):
             return 0, None, None, None
         counts = np.bincount(ids, minlength=len(self.is_byte))
         share = counts[counts > 0] / len(ids)
-        entropy = float(-(share * np.log(share)).sum() / np.log(len(ids))) if len(ids) >= TOKENS_LEAST else None
+        entropy = float(-(share * np.log(share)).sum() / np.log(min(len(ids), TOKENS_FULL))) if len(ids) >= TOKENS_LEAST else None
         return len(ids), chars / len(ids), float(counts[self.is_byte].sum() / len(ids)), entropy
 
 
