@@ -2,8 +2,9 @@
 
 Each page is parsed into elements; each element's subtree gets a hash of its
 tags, classes and text. Spark counts, per host, the pages that hold a subtree,
-and subtrees that recur on many pages of their host are template: they go, as
-do elements whose tag, role, class or id names them as menus, headers, footers,
+once for each distinct readable text around it, so that copies of a page don't
+make its text template. Subtrees that recur like this on many pages of their
+host are template: they go, as do elements whose tag, role, class or id names them as menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles or comments. The article's
 own headings, paragraphs and other text blocks stay even if they recur, as
 copies of a page share them; without an article element the whole body is held
@@ -11,8 +12,8 @@ against the template.
 
 Defined cases: null or empty html gives an empty text; a url without host
 belongs to no site and has no template; broken markup is read as far as it goes
-(unclosed elements end with their parents); repeated rows count as pages of
-their own; an empty table gives an empty table.
+(unclosed elements end with their parents); repeated rows and pages of equal
+readable text count once; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -167,6 +168,39 @@ def article_of(root: Element) -> Element | None:
     return articles[0] if len(articles) == 1 else None
 
 
+def surroundings(root: Element) -> tuple[dict[int, int], int]:
+    """By the hash of each readable subtree, a 64-bit number for the readable texts around it (in the article for what is inside, else on the page); the number of the whole page."""
+    from xxhash import xxh64_intdigest
+
+    hashes, main = subtree_hashes(root), article_of(root)
+    readable: list[tuple[Element, bool]] = []
+    stack = [(root, False)]
+    while stack:
+        e, inside = stack.pop()
+        if e is not main and (e.tag in UNREAD or e.named):
+            continue
+        inside = inside or e is main
+        readable.append((e, inside))
+        stack += [(c, inside) for c in e.children if not isinstance(c, str)]
+    sums: dict[int, int] = {}
+    for e, _ in reversed(readable):
+        total = 0
+        for c in e.children:
+            if isinstance(c, str):
+                words = _SPACE.sub(" ", c).strip()
+                if words:
+                    total += xxh64_intdigest(words.encode("utf-8", "surrogatepass"))
+            else:
+                total += sums.get(id(c), 0)
+        sums[id(e)] = total & 0xFFFFFFFFFFFFFFFF
+
+    def signed(x: int) -> int:
+        return (x & 0xFFFFFFFFFFFFFFFF ^ 1 << 63) - (1 << 63)
+
+    page, article = sums[id(root)], sums.get(id(main), 0)
+    return {hashes[id(e)]: signed((article if inside else page) - sums[id(e)]) for e, inside in readable if id(e) in hashes}, signed(page)
+
+
 def main_text(root: Element, template: frozenset[int]) -> str:
     """Blocks of main text in page order, two line ends between them."""
     hashes = subtree_hashes(root) if template else {}
@@ -221,12 +255,18 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages:
 
     def hashed(frames):
         for frame in frames:
-            rows = [(h, x) for h, t in zip(frame["host"], frame["t"]) for x in set(subtree_hashes(parse(t)).values())]
-            yield pd.DataFrame(rows, columns=["host", "hash"]).astype({"hash": "int64"})
+            rows = []
+            for h, t in zip(frame["host"], frame["t"]):
+                found, page = surroundings(parse(t))
+                rows += [(h, None, page), *((h, x, around) for x, around in found.items())]
+            yield pd.DataFrame({"host": [r[0] for r in rows], "hash": pd.array([r[1] for r in rows], "Int64"), "around": [r[2] for r in rows]})
 
     known = pages.select(host_of(col(url)).alias("host"), col(html).alias("t")).where("host IS NOT NULL AND t <> ''")
-    totals = written(known.groupBy("host").agg(F.count("*").alias("pages")), "html-totals")
-    counted = known.mapInPandas(hashed, "host string, hash bigint").groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    # a row of no hash stands for its page; equal rows are copies
+    counted = known.mapInPandas(hashed, "host string, hash bigint, around bigint").distinct().groupBy("host", "hash").agg(F.count("*").alias("n"))
+    counted = written(counted.where(F.col("hash").isNull() | (F.col("n") >= min_pages)), "html-counts")
+    totals = counted.where("hash IS NULL").select("host", F.col("n").alias("pages"))
+    counted = counted.where("hash IS NOT NULL")
     found = counted.join(totals, "host").where(F.col("n") > F.col("pages") * share)
     return found.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
 

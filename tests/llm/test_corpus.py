@@ -209,3 +209,13 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
         parts.sort()
         assert [o for o, _ in parts] == list(np.cumsum([0, *(n for _, n in parts)]))[:-1] and sum(n for _, n in parts) <= 1024
     assert pipeline.STAGES[0][1](spark, docs.limit(0), "").count() == 0
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    other = [(i, "http://d.org/", f"<article><h1>T{i}</h1><div>Follow us</div><div><p>Body {i}</p></div></article>") for i in range(30)]
+    copies = [(100 + i, "http://d.org/", f"<nav>{i}</nav><article><h1>Same</h1><div>Follow us</div><div class='text'><p>One body</p></div></article>") for i in range(8)]
+    plain = [(200 + i, "http://e.org/", f"<body><nav>{i}</nav><div>Site bar</div><p>Own {i // 8}</p></body>") for i in range(64)]
+    pages = spark.createDataFrame(other + copies + plain, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}
+    assert all(got[i] == f"T{i}\n\nBody {i}" for i in range(30)) and all(got[100 + i] == "Same\n\nOne body" for i in range(8))
+    assert all(got[200 + i] == f"Own {i // 8}" for i in range(64))
