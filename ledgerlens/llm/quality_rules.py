@@ -8,8 +8,8 @@ outside. A few counting rules come first.
 
 Defined cases: a null or empty text has no words and fails the first rule; an
 unknown (null) language is a language of its own; the texts that fail the base
-rules don't shape the bands, and a language with few others uses the bands of
-all; repeated rows count as often as they occur; an empty table gives an empty
+rules don't shape the bands; the fewer texts a language has, the wider its
+bands are, and those of other languages never judge it; repeated rows count as often as they occur; an empty table gives an empty
 table.
 """
 
@@ -19,7 +19,7 @@ from array import array
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import col, fresh, written
@@ -32,13 +32,15 @@ WORDS_LEAST, REPEATED_PERCENT, WINDOW = 10, 20, 5
 REACH, LEAST_RANGE = 4.0, 0.05
 #: Characters per token may be this share away from the language's median, or so many times their spread, which falls with the root of the tokens.
 NEAR, DEVIATIONS = 0.03, 6.0
-#: Texts that a language needs for bands of its own, and tokens that a text needs for its measures to be judged.
-LANGUAGE_LEAST, TOKENS_LEAST = 50, 100
+#: The spread of characters per token is taken as at least this share of the median, as many copies of one text have none.
+SPREAD_LEAST = 0.25
+#: Tokens that a text needs for its entropy to be judged.
+TOKENS_LEAST = 100
 #: Entropy is taken relative to that of as many different tokens as the text has, or to this many, as it hardly grows in longer texts.
 TOKENS_FULL = 1000
 CACHE_WORDS = 200_000
 MEASURES = ("chars_per_token", "byte_share", "entropy")
-BANDS = ("middle", "spread", "most_bytes", "least_entropy")
+BANDS = ("middle", "spread", "most_bytes", "least_entropy", "widened")
 
 
 def repeated_words(ids: np.ndarray, window: int = WINDOW) -> int:
@@ -134,34 +136,37 @@ def measures(docs: DataFrame, path: str, doc: str = "doc_id", text: str = "text"
     return docs.select(col(doc).alias("d"), col(lang).cast("string").alias("l"), F.coalesce(col(text), F.lit("")).alias("t")).mapInPandas(measure, schema)
 
 
+def widened(texts: Column) -> Column:
+    """How much wider than that of many texts the band of so few must be: Student's quantile (by Wallace's formula) over the normal one. One text rejects nothing, itself included."""
+    free = F.greatest(texts - 1, F.lit(1)).cast("double")
+    scaled = DEVIATIONS * (8 * free + 3) / (8 * free + 1)
+    return F.sqrt(free * F.expm1(scaled * scaled / free)) / DEVIATIONS
+
+
 def bands(measured: DataFrame) -> DataFrame:
-    """Per language, and once for all (``every``): the number of texts, the median of characters per token and its spread per root of the tokens, the highest byte share, the lowest entropy."""
+    """Per language: the median of characters per token and its spread per root of the tokens, the highest byte share, the lowest entropy, and how much wider few texts make the tolerances."""
     good = measured.where(~F.col("base_failed")).select("lang", "n_tokens", *[F.nanvl(m, F.lit(None).cast("double")).alias(m) for m in MEASURES])
-    # one aggregation for both levels; a language's bands are a few numbers
-    leveled = good.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("every")).withColumn("lang", F.when(~F.col("every"), F.col("lang")))
+    # a language's bands are a few numbers
     quartiles = {m: F.percentile_approx(m, [0.25, 0.5, 0.75], 10_000) for m in MEASURES}
     reach = {m: F.greatest(q[2] - q[0], LEAST_RANGE * q[1]) * REACH for m, q in quartiles.items()}
-    first = written(leveled.groupBy("every", "lang").agg(
-        F.count("*").alias("texts"), quartiles["chars_per_token"][1].alias("middle"),
-        (quartiles["byte_share"][2] + F.greatest(reach["byte_share"], F.lit(0.05))).alias("most_bytes"),
-        (quartiles["entropy"][0] - reach["entropy"]).alias("least_entropy")), "quality-middles")
+    wider = widened(F.count("*"))
+    first = written(good.groupBy("lang").agg(
+        wider.alias("widened"), quartiles["chars_per_token"][1].alias("middle"),
+        (quartiles["byte_share"][2] + F.greatest(reach["byte_share"], F.lit(0.05)) * wider).alias("most_bytes"),
+        (quartiles["entropy"][0] - reach["entropy"] * wider).alias("least_entropy")), "quality-middles")
     away = F.abs(F.col("chars_per_token") - F.col("middle")) * F.sqrt("n_tokens")
-    same = (leveled["every"] == first["every"]) & leveled["lang"].eqNullSafe(first["lang"])
-    spread = leveled.join(first, same).groupBy(first["every"], first["lang"]).agg(
-        F.first("texts").alias("texts"), F.first("middle").alias("middle"), (F.percentile_approx(away, 0.5, 10_000) / 0.6745).alias("spread"),
-        F.first("most_bytes").alias("most_bytes"), F.first("least_entropy").alias("least_entropy"))
-    return spread.select("every", "lang", "texts", *BANDS)
+    spread = good.join(first, good["lang"].eqNullSafe(first["lang"])).groupBy(first["lang"]).agg(
+        F.first("middle").alias("middle"), F.greatest(F.percentile_approx(away, 0.5, 10_000) / 0.6745, SPREAD_LEAST * F.first("middle")).alias("spread"),
+        F.first("most_bytes").alias("most_bytes"), F.first("least_entropy").alias("least_entropy"), F.first("widened").alias("widened"))
+    return spread.select("lang", *BANDS)
 
 
 def judged(measured: DataFrame) -> DataFrame:
     """``measured`` with ``kept``: passes the base rules and lies within the bands of its language."""
-    found = written(bands(measured), "quality-bands")
-    own = found.where(~F.col("every") & (F.col("texts") >= LANGUAGE_LEAST)).drop("every", "texts").withColumnRenamed("lang", "own_lang")
-    whole = found.where("every").first()  # one row, or none of an empty table
-    band = {b: F.coalesce(b, F.lit(whole[b] if whole else None).cast("double")) for b in BANDS}
+    own = written(bands(measured), "quality-bands").withColumnRenamed("lang", "own_lang")
     joined = measured.join(own, F.col("lang").eqNullSafe(F.col("own_lang")), "left")
-    near = F.abs(F.col("chars_per_token") - band["middle"]) <= F.greatest(NEAR * band["middle"], DEVIATIONS * band["spread"] / F.sqrt("n_tokens"))
-    verdict = [F.coalesce(x, F.lit(True)) for x in (near, F.col("byte_share") <= band["most_bytes"], F.col("entropy") >= band["least_entropy"])]
+    near = F.abs(F.col("chars_per_token") - F.col("middle")) <= F.col("widened") * F.greatest(NEAR * F.col("middle"), DEVIATIONS * F.col("spread") / F.sqrt("n_tokens"))
+    verdict = [F.coalesce(x, F.lit(True)) for x in (near, F.col("byte_share") <= F.col("most_bytes"), F.col("entropy") >= F.col("least_entropy"))]
     fits = (F.col("n_tokens") < TOKENS_LEAST) | verdict[0] & verdict[1] & verdict[2]
     return joined.select(*measured.columns, (~F.col("base_failed") & fits).alias("kept"))
 

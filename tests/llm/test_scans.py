@@ -114,3 +114,23 @@ def test_quality_rules(spark):
     assert quality_rules.judge(docs.limit(0), path).count() == 0
     nameless = docs.withColumn("lang", F.lit(None).cast("string"))
     assert quality_rules.judge(nameless, path).where("kept").count() == len(kept.collect())
+
+
+def sentences(rng, words, n, length):
+    return [" ".join(rng.choice(words, length)) for _ in range(n)]
+
+
+ENGLISH = "river stone garden winter letter number people water music house morning evening table window country market summer children teacher story".split()
+FRENCH = "fenêtre étagère mémoire règlement château déjà être hôpital élève forêt goûter août réveillé œuvre gênant château français préférée".split()
+QUALITY_PATH = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def test_a_rare_language_has_its_own_bands(spark):
+    rng = np.random.default_rng(11)
+    for few in (1, 2, 3, 12, 40):
+        texts = [(t, "en") for t in sentences(rng, ENGLISH, 80, 150)] + [(t, "fr") for t in sentences(rng, FRENCH, few, 150)]
+        noise = ["".join(map(chr, rng.integers(0x1200, 0x1380, 4))) for _ in range(300)]
+        rows = [(i, t, x) for i, (t, x) in enumerate(texts)] + [(1000, " ".join(noise), "fr")] * (few > 10)
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+        kept = {r["doc_id"] for r in quality_rules.judge(docs, QUALITY_PATH).where("kept").collect()}
+        assert kept == set(range(80 + few)), few
