@@ -6,6 +6,9 @@ foreign the text is to it. Bands of these three measures per language, from the
 measures of all documents (quartiles, counted by Spark), reject what lies far
 outside. A few counting rules come first.
 
+Every text with a token is judged, with tolerances that grow as texts get
+shorter; entropy is taken from long texts only.
+
 Defined cases: a null or empty text has no words and fails the first rule; an
 unknown (null) language is a language of its own; the texts that fail the base
 rules don't shape the bands; the fewer texts a language has, the wider its
@@ -34,7 +37,12 @@ REACH, LEAST_RANGE = 4.0, 0.05
 NEAR, DEVIATIONS = 0.03, 6.0
 #: The spread of characters per token is taken as at least this share of the median, as many copies of one text have none.
 SPREAD_LEAST = 0.25
-#: Tokens that a text needs for its entropy to be judged.
+#: A clean text may hold so many tokens of other kinds (a key, numbers, a notice), of about one character each; they weigh much in a
+#: short text. The allowance falls over as many tokens to nothing at the second number, as what a longer text holds averages out.
+ODD_TOKENS, ODD_END = 60, 160
+#: A character makes so many byte tokens at most about, which raises the deviation of their share.
+BYTES_TOGETHER = 3
+#: Tokens that a text needs for its entropy to be taken; the other two measures judge every text with a token.
 TOKENS_LEAST = 100
 #: Entropy is taken relative to that of as many different tokens as the text has, or to this many, as it hardly grows in longer texts.
 TOKENS_FULL = 1000
@@ -165,10 +173,15 @@ def judged(measured: DataFrame) -> DataFrame:
     """``measured`` with ``kept``: passes the base rules and lies within the bands of its language."""
     own = written(bands(measured), "quality-bands").withColumnRenamed("lang", "own_lang")
     joined = measured.join(own, F.col("lang").eqNullSafe(F.col("own_lang")), "left")
-    near = F.abs(F.col("chars_per_token") - F.col("middle")) <= F.col("widened") * F.greatest(NEAR * F.col("middle"), DEVIATIONS * F.col("spread") / F.sqrt("n_tokens"))
-    verdict = [F.coalesce(x, F.lit(True)) for x in (near, F.col("byte_share") <= F.col("most_bytes"), F.col("entropy") >= F.col("least_entropy"))]
-    fits = (F.col("n_tokens") < TOKENS_LEAST) | verdict[0] & verdict[1] & verdict[2]
-    return joined.select(*measured.columns, (~F.col("base_failed") & fits).alias("kept"))
+    tokens = F.greatest("n_tokens", F.lit(1))
+    chance = F.greatest(NEAR * F.col("middle"), DEVIATIONS * F.col("spread") / F.sqrt(tokens))
+    odd = F.least(ODD_TOKENS / tokens, F.lit(1.0)) * F.least(F.greatest((ODD_END - tokens) / ODD_TOKENS, F.lit(0.0)), F.lit(1.0)) * F.abs(F.col("middle") - 1)
+    near = F.abs(F.col("chars_per_token") - F.col("middle")) <= F.col("widened") * F.hypot(chance, odd)
+    # a short text's byte share deviates by chance, as much as tokens in groups of a character's bytes do
+    most = F.least(F.col("most_bytes"), F.lit(1.0))
+    few_bytes = F.col("byte_share") <= F.col("most_bytes") + F.col("widened") * DEVIATIONS * F.sqrt(most * (1 - most) * BYTES_TOGETHER / tokens)
+    verdict = [F.coalesce(x, F.lit(True)) for x in (near, few_bytes, F.col("entropy") >= F.col("least_entropy"))]
+    return joined.select(*measured.columns, (~F.col("base_failed") & verdict[0] & verdict[1] & verdict[2]).alias("kept"))
 
 
 def judge(docs: DataFrame, path: str, doc: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -134,3 +134,15 @@ def test_a_rare_language_has_its_own_bands(spark):
         docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
         kept = {r["doc_id"] for r in quality_rules.judge(docs, QUALITY_PATH).where("kept").collect()}
         assert kept == set(range(80 + few)), few
+
+
+def test_short_texts_are_judged(spark):
+    rng = np.random.default_rng(12)
+    clean = [*sentences(rng, ENGLISH, 60, 150), *sentences(rng, ENGLISH, 20, 12), " ".join(ENGLISH[:10]) + ' token = "9dd3c80004c73dc9e548fee51b23b527780d4f20"', "été " + " ".join(ENGLISH[:10])]
+    noise = [" ".join("".join(map(chr, rng.integers(0x1200, 0x1380, k))) for _ in range(n)) for n, k in ((10, 1), (12, 2), (20, 1), (14, 2))]
+    docs = frame(spark, [*clean, *noise])
+    got = {r["doc_id"]: r for r in quality_rules.judge(docs, QUALITY_PATH).collect()}
+    assert all(got[i]["kept"] for i in range(len(clean)))
+    for i in range(len(clean), len(got)):
+        assert not got[i]["base_failed"] and got[i]["n_tokens"] < 150 and not got[i]["kept"], got[i]
+    assert min(got[i]["n_tokens"] for i in range(len(clean), len(got))) < 100
