@@ -36,6 +36,12 @@ def written(df: DataFrame, prefix: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(df: DataFrame, prefix: str) -> tuple[DataFrame, str]:
+    """``df`` written with a number of each row; the number's column. Once written it names the row, whatever the other columns hold."""
+    key = fresh(df, "_row")
+    return written(df.withColumn(key, F.monotonically_increasing_id()), prefix), key
+
+
 def buckets_for(rows: int, per_bucket: int) -> int:
     """So many buckets that each holds about ``per_bucket`` rows at every input size."""
     return max(1, -(-rows // per_bucket))

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import col, fresh, written
+from ledgerlens.llm.common import col, fresh, keyed, written
 
 # The base rules of the contract.
 SYMBOLS = "#*$%&|<>"
@@ -190,8 +190,7 @@ def judge(docs: DataFrame, path: str, doc: str = "doc_id", text: str = "text", l
 
 
 def keep_good(docs: DataFrame, path: str, doc: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` without the documents that the rules reject; rows without an id stay if a row like them passes."""
-    verdicts = judge(docs, path, doc, text, lang)
-    name = fresh(docs, "_rejected")
-    rejected = written(verdicts.where(~F.col("kept")).select(col(doc).alias(name)).distinct(), "quality-rejected")
-    return docs.join(rejected, col(doc).eqNullSafe(F.col(name)), "left_anti")
+    """``docs`` without the rows that the rules reject; each row is judged by its own text, whatever its id is."""
+    rows, key = keyed(docs, "quality-rows")
+    rejected = written(judge(rows, path, key, text, lang).where(~F.col("kept")).select(key), "quality-rejected")
+    return rows.join(rejected, key, "left_anti").select(*[col(c) for c in docs.columns])

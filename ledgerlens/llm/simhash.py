@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import col, written
+from ledgerlens.llm.common import col, keyed, written
 from ledgerlens.llm.components import components
 
 WORDS, SEED, BITS, BUDGET = 3, 42, 64, 3
@@ -143,11 +143,12 @@ def near_copies(docs: DataFrame, doc: str = "doc_id", text: str = "text", words:
 
 
 def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each group: the one whose id names the component. Rows of a null id stay; of the rows that share an id one stays."""
-    named = docs.where(col(doc).isNotNull())
-    groups = written(near_copies(named, doc, text), "simhash-groups")
-    gone = written(groups.where(col(doc) != F.col("component_id")).select(col(doc)).distinct(), "simhash-gone")
-    again = written(groups.where(col(doc) == F.col("component_id")).groupBy(col(doc)).count().where("count > 1").select(col(doc)), "simhash-again")
-    left = docs.join(gone, doc, "left_anti").select(*[col(c) for c in docs.columns])
-    once = left.join(again, doc, "left_anti").select(*[col(c) for c in docs.columns])
-    return once.unionByName(left.join(again, doc, "left_semi").select(*[col(c) for c in docs.columns]).dropDuplicates([doc]))
+    """``docs`` with one row of each group: that of the smallest id, rows without an id last. Rows that share an id or have none are documents of their own."""
+    rows, key = keyed(docs, "simhash-rows")
+    groups = near_copies(rows, key, text).select(key, "component_id").join(rows.select(key, col(doc).alias("doc")), key)
+    groups = written(groups.select(F.col(key).alias("row"), "doc", "component_id"), "simhash-groups")
+    # a component that has one row only, most of them, is its own first
+    firsts = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc").isNull().alias("nameless"), "doc", "row")).alias("first"), F.count("*").alias("n"))
+    firsts = written(firsts.where("n > 1").select("component_id", F.col("first.row").alias("first")), "simhash-firsts")
+    gone = written(groups.join(firsts, "component_id").where("row <> first").select(F.col("row").alias(key)), "simhash-gone")
+    return rows.join(gone, key, "left_anti").select(*[col(c) for c in docs.columns])

@@ -219,3 +219,13 @@ def test_copies_of_a_page_keep_their_text(spark):
     got = {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}
     assert all(got[i] == f"T{i}\n\nBody {i}" for i in range(30)) and all(got[100 + i] == "Same\n\nOne body" for i in range(8))
     assert all(got[200 + i] == f"Own {i // 8}" for i in range(64))
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(5, a), (5, b), (3, a), (8, c), (8, d), (None, c), (None, "alone here"), (None, "ALONE  here"), (9, a)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"_row": F.lit(1), "doc": F.lit(2), "n": F.lit(3), "first": F.lit(4)})
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"].lower().split()[0]) for r in kept.collect()), key=repr)
+    assert got == sorted([(5, "b0"), (3, "a0"), (8, "c0"), (8, "d0"), (None, "alone")], key=repr)

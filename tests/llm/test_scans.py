@@ -146,3 +146,13 @@ def test_short_texts_are_judged(spark):
     for i in range(len(clean), len(got)):
         assert not got[i]["base_failed"] and got[i]["n_tokens"] < 150 and not got[i]["kept"], got[i]
     assert min(got[i]["n_tokens"] for i in range(len(clean), len(got))) < 100
+
+
+def test_a_verdict_is_of_one_row(spark):
+    rng = np.random.default_rng(13)
+    clean = sentences(rng, ENGLISH, 6, 150)
+    rows = [(None, clean[0]), (None, "bad"), (None, clean[1]), (5, clean[2]), (5, "few words"), (6, clean[3]), (6, clean[3]), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"lang": F.lit("en"), "_row": F.lit(1), "doc": F.lit(2)})
+    kept = quality_rules.keep_good(docs, QUALITY_PATH)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([rows[i] for i in (0, 2, 3, 5, 6)], key=repr)
