@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import (
-    bpe, graph_search, html_text, license_scan, line_dedup, packing, quality_model, quality_rules, secret_scan, simhash,
+    bpe, exact_search, graph_search, html_text, license_scan, line_dedup, packing, quality_model, quality_rules, repeat_runs, secret_scan, simhash,
+    spelling_variants,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +136,47 @@ def quality_scores(spark: SparkSession, d: str) -> DataFrame:
 @query("op10_html_extraction")
 def page_texts(spark: SparkSession, d: str) -> DataFrame:
     return html_text.extract(table(spark, d, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+@query("op11_spelling_variants", r"""
+WITH crc_table AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, n)) AS tab),
+runs AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents)),
+counted AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL),
+bytes AS (SELECT doc_id, run, n, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+    lambda c: CASE WHEN ord(c) < 128 THEN [CAST(ord(c) AS BIGINT)] ELSE [195, CAST(ord(c) AS BIGINT) - 64] END)) AS b FROM counted),
+hashed AS (SELECT doc_id, run, n, xor(list_reduce(b, lambda c, x: xor(c // 256, tab[xor(c, x) % 256 + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS h FROM bytes, crc_table),
+damaged AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM damaged WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+places AS (SELECT word, unnest(range(length(word))) AS i FROM words),
+gaps AS (SELECT DISTINCT word, i, length(word) AS size, substr(word, 1, i) || substr(word, i + 2) AS gap FROM places),
+longer AS (SELECT DISTINCT g.word, w.word AS near FROM gaps g JOIN words w ON w.word = g.gap),
+pairs AS (SELECT DISTINCT a.word, b.word AS near FROM gaps a JOIN gaps b ON a.gap = b.gap AND a.i = b.i AND a.size = b.size AND a.word <> b.word
+  UNION SELECT word, near FROM longer UNION SELECT near, word FROM longer),
+ranked AS (SELECT p.word, p.near, f.n AS near_n, count(*) OVER (PARTITION BY p.word) AS n_near, row_number() OVER (PARTITION BY p.word ORDER BY f.n DESC, p.near) AS rank
+  FROM pairs p JOIN words f ON f.word = p.near),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * w.n THEN near END AS form, CASE WHEN near_n >= 2 * w.n THEN near_n END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.word = w.word AND rank = 1),
+chains AS (WITH RECURSIVE chain AS (SELECT word, word AS root, form AS onward FROM forms UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN forms f ON f.word = c.onward)
+  SELECT word, root FROM chain WHERE onward IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN chains USING (word)
+""")
+def spellings(spark: SparkSession, d: str) -> DataFrame:
+    return spelling_variants.variants(table(spark, d, "documents"), damage=97)
+
+
+@query("op12_exact_search", """
+WITH whole AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true)),
+scored AS (SELECT DISTINCT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored QUALIFY rank <= 5
+""")
+def highest_products(spark: SparkSession, d: str) -> DataFrame:
+    vectors = table(spark, d, "embeddings")
+    return exact_search.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+@query("op13_periodic_runs")
+def periodic_runs(spark: SparkSession, d: str) -> DataFrame:
+    return repeat_runs.summary(repeat_runs.find_runs(table(spark, d, "documents"), plant=True))
