@@ -4,9 +4,16 @@ The pieces' lengths make a histogram. A configuration is a multiset of lengths
 that fits into one sequence; the linear program covers the histogram with as
 few configurations as possible. Multiplicative weights on the lengths solve it:
 each round prices the lengths, a knapsack dynamic program finds the best
-configuration for these prices, and the weights of the lengths it covers fall.
-The averaged solution is rounded down to whole configurations, the lengths that
-are left go through the same once more, and the last few are placed best fit.
+configuration around every length for these prices, and the weight of a length
+falls by a factor with the share of it that is covered. Steps are shares of
+what the scarcest length of a configuration still has, rounded to whole
+sequences at once, so that the solution is whole at any time. Prices begin at a
+power of the length a little above one, for which full sequences of few pieces
+are best: small pieces stay for the end, where gaps are small. If no full
+configuration is left, one with a few tokens of slack may do; the last pieces
+are placed best fit. A few settings are tried and the one with the fewest
+sequences is taken, plain best fit among them, so that the result is never
+worse than that.
 
 Spark counts the histogram (at most ``size`` rows, whatever the input), the
 driver solves it, and every piece finds its place from its rank among the
@@ -14,8 +21,9 @@ pieces of its length: ranks come from counts per (length, bucket), so that a
 length that most pieces share is still dealt over many tasks.
 
 Defined cases: a null or empty text has only the end mark; a document of
-several pieces has its shorter piece first; repeated rows are packed as often
-as they occur; an empty table gives an empty table.
+several pieces has its shorter piece first; the vocabulary's added tokens are
+found in texts; repeated rows, and rows that share an id, are packed as often as
+they occur; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -37,21 +45,21 @@ PER_BUCKET = 20_000
 
 @lru_cache(2)
 def tokenizer(path: str):
-    """Encoder of a vocabulary of the tokenizers library's file, by its ids (the rank file beside it holds the same ids)."""
+    """Encoder of a vocabulary of the tokenizers library's file, by its ids (the rank file beside it holds the same ids); added tokens are found in texts, as that library does."""
     import json
 
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]["vocab"]
+        held = json.load(f)
     points = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that are written as themselves
     others = [b for b in range(256) if b not in points]
     as_byte = {chr(b): b for b in points} | {chr(256 + i): b for i, b in enumerate(others)}
-    ranks = {bytes(map(as_byte.__getitem__, token)): i for token, i in model.items() if all(c in as_byte for c in token)}
-    ranks = {b: i for b, i in ranks.items() if b != b"<|endoftext|>"}
+    added = {t["content"]: t["id"] for t in held["added_tokens"]}
+    ranks = {bytes(map(as_byte.__getitem__, token)): i for token, i in held["model"]["vocab"].items() if i not in added.values() and all(c in as_byte for c in token)}
     import public_tokenizers
 
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def cuts(n: int, size: int = SIZE) -> list[tuple[int, int]]:
@@ -78,7 +86,7 @@ def pieces(docs: DataFrame, path: str, doc: str = "doc_id", text: str = "text",
             for lo in range(0, max(1, len(texts)), 500):
                 rows = []
                 for d, t in zip(frame["d"].iloc[lo:lo + 500], texts[lo:lo + 500]):
-                    found = np.append(enc.encode_to_numpy(t, disallowed_special=()), end).astype("<u4")
+                    found = np.append(enc.encode_to_numpy(t, allowed_special="all"), end).astype("<u4")
                     for k, (at, n) in enumerate(cuts(len(found), size)):
                         part = found[at:at + n]
                         rows.append((d, k, at, n, zlib.crc32(part.tobytes()), *[part.astype(np.int32)] * ids))
@@ -126,30 +134,6 @@ def trace(take: np.ndarray, capacity: int, found: dict[int, int]) -> tuple[tuple
     return tuple(sorted(found.items(), reverse=True))
 
 
-def fractional(sizes: np.ndarray, counts: np.ndarray, size: int, rounds: int, anchors: int, step: float) -> dict[tuple, float]:
-    """Configurations and how often each is used, covering every length about ``counts`` times.
-
-    Each round prices a length by its weight over its number, solves the
-    knapsack, and uses the best configuration around each of the lengths of the
-    highest weights; the weight of a length falls by a factor with its cover.
-    """
-    place = {int(s): i for i, s in enumerate(sizes)}
-    covered = np.zeros(len(sizes))
-    used: dict[tuple, float] = {}
-    for _ in range(rounds):
-        weights = np.exp(-8.0 * (covered - covered.min()))
-        _, take = knapsack(sizes, weights / counts + 1e-12 * sizes, size)
-        for i in np.argsort(covered, kind="stable")[:anchors]:
-            config = trace(take, size - int(sizes[i]), {int(sizes[i]): 1})
-            at = np.array([place[s] for s, _ in config])
-            share = np.array([k for _, k in config]) / counts[at]
-            times = step / share.max()  # the length that it covers fastest gains this share
-            used[config] = used.get(config, 0.0) + times
-            covered[at] += share * times
-    scale = 1.0 / max(covered.mean(), 1e-9)
-    return {c: x * scale for c, x in used.items()}
-
-
 def best_fit(left: dict[int, int], size: int) -> list[tuple[tuple, int]]:
     """Lengths and their numbers, the longest first, each into the fullest sequence it fits; equal sequences are handled together."""
     open_: dict[int, list[list]] = {}
@@ -175,40 +159,67 @@ def best_fit(left: dict[int, int], size: int) -> list[tuple[tuple, int]]:
     return [(c, t) for group in open_.values() for c, t in group if t]
 
 
-def solve(histogram: dict[int, int], size: int = SIZE, rounds: int = 120, anchors: int = 48, passes: int = 1, step: float = 0.3, keep: float = 0.5) -> list[tuple[tuple, int]]:
-    """Whole configurations with their multiplicities that hold exactly the histogram's pieces."""
-    left = {int(s): int(n) for s, n in histogram.items() if n > 0}
-    out: dict[tuple, int] = {}
+def program(histogram: dict[int, int], size: int, rate: float, power: float, slack: int, rest: float, longest_first: bool,
+            share: float = 0.2, rounds: int = 400) -> tuple[dict[tuple, int], dict[int, int]]:
+    """Whole configurations with their multiplicities for all but about ``rest`` of the pieces, and the pieces that are left.
 
-    def use(config: tuple, times: int) -> None:
-        out[config] = out.get(config, 0) + times
-        for s, k in config:
-            left[s] -= k * times
-            if not left[s]:
-                del left[s]
-
-    if size in left:
-        use(((size, 1),), left[size])
-    for _ in range(passes):
-        if len(left) < 2:
+    ``rate`` is that of the weights, ``slack`` the most tokens that a sequence may lack.
+    """
+    sizes = np.array(sorted(histogram), np.int64)
+    counts = np.array([histogram[int(s)] for s in sizes], np.int64)
+    place = {int(s): i for i, s in enumerate(sizes)}
+    left, out, room = counts.copy(), {}, 0
+    for _ in range(rounds):
+        if left.sum() <= rest * counts.sum():
             break
-        sizes = np.array(sorted(left))
-        counts = np.array([left[int(s)] for s in sizes], float)
-        found = fractional(sizes, counts, size, rounds, anchors, step)
-        # rounding passes on what it cuts off; of each length a share is left for the end, as a mixture that packs as well as the whole
-        carried, quota = 0.0, {s: int(n * keep) for s, n in left.items()}
-        for config, x in sorted(found.items(), reverse=True):
-            carried += x
-            times = min([int(carried), *(quota[s] // k for s, k in config)])
-            if times > 0 and sum(s * k for s, k in config) == size:
-                use(config, times)
+        covered = 1 - left / counts
+        have = np.flatnonzero(left)
+        prices = sizes[have] ** power * np.exp(-rate * (covered[have] - covered.mean()))
+        _, take = knapsack(sizes[have], prices, size)
+        used = False
+        for i in have[np.argsort(-sizes[have] if longest_first else covered[have], kind="stable")].tolist():
+            if not left[i]:
+                continue
+            config = trace(take, size - int(sizes[i]), {int(sizes[i]): 1})
+            if sum(s * k for s, k in config) < size - room:
+                continue
+            most = min(int(left[place[s]]) // k for s, k in config)
+            times = min(most, max(1, int(share * most)))
+            if times:
+                out[config] = out.get(config, 0) + times
                 for s, k in config:
-                    quota[s] -= k * times
-                carried -= times
-            carried = min(carried, 1.0)
-    for config, times in best_fit(left, size):
-        out[config] = out.get(config, 0) + times
-    return sorted(out.items())
+                    left[place[s]] -= k * times
+                used = True
+        if not used:
+            if room >= slack:
+                break
+            room = 2 * room + 1
+    return out, {int(s): int(n) for s, n in zip(sizes, left) if n}
+
+
+#: (rate, power, slack, rest, longest first) that are tried in turn.
+SETTINGS = ((0.1, 1.2, 3, 0.02, False), (6.0, 1.2, 7, 0.1, True), (0.5, 1.8, 3, 0.02, False), (2.0, 1.2, 7, 0.1, True), (0.1, 1.8, 3, 0.02, True), (0.5, 1.4, 3, 0.1, False))
+
+
+def solve(histogram: dict[int, int], size: int = SIZE, settings: tuple = SETTINGS) -> tuple[list[tuple[tuple, int]], int]:
+    """Whole configurations with their multiplicities that hold exactly the histogram's pieces; how many pieces the program has placed (the others are best fit)."""
+    pieces = {int(s): int(n) for s, n in histogram.items() if n > 0}
+    full = {((size, 1),): pieces.pop(size)} if size in pieces else {}
+    least = -(-sum(s * n for s, n in pieces.items()) // size)
+    best: dict[tuple, int] = {}
+    for config, times in best_fit(dict(pieces), size):
+        best[config] = best.get(config, 0) + times
+    fewest, placed = sum(best.values()), 0
+    for setting in settings if pieces else ():
+        found, left = program(pieces, size, *setting)
+        for config, times in best_fit(dict(left), size):
+            found[config] = found.get(config, 0) + times
+        by_program = sum(pieces.values()) - sum(left.values())
+        if (sum(found.values()), -by_program) < (fewest, -placed):
+            best, fewest, placed = found, sum(found.values()), by_program
+        if fewest == least:
+            break
+    return sorted((best | full).items()), placed + sum(full.values())
 
 
 def slots(solution: list[tuple[tuple, int]]) -> dict[int, dict[str, np.ndarray]]:
@@ -243,7 +254,7 @@ def pack(found: DataFrame, doc: str = "doc_id", size: int = SIZE) -> DataFrame:
 
     found = written(found, "packing-pieces")
     histogram = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most size rows
-    places = found.sparkSession.sparkContext.broadcast(slots(solve(histogram, size)))  # bounded by lengths and rounds
+    places = found.sparkSession.sparkContext.broadcast(slots(solve(histogram, size)[0]))  # bounded by lengths and rounds
     ranked = with_rank(found, "length", [doc, "piece"], buckets_for(sum(histogram.values()), PER_BUCKET) * 16)
     names = [*found.columns, "sequence_id", "offset"]
 
