@@ -10,13 +10,16 @@ vectors of a shard the same length; queries have zero there.
 Equal vectors are one point of the graph with its smallest ids (as many as a
 result can hold, and one more for the query itself), so that a vector that
 very many rows share neither crowds the graph nor hides a smaller id. The
-index is a table of one row per shard, and queries meet it in blocks, so that a
-task holds one shard and one block at any input size.
+index is a table of one row per shard. A search sorts each shard's row before
+the queries, so that a task reads one shard and then block after block of
+queries: it holds one of each at any input size, and no index is copied.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components take no part; vectors are compared within their own length; repeated
-rows of one id and vector are one; fewer candidates than asked for are all
-returned if the beam holds them; an empty table gives an empty table.
+rows of one id and vector are one, as candidates and as queries; one id with two
+vectors is a candidate with both and a query with both, and each id is returned
+once, with its highest score; fewer candidates than asked for are all returned
+if the beam holds them; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ from pyspark.sql.window import Window
 
 from ledgerlens.llm.common import buckets_for, col, written
 
-#: Rows of a shard, fewest shards, queries of a block.
-SHARD_ROWS, LEAST_SHARDS, BLOCK = 8192, 4, 4096
+#: Rows of a shard, fewest shards, queries that walk together.
+SHARD_ROWS, LEAST_SHARDS, BLOCK = 8192, 4, 512
 #: Edges of a point, beams of building and searching, relaxation of pruning, points expanded and inserted together, points where a walk begins.
 DEGREE, BUILD_BEAM, BEAM, RELAX, EXPAND, BATCH, ENTRIES = 32, 48, 80, 1.2, 4, 512, 32
 
@@ -187,43 +190,46 @@ def search(found: DataFrame, queries: DataFrame, key: str = "vec_id", vector: st
     """``query_id``, ``rank``, ``vec_id``, ``score`` of the ``k`` nearest that the index' graphs lead to, the query's own id left out."""
     import pandas as pd
 
-    asked = queries.where(col(key).isNotNull() & usable(col(vector))).select(col(key).cast("bigint").alias("query_id"), col(vector).alias("v"))
-    asked = asked.withColumn("size", F.size("v"))
-    blocks = buckets_for(asked.count(), BLOCK)
+    asked = queries.where(col(key).isNotNull() & usable(col(vector))).select(col(key).cast("bigint").alias("query_id"), col(vector).cast("array<double>").alias("v")).distinct()
     first = found.select("shards").first()
     shards = first["shards"] if first else 1
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    asked = asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    placed = found.drop("shards").select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-
-    def look(held, block):
-        none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        if not len(held) or not len(block):
-            return none
-        row = held.iloc[0]
+    spread = asked.select(F.size("v").alias("size"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asks"), "query_id", "v")
+    held = found.drop("shards").withColumn("asks", F.lit(False))
+
+    def look(row, block) -> pd.DataFrame:
         vectors = np.frombuffer(row["points"]).reshape(-1, int(row["size"]))
         graph = np.frombuffer(row["graph"], np.int32).reshape(-1, DEGREE)
         entries = np.frombuffer(row["entries"], np.int32)
         counts, ids = np.frombuffer(row["counts"], np.int64), np.frombuffer(row["ids"], np.int64)
         begins = np.cumsum(counts) - counts
         points, _ = lifted(vectors.astype(np.float32))
-        out = []
-        for lo in range(0, len(block), 512):
-            part = block.iloc[lo:lo + 512]
-            exact = np.array(part["v"].tolist(), np.float64)
-            near, _ = walk(points, graph, entries, np.concatenate([exact, np.zeros((len(exact), 1))], 1).astype(np.float32), max(beam, k + 1))
-            at, place = np.nonzero(near >= 0)
-            node = near[at, place]
-            score = np.einsum("ij,ij->i", vectors[node], exact[at])
-            times = counts[node]
-            q = np.repeat(at, times)
-            member = ids[np.repeat(begins[node], times) + np.arange(len(q)) - np.repeat(np.cumsum(times) - times, times)]
-            frame = pd.DataFrame({"query_id": part["query_id"].to_numpy()[q], "vec_id": member, "score": np.repeat(score, times)})
-            frame = frame[frame["query_id"] != frame["vec_id"]].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-            out.append(frame.groupby("query_id").head(k))
-        return pd.concat(out)
-
-    keys = ["size", "shard", "block"]
-    met = placed.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(look, "query_id bigint, vec_id bigint, score double")
+        exact = np.array(block["v"].tolist(), np.float64)
+        near, _ = walk(points, graph, entries, np.concatenate([exact, np.zeros((len(exact), 1))], 1).astype(np.float32), max(beam, k + 1))
+        at, place = np.nonzero(near >= 0)
+        node = near[at, place]
+        score = np.einsum("ij,ij->i", vectors[node], exact[at])
+        times = counts[node]
+        q = np.repeat(at, times)
+        member = ids[np.repeat(begins[node], times) + np.arange(len(q)) - np.repeat(np.cumsum(times) - times, times)]
+        frame = pd.DataFrame({"asked": q, "query_id": block["query_id"].to_numpy(np.int64)[q], "vec_id": member, "score": np.repeat(score, times)})
+        frame = frame[frame["query_id"] != frame["vec_id"]].sort_values(["asked", "score", "vec_id"], ascending=[True, False, True])
+        return frame.groupby("asked").head(2 * k)[["query_id", "vec_id", "score"]]  # an id may be there with two vectors
+
+    def in_turn(frames):
+        at, row = None, None
+        for frame in frames:
+            for number, part in frame.groupby(["size", "shard"], sort=False):
+                if number != at:
+                    at, row = number, None
+                index_rows = part[~part["asks"]]
+                if len(index_rows):
+                    row = index_rows.iloc[0]
+                asking = part[part["asks"]]
+                for lo in range(0, len(asking) if row is not None else 0, BLOCK):
+                    yield look(row, asking.iloc[lo:lo + BLOCK])
+
+    met = held.unionByName(spread, allowMissingColumns=True).repartition(shards, "shard").sortWithinPartitions("size", "shard", "asks")
+    met = met.mapInPandas(in_turn, "query_id bigint, vec_id bigint, score double").repartition("query_id")  # serves both steps that follow
+    met = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
