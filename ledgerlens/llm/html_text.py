@@ -5,15 +5,23 @@ tags, classes and text. Spark counts, per host, the pages that hold a subtree,
 once for each distinct readable text around it, so that copies of a page don't
 make its text template. Subtrees that recur like this on many pages of their
 host are template: they go, as do elements whose tag, role, class or id names them as menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles or comments. The article's
-own headings, paragraphs and other text blocks stay even if they recur, as
-copies of a page share them; without an article element the whole body is held
-against the template.
-
-Defined cases: null or empty html gives an empty text; a url without host
-belongs to no site and has no template; broken markup is read as far as it goes
-(unclosed elements end with their parents); repeated rows and pages of equal
-readable text count once; an empty table gives an empty table.
+sidebars, notices, adverts, forms, scripts, styles or comments.
+
+Inside the article the counts decide as well. What is around a subtree there is
+told by the smallest hash of the article's other texts, which near copies of a
+page mostly share, so that these count as few pages. A heading, paragraph or
+other text block of the article is template if it recurs on more than half of
+the host's pages, as a standing notice does; other subtrees in it, and all
+subtrees outside, if they recur on more than a twentieth. Without an article
+element the whole body is held against the template.
+
+The article is the first main element in page order, or the only article
+element that isn't named as something else; of several articles without a main
+element none is taken, and the body is read. Defined cases: null or empty html
+gives an empty text; a url without host belongs to no site and has no template;
+broken markup is read as far as it goes (unclosed elements end with their
+parents); repeated rows and pages of equal readable text count once; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,8 +35,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import col, fresh, written
 
-#: A subtree is template if it is on so many pages of its host, and on more than this share of them.
-MIN_PAGES, SHARE = 5, 0.05
+#: A subtree is template if it is on so many pages of its host, and on more than this share of them; the share for text blocks of the article.
+MIN_PAGES, SHARE, ARTICLE_SHARE = 5, 0.05, 0.5
 
 # Element names of HTML by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -154,7 +162,7 @@ def subtree_hashes(root: Element) -> dict[int, int]:
 
 
 def article_of(root: Element) -> Element | None:
-    """The page's main element, or its only article element."""
+    """The page's first main element, or its only article element."""
     stack, articles = [root], []
     while stack:
         e = stack.pop()
@@ -164,46 +172,65 @@ def article_of(root: Element) -> Element | None:
             articles.append(e)
             continue
         if e.tag not in UNREAD and not e.named:
-            stack += [c for c in e.children if not isinstance(c, str)]
+            stack += [c for c in reversed(e.children) if not isinstance(c, str)]
     return articles[0] if len(articles) == 1 else None
 
 
-def surroundings(root: Element) -> tuple[dict[int, int], int]:
-    """By the hash of each readable subtree, a 64-bit number for the readable texts around it (in the article for what is inside, else on the page); the number of the whole page."""
+def surroundings(root: Element) -> tuple[list[tuple[int, bool, int]], int]:
+    """Per readable subtree: its hash, whether it is a text block of the article, and a 64-bit number for the readable texts around it; the number of the whole page.
+
+    In the article the number is the smallest hash of its other texts, else the sum of the hashes of the page's other texts.
+    """
     from xxhash import xxh64_intdigest
 
     hashes, main = subtree_hashes(root), article_of(root)
-    readable: list[tuple[Element, bool]] = []
-    stack = [(root, False)]
+    most = 1 << 64
+    texts: list[int] = []  # hashes in the order of the walk, in which the texts of a subtree stand together
+    readable: list[tuple[Element, bool, int]] = []
+    ends: dict[int, int] = {}
+    stack: list[tuple[Element | str, bool, bool]] = [(root, False, False)]
     while stack:
-        e, inside = stack.pop()
+        e, inside, leaving = stack.pop()
+        if isinstance(e, str):
+            words = _SPACE.sub(" ", e).strip()
+            if words:
+                texts.append(xxh64_intdigest(words.encode("utf-8", "surrogatepass")))
+            continue
+        if leaving:
+            ends[id(e)] = len(texts)
+            continue
         if e is not main and (e.tag in UNREAD or e.named):
             continue
-        inside = inside or e is main
-        readable.append((e, inside))
-        stack += [(c, inside) for c in e.children if not isinstance(c, str)]
-    sums: dict[int, int] = {}
-    for e, _ in reversed(readable):
-        total = 0
-        for c in e.children:
-            if isinstance(c, str):
-                words = _SPACE.sub(" ", c).strip()
-                if words:
-                    total += xxh64_intdigest(words.encode("utf-8", "surrogatepass"))
-            else:
-                total += sums.get(id(c), 0)
-        sums[id(e)] = total & 0xFFFFFFFFFFFFFFFF
+        readable.append((e, inside, len(texts)))
+        stack.append((e, inside, True))
+        stack += [(c, inside or e is main, False) for c in e.children]
+    sums, before, after = [0], [], [most] * (len(texts) + 1)
+    for x in texts:
+        sums.append(sums[-1] + x)
+    first, last = next(((at, ends[id(e)]) for e, _, at in readable if e is main), (0, 0))
+    least = most
+    for i in range(first, last + 1):  # smallest of the article's texts before each place
+        before.append(least)
+        if i < last:
+            least = min(least, texts[i])
+    for i in reversed(range(first, last)):
+        after[i] = min(texts[i], after[i + 1])
 
     def signed(x: int) -> int:
         return (x & 0xFFFFFFFFFFFFFFFF ^ 1 << 63) - (1 << 63)
 
-    page, article = sums[id(root)], sums.get(id(main), 0)
-    return {hashes[id(e)]: signed((article if inside else page) - sums[id(e)]) for e, inside in readable if id(e) in hashes}, signed(page)
+    out = []
+    for e, inside, at in readable:
+        if id(e) in hashes:
+            until = ends[id(e)]
+            around = min(before[at - first], after[until]) if inside else sums[-1] - sums[until] + sums[at]
+            out.append((hashes[id(e)], inside and e.tag in TEXT_BLOCK, signed(around)))
+    return out, signed(sums[-1])
 
 
-def main_text(root: Element, template: frozenset[int]) -> str:
-    """Blocks of main text in page order, two line ends between them."""
-    hashes = subtree_hashes(root) if template else {}
+def main_text(root: Element, template: frozenset[int], standing: frozenset[int] = frozenset()) -> str:
+    """Blocks of main text in page order, two line ends between them, without subtrees of the ``template`` and, in the article, ``standing`` text blocks."""
+    hashes = subtree_hashes(root) if template or standing else {}
     main = article_of(root)
     blocks: list[str] = []
     line: list[str] = []
@@ -228,7 +255,7 @@ def main_text(root: Element, template: frozenset[int]) -> str:
                 if e.tag in BLOCK:
                     flush()
                 continue
-            if hashes.get(id(e)) in template and not (inside and e.tag in TEXT_BLOCK):
+            if hashes.get(id(e)) in (standing if inside and e.tag in TEXT_BLOCK else template):
                 flush()
                 continue
         if e.tag in ("br", "img", "wbr"):
@@ -249,8 +276,8 @@ def host_of(url: Column) -> Column:
     return F.when(found != "", found)
 
 
-def templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """``host``, ``hashes``: the subtrees that recur on many of its pages. Their number is bounded by a page's subtrees over the share."""
+def templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, share: float = SHARE, article_share: float = ARTICLE_SHARE) -> DataFrame:
+    """``host``, ``hashes``, ``standing``: the subtrees that recur on many of its pages, and the text blocks that do so in its articles. Their number is bounded by a page's subtrees over the share."""
     import pandas as pd
 
     def hashed(frames):
@@ -258,42 +285,45 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages:
             rows = []
             for h, t in zip(frame["host"], frame["t"]):
                 found, page = surroundings(parse(t))
-                rows += [(h, None, page), *((h, x, around) for x, around in found.items())]
-            yield pd.DataFrame({"host": [r[0] for r in rows], "hash": pd.array([r[1] for r in rows], "Int64"), "around": [r[2] for r in rows]})
+                rows += [(h, None, False, page), *((h, *x) for x in found)]
+            yield pd.DataFrame({"host": [r[0] for r in rows], "hash": pd.array([r[1] for r in rows], "Int64"), "standing": [r[2] for r in rows], "around": [r[3] for r in rows]})
 
     known = pages.select(host_of(col(url)).alias("host"), col(html).alias("t")).where("host IS NOT NULL AND t <> ''")
     # a row of no hash stands for its page; equal rows are copies
-    counted = known.mapInPandas(hashed, "host string, hash bigint, around bigint").distinct().groupBy("host", "hash").agg(F.count("*").alias("n"))
+    counted = known.mapInPandas(hashed, "host string, hash bigint, standing boolean, around bigint").distinct().groupBy("host", "hash", "standing").agg(F.count("*").alias("n"))
     counted = written(counted.where(F.col("hash").isNull() | (F.col("n") >= min_pages)), "html-counts")
     totals = counted.where("hash IS NULL").select("host", F.col("n").alias("pages"))
     counted = counted.where("hash IS NOT NULL")
-    found = counted.join(totals, "host").where(F.col("n") > F.col("pages") * share)
-    return found.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
+    found = counted.join(totals, "host").where(F.col("n") > F.col("pages") * F.when(F.col("standing"), article_share).otherwise(share))
+    listed = lambda which: F.collect_list(F.when(which, F.col("hash")))
+    return found.groupBy("host").agg(listed(~F.col("standing")).alias("hashes"), listed(F.col("standing")).alias("standing"))
 
 
-def extract(pages: DataFrame, page: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
+def extract(pages: DataFrame, page: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, share: float = SHARE, article_share: float = ARTICLE_SHARE) -> DataFrame:
     """Per row: ``page``, ``url``, ``text``."""
     import pandas as pd
 
-    found = written(templates(pages, url, html, min_pages, share), "html-templates")
+    found = written(templates(pages, url, html, min_pages, share, article_share), "html-templates")
     kinds = dict(pages.dtypes)
-    host, loose, hashes = (fresh(pages, x) for x in ("_host", "_loose", "_hashes"))
+    host, loose, hashes, standing = (fresh(pages, x) for x in ("_host", "_loose", "_hashes", "_standing"))
     base = pages.select(col(page).alias("p"), col(url).alias("u"), F.coalesce(col(html), F.lit("")).alias("t"))
     # pages without a host match nothing and are dealt over many keys
     base = base.withColumns({host: F.coalesce(host_of(F.col("u")), F.lit("")), loose: F.when(host_of(F.col("u")).isNull(), F.pmod(F.xxhash64("p"), F.lit(4096)) + 1).otherwise(F.lit(0).cast("bigint"))})
-    joined = base.join(found.select(F.col("host").alias(host), F.lit(0).cast("bigint").alias(loose), F.col("hashes").alias(hashes)), [host, loose], "left")
+    joined = base.join(found.select(F.col("host").alias(host), F.lit(0).cast("bigint").alias(loose), F.col("hashes").alias(hashes), F.col("standing").alias(standing)), [host, loose], "left")
 
     def read(frames):
         sets: dict[bytes, frozenset[int]] = {}
+
+        def held(found_) -> frozenset[int]:
+            key = b"" if found_ is None else found_.tobytes()
+            if key not in sets:
+                if len(sets) > 128:
+                    sets.clear()
+                sets[key] = frozenset(() if found_ is None else found_.tolist())
+            return sets[key]
+
         for frame in frames:
-            texts = []
-            for t, found_ in zip(frame["t"], frame[hashes]):
-                key = b"" if found_ is None else found_.tobytes()
-                if key not in sets:
-                    if len(sets) > 64:
-                        sets.clear()
-                    sets[key] = frozenset(() if found_ is None else found_.tolist())
-                texts.append(main_text(parse(t), sets[key]))
+            texts = [main_text(parse(t), held(a), held(b)) for t, a, b in zip(frame["t"], frame[hashes], frame[standing])]
             yield pd.DataFrame({page: frame["p"], "url": frame["u"], "text": texts})
 
-    return joined.select("p", "u", "t", hashes).mapInPandas(read, f"`{page}` {kinds[page]}, url string, text string")
+    return joined.select("p", "u", "t", hashes, standing).mapInPandas(read, f"`{page}` {kinds[page]}, url string, text string")

@@ -142,12 +142,34 @@ def test_page_texts(spark):
     assert len(found) == len(rows)
     got = {r["page_id"]: r["text"] for r in found}
     for i in range(30):
-        assert got[i] == f"Title & more{i}\n\nOne bold two three\n\nFour\n\nShared by all"
+        assert got[i] == f"Title & more{i}\n\nOne bold two three\n\nFour"  # what all articles of the host share is a standing notice
     assert got[100] == got[101] == "" and got[102] == "a\n\nb < c\n\nd" and got[103] == "deep" and got[104] == ("word " * 50000).strip()
     assert all(got[200 + i] == f"Own {i}" for i in range(20))  # what recurs on the host is template
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_standing_notices_and_near_copies(spark):
+    notice = "<p>Read our cookie policy here</p>"
+    rows = [(i, "http://n.org/", f"<article><h1>T{i}</h1><p>Body {i}</p>{notice}</article>") for i in range(40)]
+    # near copies of one page, a third of their host: each differs in one of its blocks
+    body = [f"Paragraph {k} of the page" for k in range(12)]
+    near = []
+    for i in range(30):
+        own = [f"Paragraph {k} of the page, changed {i}" if k == i % 12 else t for k, t in enumerate(body)]
+        near.append("\n\n".join(["Same heading", *own]))
+        rows.append((100 + i, "http://o.org/", "<article><h1>Same heading</h1>" + "".join(f"<p>{t}</p>" for t in own) + "</article>"))
+    rows += [(200 + i, "http://o.org/", f"<article><h1>Head {i}</h1><p>Text {i}</p><p>{'Often said' if i % 4 == 0 else f'Other {i}'}</p></article>") for i in range(60)]
+    # by hand: said on a quarter of the pages stays, on all of them goes
+    rows += [(300 + i, "http://p.org/", f"<main><p>First {i}</p><aside>x</aside></main><main><p>Second {i}</p></main>") for i in range(6)]
+    rows += [(400 + i, "http://q.org/", f"<article><p>One {i}</p></article><article><p>Two {i}</p></article>") for i in range(6)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}
+    assert all(got[i] == f"T{i}\n\nBody {i}" for i in range(40))
+    assert [got[100 + i] for i in range(30)] == near
+    assert all(got[200 + i] == f"Head {i}\n\nText {i}\n\n" + ("Often said" if i % 4 == 0 else f"Other {i}") for i in range(60))
+    assert all(got[300 + i] == f"First {i}" for i in range(6)) and all(got[400 + i] == f"One {i}\n\nTwo {i}" for i in range(6))
+
+
 def brute_pipeline(rows):
     """What is left of (doc_id, text, source) before packing. No text of the fixture lies outside the bands of fertility."""
     import re
