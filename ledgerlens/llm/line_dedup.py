@@ -1,13 +1,15 @@
 """Boilerplate lines by their frequency relative to the site.
 
 Pages are grouped by host; the pages of a host that contain a line, divided by
-all pages of the host, give the line's ratio; lines above ``ratio`` go.
-
-Defined cases: a null text has no lines and stays null; a null host is no site,
-so such pages are neither counted nor changed; blank lines are never dropped; a
-line that occurs several times on a page counts once; repeated rows count as
-pages of their own; an empty table gives an empty table; other columns pass
-through whatever their names are.
+all pages of the host, give the line's ratio; lines above ``ratio`` go. Pages of
+one text are one page, so that copies of a text don't make its lines boilerplate;
+texts are told apart by 96 bits of hash, which is all of them that is shuffled.
+
+Defined cases: a null text has no lines, is no page and stays null; a null host is
+no site, so such pages are neither counted nor changed; blank lines are never
+dropped; a line that occurs several times on a page counts once; repeated rows
+are one page; an empty table gives an empty table; other columns pass through
+whatever their names are.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import WORD, col, fresh, written
 
-RATIO = 0.1
+#: Lines that repeat by chance or in near copies stay below this share of a site at every size measured; see the figures in the README.
+RATIO = 0.01
 MIN_PAGES = 5
 #: Rows without a host are dealt over so many join keys.
 LOOSE = 4096
@@ -44,15 +47,16 @@ def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", rati
     only lines whose hash passes are counted again by their text, so that equal
     hashes of different lines change nothing.
     """
-    base = pages.where(col(host).isNotNull() & col(text).isNotNull()).select(col(host).alias("host"), col(text).alias("text"))
-    totals = written(pages.where(col(host).isNotNull()).groupBy(col(host).alias("host")).agg(F.count("*").alias("pages")), "line-totals")
+    base = pages.where(col(host).isNotNull() & col(text).isNotNull()).select(
+        col(host).alias("host"), col(text).alias("text"), F.xxhash64(col(text)).alias("a"), F.hash(col(text)).alias("b"))
+    totals = written(base.select("host", "a", "b").distinct().groupBy("host").agg(F.count("*").alias("pages")), "line-totals")
     enough = (F.col("n") >= min_pages) & (F.col("n") > F.col("pages") * F.lit(ratio))
-    hashed = base.select("host", F.explode(F.transform(_distinct_lines(F.col("text")), lambda x: F.xxhash64(x))).alias("h"))
+    hashed = base.select("host", "a", "b", F.explode(F.transform(_distinct_lines(F.col("text")), lambda x: F.xxhash64(x))).alias("h")).distinct()
     frequent = hashed.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     frequent = frequent.join(totals, "host").where(enough).groupBy("host").agg(F.collect_list("h").alias("hs"))
     frequent = written(frequent, "line-hashes")
-    seen = base.join(frequent, "host").select("host", F.explode(F.filter(
-        _distinct_lines(F.col("text")), lambda x: F.array_contains("hs", F.xxhash64(x)))).alias("line"))
+    seen = base.join(frequent, "host").select("host", "a", "b", F.explode(F.filter(
+        _distinct_lines(F.col("text")), lambda x: F.array_contains("hs", F.xxhash64(x)))).alias("line")).distinct()
     exact = seen.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     return exact.join(totals, "host").where(enough).groupBy("host").agg(F.collect_list("line").alias("lines"))
 

@@ -76,14 +76,17 @@ def licenses(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("op5_line_dedup", rf"""
-WITH lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
-    generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
-pages AS (SELECT source, count(*) AS pages FROM documents WHERE source IS NOT NULL GROUP BY source),
-counted AS (SELECT source, line, count(DISTINCT doc_id) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY source, line),
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, source, text FROM documents),
+texts AS (SELECT DISTINCT source, text FROM docs WHERE source IS NOT NULL AND text IS NOT NULL),
+pages AS (SELECT source, count(*) AS pages FROM texts GROUP BY source),
+found AS (SELECT source, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM texts),
+counted AS (SELECT source, line, count(*) AS n FROM found WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY source, line),
 gone AS (SELECT source, line FROM counted JOIN pages USING (source) WHERE n >= {line_dedup.MIN_PAGES} AND n > pages * CAST({line_dedup.RATIO} AS DOUBLE)),
-marked AS (SELECT l.*, g.line IS NOT NULL AS drop FROM lines l LEFT JOIN gone g ON l.source = g.source AND l.line = g.line)
-SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT drop), '') AS text,
-  count(*) AS n_lines, count(*) FILTER (drop) AS n_dropped FROM marked GROUP BY doc_id
+lines AS (SELECT r, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM docs),
+marked AS (SELECT l.*, g.line IS NOT NULL AS drop FROM lines l LEFT JOIN gone g ON l.source = g.source AND l.line = g.line),
+kept AS (SELECT r, string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT drop) AS left_over, count(*) AS n_lines, count(*) FILTER (drop) AS n_dropped FROM marked GROUP BY r)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(left_over, '') END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped
+FROM docs LEFT JOIN kept USING (r)
 """)
 def lines(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "source", "text")

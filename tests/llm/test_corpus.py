@@ -183,9 +183,10 @@ def brute_pipeline(rows):
         covered = {j for k, w in enumerate(windows) if often[w] > 1 for j in range(k, k + 5)}
         if len(words) >= 10 and 100 * len(covered) <= 20 * len(words):
             kept.append((i, t, host))
-    pages = Counter(h for _, _, h in kept)
-    seen = Counter((h, x) for _, t, h in kept for x in set(t.split("\n")) if x.strip())
-    gone = {k for k, n in seen.items() if n >= 5 and n > 0.1 * pages[k[0]]}
+    texts = {(h, t) for _, t, h in kept}
+    pages = Counter(h for h, _ in texts)
+    seen = Counter((h, x) for h, t in texts for x in set(t.split("\n")) if x.strip())
+    gone = {k for k, n in seen.items() if n >= 5 and n > 0.01 * pages[k[0]]}
     kept = [(i, "\n".join(x for x in t.split("\n") if (h, x) not in gone)) for i, t, h in kept]
     prints = {i: brute_fingerprint(t) for i, t in kept}
     root = brute_components(sorted(prints), [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 3])

@@ -62,11 +62,9 @@ def brute_lines(rows, ratio, least):
     from collections import Counter
 
     pages, counts = Counter(), Counter()
-    for _, host, t in rows:
-        if host is None:
-            continue
+    for host, t in {(h, t) for _, h, t in rows if h is not None and t is not None}:  # pages of one text are one page
         pages[host] += 1
-        counts.update((host, x) for x in set((t or "").split("\n")) if x.strip(" \t\n\v\f\r"))
+        counts.update((host, x) for x in set(t.split("\n")) if x.strip(" \t\n\v\f\r"))
     gone = {k for k, n in counts.items() if n >= least and n > ratio * pages[k[0]]}
     return [(i, h, None if t is None else "\n".join(x for x in t.split("\n") if (h, x) not in gone)) for i, h, t in rows]
 
@@ -82,6 +80,32 @@ def test_lines_equal_brute_force(spark):
     assert line_dedup.drop_boilerplate(docs.limit(0), "host", "body").count() == 0
 
 
+def same_as_sql(spark, folder, name, documents):
+    """The registered query over ``documents`` against its SQL."""
+    import duckdb
+
+    from ledgerlens.llm.queries import ORACLE, QUERIES
+
+    documents.write.parquet(f"{folder}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    found = con.execute(ORACLE[name])
+    names = [c[0] for c in found.description]
+    want = sorted(found.fetchall(), key=repr)
+    got = sorted((tuple(r) for r in QUERIES[name](spark, str(folder)).select(*names).collect()), key=repr)
+    assert got == want
+    return [dict(zip(names, r)) for r in got]
+
+
+def test_lines_equal_their_sql(spark, tmp_path):
+    rows = [(i, f"h{i % 2}", f"menu\nline {i}\n\nfoot") for i in range(20)] + [(50, "h0", None), (51, "h0", ""), (52, None, "menu"), (3, "h1", "menu\nline 3\n\nfoot"),
+            (3, "h1", "other text\nmenu"), (None, "h0", "menu"), (None, "h0", None)] + [(100 + i, "h0", "copied line\nof one text") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string").withColumns({"n_lines": F.lit(1), "lang": F.lit("en")}).drop("n_lines")
+    got = same_as_sql(spark, tmp_path, "op5_line_dedup", docs)
+    assert len(got) == len(rows) and sum(r["n_dropped"] for r in got) > 40
+    assert all(r["text"] == "copied line\nof one text" for r in got if r["doc_id"] is not None and r["doc_id"] >= 100)  # copies are one page
+
+
 def test_repeated_words_equal_brute_force():
     rng = np.random.default_rng(5)
     for n in (0, 1, 4, 5, 6, 40, 300):
