@@ -71,9 +71,20 @@ def statistics(spark, d):
     return rounded(entities.blocking_statistics(labels(spark, d)))
 
 
-FUZZY = f"""{BLOCKED.strip()},
-fuzzy AS (SELECT x.lead AS "left", y.lead AS "right", 1 - levenshtein(left_key, right_key) / greatest(length(left_key), length(right_key))::DOUBLE AS similarity
-  FROM blocked JOIN leads x ON x.key = left_key JOIN leads y ON y.key = right_key WHERE 1 - levenshtein(left_key, right_key) / greatest(length(left_key), length(right_key))::DOUBLE >= 0.9)"""
+SIMILAR = BLOCKED[:BLOCKED.index("blocked AS")].strip() + """
+paired AS (SELECT a.key AS left_key, b.key AS right_key, 1 - levenshtein(a.key, b.key) / greatest(a.n, b.n)::DOUBLE AS similarity
+  FROM g a JOIN g b ON a.dg = b.dg AND a.un = b.un AND a.key < b.key AND abs(a.n - b.n) <= greatest(a.n, b.n) * 0.12
+  WHERE NOT ((a.tail IN ('ltda', 'me', 'sa', 'eireli') OR b.tail IN ('ltda', 'me', 'sa', 'eireli')) AND a.tail <> b.tail)),
+alike AS (SELECT * FROM paired WHERE similarity >= 0.9)"""
+FUZZY = f"""{SIMILAR},
+fuzzy AS (SELECT x.lead AS "left", y.lead AS "right", similarity FROM alike JOIN leads x ON x.key = left_key JOIN leads y ON y.key = right_key)"""
+
+
+@check("similarity_statistics", f"""WITH {NAMES}, {SIMILAR}, {BLOCKED[BLOCKED.index("blocked AS"):]}
+SELECT (SELECT count(*) FROM k) AS names, (SELECT CAST(floor(count(*) * (count(*) - 1) / 2) AS BIGINT) FROM k) AS theoretical_pairs,
+ (SELECT count(*) FROM alike) AS similar_pairs, (SELECT count(*) FROM alike ANTI JOIN blocked USING (left_key, right_key)) AS lost_by_neighbourhood""")
+def similar(spark, d):
+    return rounded(entities.similarity_statistics(labels(spark, d)))
 
 
 @check("fuzzy_name_pairs", f"""WITH {NAMES}, {FUZZY} SELECT "left", "right", round(similarity, 4) AS similarity, 'grafia_muito_semelhante' AS reasons FROM fuzzy""")
@@ -96,7 +107,7 @@ cand AS (SELECT substr(sha256('[null, "produto", "Produto", ["' || least("left",
 
 
 @check("entity_candidates", f"""WITH {CAND} SELECT candidate_id, 'produto' AS entity_type, "left", "right", round(similarity, 2) AS similarity, reasons,
- CASE WHEN round(similarity, 2) >= 0.97 THEN 'alta' ELSE 'media' END AS confidence, 'pending' AS status FROM cand""")
+ CASE WHEN similarity >= 0.97 THEN 'alta' ELSE 'media' END AS confidence, 'pending' AS status FROM cand""")
 def all_candidates(spark, d):
     return rounded(candidates(spark, d).select("candidate_id", "entity_type", "left", "right", "similarity", F.concat_ws(",", "reasons").alias("reasons"), "confidence", "status"))
 

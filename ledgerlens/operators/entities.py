@@ -1,8 +1,13 @@
 """Near-duplicate entity names: candidates, decisions, aliases.
 
-All steps work on distinct labels. The sorted neighbourhood is built on a
-global order cut into rank chunks that overlap by the neighbourhood size, so a
-prefix shared by most labels is spread over many tasks and no pair is lost.
+All steps work on distinct labels. Similar names are found by a join on
+segments: names within ``k`` edits of each other share one of ``k + 1`` pieces of
+the shorter one, at nearly the same place. No pair is lost, and names are only
+compared with those that share a piece. Pieces that very many names share are
+joined together with the piece that follows, which then differs by one edit at
+most. The sorted neighbourhood, which looks at a few followers of each name, can
+be had instead; it is built on a global order cut into rank chunks that overlap by
+the neighbourhood size, so a prefix shared by most labels is spread over tasks.
 """
 
 from __future__ import annotations
@@ -35,6 +40,8 @@ ERR_LABEL = "O label deve ser a variante recomendada deste candidato."
 ERR_REVERSAL = "Alterar uma decisão confirmada ainda não é suportado."
 ERR_OVERLAP = "Uma variante já participa de outra união. Uniões sobrepostas não são suportadas nesta etapa."
 CHUNK = 65_536
+#: Names that share one piece above which the following piece is joined on as well.
+CROWDED = 4096
 
 
 def resolvable_types(columns: list[str], roles: Roles) -> tuple[dict[str, str], list[str]]:
@@ -104,17 +111,22 @@ def ranked_keys(keys: DataFrame) -> DataFrame:
     return stored.withColumn("_p", part).join(F.broadcast(offsets), "_p").select("key", (F.col("_off") + inside).alias("rank"))
 
 
-def neighbour_pairs(ranked: DataFrame, chunk: int = CHUNK, neighbours: int = NEIGHBOURS, prefix: int = PREFIX) -> DataFrame:
-    """(left_key, right_key): each key with up to ``neighbours`` followers of the same ``prefix`` letters that pass the guards.
-
-    Both limits are the method (a sorted neighbourhood); :func:`blocking_statistics` tells how many pairs they leave out.
-    """
+def _described(keys: DataFrame) -> DataFrame:
+    """``keys`` with what two names must have in common: digits, units of measure, company suffix."""
     key = F.col("key")
     tokens = F.split(key, " ")
     marks = F.transform(tokens, lambda t: F.regexp_replace(t, r"^[.,]+|[.,]+$", ""))
-    described = ranked.withColumns({
+    return keys.withColumns({
         "n": F.length(key), "digits": F.regexp_extract_all(key, F.lit(r"(\d+)"), F.lit(1)),
         "units": F.array_sort(F.array_distinct(F.filter(marks, lambda t: t.isin(*UNITS)))), "tail": F.element_at(tokens, -1)})
+
+
+def neighbour_pairs(ranked: DataFrame, chunk: int = CHUNK, neighbours: int = NEIGHBOURS, prefix: int = PREFIX) -> DataFrame:
+    """(left_key, right_key): each key with up to ``neighbours`` followers of the same ``prefix`` letters that pass the guards.
+
+    Both limits are the method (a sorted neighbourhood); :func:`blocking_statistics` tells how many pairs they leave out.
+    """
+    described = _described(ranked)
     own = F.floor(F.col("rank") / chunk)
     near_start = (F.col("rank") % chunk < neighbours) & (own > 0)
     copies = F.when(near_start, F.array(own, own - 1)).otherwise(F.array(own))
@@ -139,19 +151,95 @@ def similarity(left: Column, right: Column) -> Column:
     return 1.0 - F.levenshtein(left, right) / F.greatest(F.length(left), F.length(right))
 
 
-def fuzzy_pairs(labels: DataFrame, least: float = MIN_SIMILARITY, neighbours: int = NEIGHBOURS, prefix: int = PREFIX) -> DataFrame:
-    """Different normalised names that read almost alike."""
-    leads = _leads(labels).select("key", "lead")
+def _variants(text: Column) -> Column:
+    """``text`` without each of its letters in turn."""
+    return F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.concat(
+        text.substr(F.lit(1), i - 1), text.substr(i + 1, F.length(text))))
+
+
+def shared_pieces(keys: DataFrame, least: float = MIN_SIMILARITY, crowded: int = CROWDED) -> DataFrame:
+    """(left_key, right_key, edits): pairs of names that share a piece, the guards' marks and a length within reach, once per shared piece.
+
+    ``edits`` is how many edits their longer length allows. Of the pieces of the shorter name one is unchanged in the
+    longer one, moved by no more than the edits around it; and there is one such piece whose follower (the first
+    follows the last) has one edit at most, which is what crowded pieces are joined on.
+    """
+    suffix = F.when(F.col("tail").isin(*COMPANY_SUFFIXES), F.col("tail"))
+    named = cut_lineage(_described(keys).select("key", "n", F.xxhash64("digits", "units", suffix).alias("marks")))
+    allowed = lambda length: F.floor((1 - least) * length + 1e-9).cast("int")
+    pieces, i = F.col("edits") + 1, F.col("i")
+    begin = lambda x: F.floor(x * F.col("short") / pieces).cast("int")
+    cut = {"begin": begin(i), "size": begin(i + 1) - begin(i)}
+    after = (i + 1) % pieces
+    follower = {"after_begin": begin(after), "after_size": begin(after + 1) - begin(after)}
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.withColumn("h", F.xxhash64("marks", "long", "short", "i", F.col("key").substr(F.col("at") + 1, F.col("size"))))
+
+    # each name as the shorter one, for every length of the longer one that can be near
+    held = named.select("key", "marks", F.col("n").alias("short"), F.explode(F.sequence(F.col("n"), F.floor(F.col("n") / least + 1e-9).cast("int"))).alias("long"))
+    held = held.withColumn("edits", allowed(F.col("long"))).where(F.col("long") - F.col("short") <= F.col("edits"))
+    held = keyed(held.select("*", F.explode(F.sequence(F.lit(0), F.col("edits"))).alias("i")).withColumns(cut).withColumn("at", F.col("begin")))
+    # each name as the longer one, with every place at which a piece can stand
+    asked = named.select("key", "marks", F.col("n").alias("long"), allowed(F.col("n")).alias("edits"))
+    asked = asked.select("*", F.explode(F.sequence(F.greatest(F.col("long") - F.col("edits"), F.lit(1)), F.col("long"))).alias("short"))
+    asked = asked.select("*", F.explode(F.sequence(F.lit(0), F.col("edits"))).alias("i")).withColumns(cut)
+    asked = asked.select("*", F.explode(F.sequence(-F.col("edits"), F.col("edits"))).alias("moved")).where(
+        (F.abs("moved") + F.abs(F.col("long") - F.col("short") - F.col("moved")) <= F.col("edits"))
+        & (F.col("begin") + F.col("moved") >= 0) & (F.col("begin") + F.col("moved") + F.col("size") <= F.col("long")))
+    asked = keyed(asked.withColumn("at", F.col("begin") + F.col("moved")))
+
+    many = cut_lineage(held.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > crowded).select("h"))
+    pair = (F.col("x.h") == F.col("y.h")) & ((F.col("x.long") > F.col("x.short")) | (F.col("x.key") > F.col("y.key")))
+    shown = [F.least("x.key", "y.key").alias("left_key"), F.greatest("x.key", "y.key").alias("right_key"), F.col("x.edits").alias("edits")]
+    narrow = lambda df: df.select("h", "key", "long", "short", "edits")
+    if many.isEmpty():
+        return narrow(asked).alias("x").join(narrow(held).alias("y"), pair).select(*shown)
+    few = narrow(asked).join(many, "h", "left_anti").alias("x").join(narrow(held).join(many, "h", "left_anti").alias("y"), pair)
+
+    text = F.col("key").substr(F.col("after_begin") + 1, F.col("after_size"))
+    with_next = lambda df, forms: df.select("h", "key", "long", "short", "edits", F.explode(F.array_distinct(forms)).alias("form")).select(
+        F.xxhash64("h", "form").alias("h"), "key", "long", "short", "edits")
+    refined_held = with_next(held.join(many, "h", "left_semi").withColumns(follower), F.concat(F.array(text), _variants(text)))
+    start = F.when(after == 0, F.lit(0)).otherwise(F.col("at") + F.col("size"))
+    read = lambda size: F.col("key").substr(start + 1, size)
+    fits = lambda size: (size >= 1) & (start + size <= F.col("long"))
+    none = F.array().cast("array<string>")
+    n = F.col("after_size")
+    forms = F.concat(
+        F.when(fits(n), F.concat(F.array(read(n)), _variants(read(n)))).otherwise(none),
+        F.when(fits(n + 1), _variants(read(n + 1))).otherwise(none),
+        F.when(fits(n - 1), F.array(read(n - 1))).otherwise(F.when(n == 1, F.array(F.lit(""))).otherwise(none)))
+    refined_asked = with_next(asked.join(many, "h", "left_semi").withColumns(follower), forms)
+    return few.select(*shown).unionAll(refined_asked.alias("x").join(refined_held.alias("y"), pair).select(*shown))
+
+
+def similar_keys(keys: DataFrame, least: float = MIN_SIMILARITY, crowded: int = CROWDED) -> DataFrame:
+    """(left_key, right_key, similarity): all pairs of names that pass the guards and are at least this similar."""
+    found = shared_pieces(keys, least, crowded)
+    near = F.expr("levenshtein(left_key, right_key, edits)")  # ends early: -1 beyond the edits
+    longer = F.greatest(F.length("left_key"), F.length("right_key"))
+    gap = F.abs(F.length("left_key") - F.length("right_key")) <= longer * MAX_LENGTH_GAP
+    close = found.where(gap).withColumn("d", near).where(F.col("d") >= 0).withColumn("similarity", 1.0 - F.col("d") / longer)
+    return close.where(F.col("similarity") >= least).select("left_key", "right_key", "similarity").distinct()
+
+
+def fuzzy_pairs(labels: DataFrame, least: float = MIN_SIMILARITY, neighbours: int | None = None, prefix: int = PREFIX) -> DataFrame:
+    """Different normalised names that read almost alike: all of them, or those of a sorted neighbourhood."""
+    leads = cut_lineage(_leads(labels).select("key", "lead"))
     long_keys = leads.where(F.length("key") >= MIN_LENGTH).select("key")
-    compared = neighbour_pairs(ranked_keys(long_keys), neighbours=neighbours, prefix=prefix)
-    close = compared.withColumn("similarity", similarity(F.col("left_key"), F.col("right_key"))).where(F.col("similarity") >= least)
+    if neighbours is None:
+        close = similar_keys(long_keys, least)
+    else:
+        compared = neighbour_pairs(ranked_keys(long_keys), neighbours=neighbours, prefix=prefix)
+        close = compared.withColumn("similarity", similarity(F.col("left_key"), F.col("right_key"))).where(F.col("similarity") >= least)
     side = lambda s: leads.select(F.col("key").alias(f"{s}_key"), F.col("lead").alias(s))
     return close.join(side("left"), "left_key").join(side("right"), "right_key").select(
         "left", "right", "similarity", F.array(F.lit(SPELLING)).alias("reasons"))
 
 
 def blocking_statistics(labels: DataFrame) -> DataFrame:
-    """One row: labels, theoretical pairs, pairs that are compared and pairs that the neighbourhood leaves out."""
+    """One row: labels, theoretical pairs, pairs that a sorted neighbourhood compares and pairs that it leaves out."""
     leads = _leads(labels)
     exact = leads.agg(F.coalesce(F.sum(F.col("variants") - 1), F.lit(0)).alias("n")).scalar()
     fuzzy = neighbour_pairs(ranked_keys(leads.where(F.length("key") >= MIN_LENGTH))).agg(F.count(F.lit(1)).alias("n")).scalar()
@@ -161,6 +249,18 @@ def blocking_statistics(labels: DataFrame) -> DataFrame:
         (F.floor(n * (n - 1) / 2) - exact - fuzzy).alias("pairs_left_out"))
 
 
+def similarity_statistics(labels: DataFrame, least: float = MIN_SIMILARITY, neighbours: int = NEIGHBOURS, prefix: int = PREFIX) -> DataFrame:
+    """One row: names, pairs of them, similar pairs, similar pairs that the join finds and those that a sorted neighbourhood would lose."""
+    keys = cut_lineage(_leads(labels).where(F.length("key") >= MIN_LENGTH).select("key"))
+    close = similar_keys(keys, least).select("left_key", "right_key").withColumn("all", F.lit(1))
+    beside = neighbour_pairs(ranked_keys(keys), neighbours=neighbours, prefix=prefix)
+    met = close.join(beside.withColumn("beside", F.lit(1)), ["left_key", "right_key"], "left")
+    found = met.agg(F.count("all").alias("similar_pairs"), F.count_if(F.col("beside").isNull()).alias("lost_by_neighbourhood"))
+    n = F.col("names")
+    return keys.agg(F.count(F.lit(1)).alias("names")).join(found, F.lit(True)).select(
+        n, F.floor(n * (n - 1) / 2).alias("theoretical_pairs"), "similar_pairs", "lost_by_neighbourhood")
+
+
 def entity_candidates(df: DataFrame, roles: Roles, analysis: str | None = None, row_no: str | None = None) -> DataFrame:
     """All candidate pairs of all text-identified entity types with both sides' context.
 

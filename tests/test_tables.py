@@ -72,19 +72,37 @@ def _edits(a, b):
     return row[-1]
 
 
-def _brute(texts):
+def _brute(texts, least=0.9):
+    """All pairs that are alike, whatever they begin with; no digits, units or company suffixes in them."""
     out = set()
-    blocks = {}
-    for t in sorted(texts):
-        blocks.setdefault(t[:3], []).append(t)
-    for block in blocks.values():
-        for i, a in enumerate(block):
-            for b in block[i + 1:i + 21]:
-                if abs(len(a) - len(b)) <= max(len(a), len(b)) * 0.12 and 1 - _edits(a, b) / max(len(a), len(b)) >= 0.9:
-                    out.add((a, b))
+    texts = sorted(texts)
+    for i, a in enumerate(texts):
+        for b in texts[i + 1:]:
+            longer = max(len(a), len(b))
+            if abs(len(a) - len(b)) <= longer * 0.12 and 1 - _edits(a, b) / longer >= least:
+                out.add((a, b))
     return out
 
 
+def test_shared_pieces_lose_no_pair(spark):
+    rng = random.Random(5)
+    names = set()
+    for _ in range(16):
+        base = "".join(rng.choices("abcd ", k=rng.randint(10, 30)))
+        for _ in range(12):
+            name = list(base)
+            for _ in range(rng.randint(0, 4)):
+                i = rng.randrange(len(name))
+                name[i:i + rng.randint(0, 1)] = rng.choices("abx ", k=rng.randint(0, 1))
+            names.add("".join(name).strip())
+    names = {n for n in names if len(n) >= 10}
+    df = spark.createDataFrame([(n,) for n in names], "key string")
+    for least, crowded in ((0.9, 4096), (0.9, 1), (0.85, 8)):
+        got = [(r["left_key"], r["right_key"]) for r in entities.similar_keys(df, least, crowded).collect()]
+        assert set(got) == _brute(names, least) and len(got) == len(set(got)) and len(got) > 50
+    assert entities.similar_keys(df.limit(0)).count() == 0
+
+
 def test_fuzzy_pairs_against_brute_force(spark):
     rng = random.Random(3)
     words = ["distribuidora", "comercio", "oliveira", "silveira", "santos", "pereira", "almeida"]
@@ -97,6 +115,8 @@ def test_fuzzy_pairs_against_brute_force(spark):
     small = {tuple(r) for r in entities.neighbour_pairs(ranked, chunk=25).collect()}
     large = {tuple(r) for r in entities.neighbour_pairs(ranked).collect()}
     assert small == large
+    near = {tuple(sorted((r["left"], r["right"]))) for r in entities.fuzzy_pairs(df, neighbours=20).collect()}
+    assert near <= got
 
 
 def test_names_that_must_not_match(spark):
