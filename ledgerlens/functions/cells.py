@@ -37,23 +37,33 @@ def blank(c: Column) -> Column:
     return c.isNull() | (F.trim(c) == "")
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row, wherever it stands in the result."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parse_number(c: Column) -> Column:
     """Number of a cell whose notation has one reading only, else NULL.
 
     With both separators the last one is decimal and the other must group by
     three; a single separator followed by exactly three digits is ambiguous.
     """
-    s = F.trim(c)
-    negative = s.rlike(r"^\(.*\)$")
-    body = F.regexp_replace(F.regexp_replace(F.when(negative, F.substring(s, F.lit(2), F.length(s) - 2)).otherwise(s), _MARKS, ""), "[  ]", "")
-    comma_decimal, dot_decimal = body.rlike(r"^[+-]?\d{1,3}(\.\d{3})+,\d+$"), body.rlike(r"^[+-]?\d{1,3}(,\d{3})+\.\d+$")
-    plain, single = body.rlike(r"^[+-]?\d+$"), body.rlike(r"^[+-]?\d+[.,](\d{0,2}|\d{4,})$")
-    text = (
-        F.when(comma_decimal, F.translate(F.translate(body, ".", ""), ",", ".")).when(dot_decimal, F.translate(body, ",", ""))
-        .when(plain, body).when(single, F.translate(body, ",", "."))
-    )
-    value = text.try_cast("double")
-    return F.when(negative, -value).otherwise(value)
+    def read(body: Column) -> Column:
+        comma_decimal, dot_decimal = body.rlike(r"^[+-]?\d{1,3}(\.\d{3})+,\d+$"), body.rlike(r"^[+-]?\d{1,3}(,\d{3})+\.\d+$")
+        plain, single = body.rlike(r"^[+-]?\d+$"), body.rlike(r"^[+-]?\d+[.,](\d{0,2}|\d{4,})$")
+        text = (
+            F.when(plain, body).when(single, F.translate(body, ",", "."))
+            .when(comma_decimal, F.translate(F.translate(body, ".", ""), ",", ".")).when(dot_decimal, F.translate(body, ",", ""))
+        )
+        return text.try_cast("double")
+
+    def signed(s: Column) -> Column:
+        negative = s.rlike(r"^\(.*\)$")
+        bare = F.when(negative, F.substring(s, F.lit(2), F.length(s) - 2)).otherwise(s)
+        value = _once(F.regexp_replace(F.regexp_replace(bare, _MARKS, ""), "[ \u00a0]", ""), read)
+        return F.when(negative, -value).otherwise(value)
+
+    return F.when(c.rlike("[0-9]"), _once(F.trim(c), signed))
 
 
 def is_date(c: Column) -> Column:
@@ -65,10 +75,11 @@ def is_date(c: Column) -> Column:
 
 
 def cell_kind(c: Column) -> Column:
+    """One letter for what a cell holds. Dates, shares and numbers have a digit, so that texts are told by one test."""
     s = F.trim(c)
     share = F.endswith(s, F.lit("%")) & parse_number(F.regexp_replace(s, "%$", "")).isNotNull()
     return (
-        F.when(blank(c), BLANK).when(is_date(c), DATE).when(s.isin(*CURRENCY), MARK).when(share, PERCENT)
+        F.when(blank(c), BLANK).when(s.isin(*CURRENCY), MARK).when(~c.rlike("[0-9]"), TEXT).when(is_date(c), DATE).when(share, PERCENT)
         .when(parse_number(c).isNotNull(), NUMBER).otherwise(TEXT)
     )
 

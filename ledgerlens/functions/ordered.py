@@ -15,10 +15,19 @@ from pyspark.sql import functions as F
 CHUNK_ROWS = 262_144
 
 
-def _chunked(df: DataFrame, order: str, rows: int) -> DataFrame:
+def with_chunk(df: DataFrame, order: str, rows: int = CHUNK_ROWS) -> DataFrame:
+    """``df`` with the number of each row's chunk. Scans of a frame that has it keep it, so that scans in a row share one shuffle and sort."""
     return df.withColumn("_chunk", F.floor(F.col(order) / rows))
 
 
+def _chunked(df: DataFrame, order: str, rows: int) -> DataFrame:
+    return df if "_chunk" in df.columns else with_chunk(df, order, rows)
+
+
+def _added(df: DataFrame) -> list[str]:
+    return [] if "_chunk" in df.columns else ["_chunk"]
+
+
 def _join_back(df: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(summary, [*keys, "_chunk"], "left")
 
@@ -35,7 +44,7 @@ def running_sums(df: DataFrame, keys: list[str], order: str, sums: dict[str, Col
     out = _join_back(work, base, keys)
     for n in sums:
         out = out.withColumn(n, F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)) + F.col(f"_b_{n}"))
-    return out.drop("_chunk", *[f"_v_{n}" for n in sums], *[f"_b_{n}" for n in sums])
+    return out.drop(*_added(df), *[f"_v_{n}" for n in sums], *[f"_b_{n}" for n in sums])
 
 
 def last_known(df: DataFrame, keys: list[str], order: str, values: dict[str, Column], rows: int = CHUNK_ROWS,
@@ -52,7 +61,7 @@ def last_known(df: DataFrame, keys: list[str], order: str, values: dict[str, Col
     out = _join_back(work, base, keys)
     for n in values:
         out = out.withColumn(n, F.coalesce(F.last(f"_v_{n}", ignorenulls=True).over(inside), F.col(f"_b_{n}")))
-    return out.drop("_chunk", *[f"_v_{n}" for n in values], *[f"_b_{n}" for n in values])
+    return out.drop(*_added(df), *[f"_v_{n}" for n in values], *[f"_b_{n}" for n in values])
 
 
 def next_known(df: DataFrame, keys: list[str], order: str, values: dict[str, Column], rows: int = CHUNK_ROWS) -> DataFrame:
@@ -68,7 +77,7 @@ def next_known(df: DataFrame, keys: list[str], order: str, values: dict[str, Col
     out = _join_back(work, base, keys)
     for n in values:
         out = out.withColumn(n, F.coalesce(F.first(f"_v_{n}", ignorenulls=True).over(inside), F.col(f"_b_{n}")))
-    return out.drop("_chunk", *[f"_v_{n}" for n in values], *[f"_b_{n}" for n in values])
+    return out.drop(*_added(df), *[f"_v_{n}" for n in values], *[f"_b_{n}" for n in values])
 
 
 def with_dense_row_number(df: DataFrame, keys: list[str], order: str, name: str = "row_no", start: int = 1,

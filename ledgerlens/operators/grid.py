@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells as cl
-from ..functions.ordered import last_known, running_sums
+from ..functions.ordered import last_known, running_sums, with_chunk
 from ..functions.text import fold
 from ..session import cut_lineage
 from .headers import SAMPLE, best_rows, candidate_headers, top_header
@@ -23,10 +23,11 @@ KEYS = ["file", "sheet"]
 MIN_STRONG, SAME, MIN_FIELDS, MIN_SEQUENCES = 20, 0.95, 3, 2
 PRESENT_SHARE, ALIKE_REPEATED, ALIKE_IN_BLOCK = 0.6, 0.85, 0.5
 W_REPEAT, W_VALUE, W_FIELDS, W_BLOCK, MIN_ROW_SCORE = 0.45, 0.25, 0.2, 0.1, 0.8
-TOP_SIGNATURES = 32
 OPTIONAL_MIN, OPTIONAL_CACHED = 20, 0.95
 LATE_ROW, LATE_SIDE, LATE_CORE, LATE_SHARE, LATE_KIND = 20, 10, 3, 0.8, 0.9
 MAX_UNKNOWN = 0.15
+#: Number of the table that a sheet's continued blocks are merged into.
+MERGED = -1
 EMPTY, PERIOD, SUMMARY, TARGET, SUBTOTAL, TOTAL, COMMENT, SEPARATOR, HEADER, UPPER, TITLE, UNKNOWN, RECORD = (
     "vazia", "periodo", "resumo", "meta", "subtotal", "total", "comentario", "separador", "cabecalho", "cabecalho_superior",
     "titulo", "desconhecida", "transacao")
@@ -35,6 +36,9 @@ BOUNDARIES = (PERIOD, HEADER, *SUMMARIES)
 WHY_FAMILIES = "Incompatible transaction families were found."
 WHY_AMBIGUOUS = "Ambiguous rows exceed the safe partial-preservation limit."
 WHY_NO_PATTERN = "No dominant transaction signature reached sufficient consistency."
+WHY_REGIONS = "Side-by-side regions were separated; review them before choosing or relating tables."
+#: Between the name of a sheet and the number of its region.
+REGION_MARK = "\u0001#"
 OK_PARTIAL = "Rows were extracted partially; unknown rows remain in the audit."
 OK_FULL = "Rows were extracted with a consistent structure."
 
@@ -97,11 +101,11 @@ def basic_type(rows: DataFrame) -> Column:
     )
 
 
-def header_rows(rows: DataFrame) -> DataFrame:
-    """(keys, row_no, score): rows that read as headers, and every repetition of such a row."""
+def header_rows(rows: DataFrame, top: DataFrame) -> DataFrame:
+    """(keys, row_no, score): rows that read as headers, and every repetition of such a row. ``top``: see :func:`top_header`."""
     like = F.col("type").isNull() & (count_kinds(F.col("sig"), cl.TEXT) >= 2) & ~F.array_contains("sig", cl.DATE) & ~F.array_contains("sig", cl.NUMBER)
     ends = rows.groupBy(*KEYS).agg(F.max("row_no").alias("last_row"))
-    found = candidate_headers(rows, KEYS, like).join(ends, KEYS).join(top_header(rows, KEYS), KEYS, "left").where(
+    found = candidate_headers(rows, KEYS, like).join(ends, KEYS).join(top, KEYS, "left").where(
         (F.col("row_no") < F.col("last_row")) | F.coalesce(F.col("row_no") == F.col("header_row"), F.lit(False)))
     texts = found.select(*KEYS, "row_no", "score").join(rows.select(*KEYS, "row_no", "folded"), [*KEYS, "row_no"])
     known = texts.groupBy(*KEYS, "folded").agg(F.max_by("score", "row_no").alias("score"))
@@ -135,16 +139,17 @@ def header_names(rows: DataFrame, headers: DataFrame, merged: DataFrame | None =
     return out.select(*KEYS, "row_no", names.alias("names"), "score", upper.alias("upper"))
 
 
-def classify_first(grid: DataFrame, formulas: DataFrame | None = None, merged: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows with first types, headers with names)."""
+def classify_first(grid: DataFrame, formulas: DataFrame | None = None, merged: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with first types, headers with names, header of the first rows of each sheet)."""
     rows = described_rows(grid, formulas)
     rows = cut_lineage(rows.withColumn("type", basic_type(rows)))
-    heads = cut_lineage(header_names(rows, header_rows(rows), merged))
+    top = cut_lineage(top_header(rows, KEYS))
+    heads = cut_lineage(header_names(rows, header_rows(rows, top), merged))
     mark = heads.select(*KEYS, "row_no", "names", F.col("score").alias("header_score"))
     over = heads.where("upper").select(*KEYS, (F.col("row_no") - 1).alias("row_no"), F.lit(True).alias("is_upper"))
     rows = rows.join(mark, [*KEYS, "row_no"], "left").join(over, [*KEYS, "row_no"], "left")
     kind = F.when(F.col("is_upper"), UPPER).when(F.col("names").isNotNull(), HEADER).otherwise(F.col("type"))
-    return rows.withColumn("type", kind).drop("is_upper"), heads
+    return rows.withColumn("type", kind).drop("is_upper"), heads, top
 
 
 def signature_counts(rows: DataFrame) -> DataFrame:
@@ -152,9 +157,8 @@ def signature_counts(rows: DataFrame) -> DataFrame:
     return rows.where("data >= 2").groupBy(*KEYS, "sig").agg(F.count(F.lit(1)).alias("n"), F.min("row_no").alias("first_row"))
 
 
-def report_gate(rows: DataFrame, heads: DataFrame) -> DataFrame:
+def report_gate(rows: DataFrame, heads: DataFrame, top: DataFrame) -> DataFrame:
     """(keys, is_report): does the sheet need recovery, or is it an ordinary table?"""
-    top = top_header(rows, KEYS)
     first = heads.groupBy(*KEYS).agg(F.min("row_no").alias("first_head"), F.count(F.lit(1)).alias("heads"), F.bool_or("upper").alias("stacked"))
     dense = signature_counts(rows).where((F.col("n") >= 2) & (F.size(F.filter("sig", lambda k: k != cl.BLANK)) >= 3)).select(*KEYS).distinct().withColumn("dense", F.lit(True))
     facts = rows.join(top, KEYS, "left").join(first, KEYS, "left").withColumn("head", F.coalesce("first_head", "header_row"))
@@ -238,18 +242,22 @@ def sheet_pattern(cand: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def similarity_to_common(rows: DataFrame) -> DataFrame:
-    """(keys, sig, repeats, similar): how often a signature occurs and how near it is to a frequent one.
+    """(keys, sig, repeats, similar): how often a signature occurs and how near it is to the frequent one that is nearest.
 
-    Compared are distinct signatures of a sheet with its 32 most frequent ones.
+    Frequent signatures are those that occur twice, however many there are. They are indexed by their used positions
+    and kinds, and the entries that a signature shares with each are counted.
     """
-    counts = signature_counts(rows)
-    w = Window.partitionBy(*KEYS).orderBy(F.col("n").desc(), "first_row")
-    top = counts.withColumn("r", F.row_number().over(w)).where((F.col("r") <= TOP_SIGNATURES) & (F.col("n") >= 2)).groupBy(*KEYS).agg(F.collect_list("sig").alias("common"))
     distinct = rows.groupBy(*KEYS, "sig").agg(F.count(F.lit(1)).alias("all_rows"), F.first("data").alias("data"))
-    alike = lambda p: F.size(F.filter(F.zip_with("sig", p, lambda a, b: (a == b) | (a == cl.BLANK)), lambda x: x)) / F.greatest(F.lit(1), F.size("sig"))
-    return distinct.join(top, KEYS, "left").select(
-        *KEYS, "sig", F.when(F.col("data") >= 2, F.col("all_rows")).otherwise(0).alias("repeats"),
-        F.coalesce(F.array_max(F.transform("common", alike)), F.lit(0.0)).alias("similar"))
+    distinct = distinct.withColumn("sid", F.array_join("sig", ""))
+    entries = distinct.select(*KEYS, "sid", "data", "all_rows", F.posexplode("sig").alias("pos", "kind")).where(F.col("kind") != cl.BLANK)
+    frequent = entries.where("data >= 2 and all_rows >= 2").select(*KEYS, F.col("sid").alias("pid"), "pos", "kind")
+    shared = entries.select(*KEYS, "sid", "pos", "kind").join(frequent, [*KEYS, "pos", "kind"]).groupBy(*KEYS, "sid", "pid").agg(F.count(F.lit(1)).alias("n"))
+    best = shared.groupBy(*KEYS, "sid").agg(F.max("n").alias("n"))
+    some = frequent.select(*KEYS).distinct().withColumn("some", F.lit(True))
+    blanks = F.size(F.filter("sig", lambda k: k == cl.BLANK))
+    near = (F.coalesce("n", F.lit(0)) + blanks) / F.greatest(F.lit(1), F.size("sig"))
+    return distinct.join(best, [*KEYS, "sid"], "left").join(some, KEYS, "left").select(
+        *KEYS, "sig", F.when(F.col("data") >= 2, F.col("all_rows")).otherwise(0).alias("repeats"), F.when(F.col("some"), near).otherwise(0.0).alias("similar"))
 
 
 def mark_summary_runs(cand: DataFrame, pattern: DataFrame) -> DataFrame:
@@ -275,12 +283,12 @@ def mark_summary_runs(cand: DataFrame, pattern: DataFrame) -> DataFrame:
     return rows.withColumn("type", F.when(inside, SUMMARY).otherwise(F.col("type"))).drop("event", "state", "absorbable")
 
 
-def classify_rows(rows: DataFrame, heads: DataFrame, parts: DataFrame) -> DataFrame:
-    """Final type, score, block number and period context of every row."""
-    first = heads.groupBy(*KEYS).agg(F.min("row_no").alias("first_head")).join(top_header(rows, KEYS), KEYS, "full")
+def classify_rows(rows: DataFrame, heads: DataFrame, parts: DataFrame, top: DataFrame, alike: DataFrame) -> DataFrame:
+    """Final type, score, block number, last header and period context of every row. ``alike``: see :func:`similarity_to_common`."""
+    first = heads.groupBy(*KEYS).agg(F.min("row_no").alias("first_head")).join(top, KEYS, "full")
     first = first.select(*KEYS, F.coalesce("first_head", "header_row").alias("head"))
     strong_rows = parts.where("strong").select(*KEYS, "section", F.col("pattern").alias("section_pattern"))
-    rows = rows.join(first, KEYS, "left").join(similarity_to_common(rows), [*KEYS, "sig"]).join(strong_rows, [*KEYS, "section"], "left")
+    rows = rows.join(first, KEYS, "left").join(alike, [*KEYS, "sig"]).join(strong_rows, [*KEYS, "section"], "left")
     in_section = F.col("candidate") & F.col("section_pattern").isNotNull() & (compatibility(F.col("adjusted"), F.col("section_pattern")) >= SAME)
     in_global = F.col("candidate") & F.coalesce("strong_global", F.lit(False)) & (compatibility(F.col("adjusted"), F.col("dominant")) >= SAME)
     rows = rows.withColumn("firm", F.coalesce(in_section | in_global, F.lit(False)))
@@ -295,13 +303,13 @@ def classify_rows(rows: DataFrame, heads: DataFrame, parts: DataFrame) -> DataFr
         "base_score": F.when(repeated, W_REPEAT).otherwise(0.0) + F.when(valued, W_VALUE).otherwise(0.0) + F.when(F.col("data") >= 2, W_FIELDS).otherwise(0.0),
         "blocked": F.coalesce(title | thin | broken, F.lit(False)), "title": F.coalesce(title, F.lit(False))})
     free = open_row & ~F.col("blocked") & ((F.col("strong") & F.col("firm")) | (F.col("base_score") >= MIN_ROW_SCORE))
-    rows = rows.withColumn("free", F.coalesce(free, F.lit(False)))
+    carried = open_row & ~F.col("blocked") & (F.col("data") >= 2) & valued & (F.col("similar") >= ALIKE_IN_BLOCK)
+    # Written out here: the scans below refer to these marks many times over.
+    rows = cut_lineage(rows.withColumns({"free": F.coalesce(free, F.lit(False)), "carried": F.coalesce(carried, F.lit(False))}).drop(
+        "filled", "label", "money", "folded", "section_pattern", "repeats", "similar", "blocked", "first_row"))
     begin = rows.where(F.col("free") | (F.col("type") == HEADER)).groupBy(*KEYS).agg(F.min("row_no").alias("begin"))
     rows = rows.join(begin, KEYS, "left").withColumn("in_block", F.coalesce(F.col("row_no") > F.col("begin"), F.lit(False)))
-    carried = F.col("in_block") & (F.col("data") >= 2) & valued & (F.col("similar") >= ALIKE_IN_BLOCK)
-    # Written out here: the scans below refer to these marks many times over.
-    rows = cut_lineage(rows.withColumn("eligible", F.col("free") | F.coalesce(open_row & ~F.col("blocked") & carried, F.lit(False))).drop(
-        "filled", "label", "money", "folded", "section_pattern", "repeats", "similar", "free", "begin", "blocked", "first_row"))
+    rows = rows.withColumn("eligible", F.col("free") | (F.col("in_block") & F.col("carried"))).drop("free", "carried", "begin")
 
     is_head = F.col("type") == HEADER
     name_text = F.array_join(F.transform("names", lambda v: F.coalesce(fold(v), F.lit(""))), "\u0001")
@@ -309,7 +317,7 @@ def classify_rows(rows: DataFrame, heads: DataFrame, parts: DataFrame) -> DataFr
     rows = last_known(rows, KEYS, "row_no", {"prev_head": F.col("head_text")}, before=True)
     starts = is_head & (F.col("prev_head").isNull() | (F.col("prev_head") != F.col("head_text")))
     rows = running_sums(rows, KEYS, "row_no", {"block": F.when(starts, 1).otherwise(0)})
-    rows = last_known(rows, KEYS, "row_no", {"context": F.when(F.col("type") == PERIOD, F.col("period"))})
+    rows = last_known(rows, KEYS, "row_no", {"context": F.when(F.col("type") == PERIOD, F.col("period")), "head_row": F.when(is_head, F.col("row_no"))})
     anchor = rows.where("eligible").groupBy(*KEYS, "block").agg(F.min_by("sig", "row_no").alias("anchor"))
     rows = rows.join(anchor, [*KEYS, "block"], "left")
     differs = lambda a, b: (a != b) & (a != cl.BLANK) & (b != cl.BLANK)
@@ -378,11 +386,14 @@ def merge_continuations(rows: DataFrame) -> DataFrame:
     names = rows.where(F.col("type") == HEADER).groupBy(*KEYS, "block").agg(F.min("head_text").alias("names"))
     facts = used.join(names, [*KEYS, "block"], "left").groupBy(*KEYS).agg(
         (F.bool_or("strong") & (F.count(F.lit(1)) > 1) & F.bool_or(F.col("names").isNull()) & (F.count_distinct("names") <= 1)).alias("merge"))
-    return rows.join(facts, KEYS, "left").withColumn("table_no", F.when(F.coalesce("merge", F.lit(False)), F.lit(-1)).otherwise(F.col("block"))).drop("merge")
+    return rows.join(facts, KEYS, "left").withColumn("table_no", F.when(F.coalesce("merge", F.lit(False)), F.lit(MERGED)).otherwise(F.col("block"))).drop("merge")
+
 
+def sheet_metrics(rows: DataFrame, pattern: DataFrame, plan: DataFrame | None = None) -> DataFrame:
+    """One row per sheet: counts by type, coverage, confidence, status and reason.
 
-def sheet_metrics(rows: DataFrame, pattern: DataFrame) -> DataFrame:
-    """One row per sheet: counts by type, coverage, confidence, status and reason."""
+    A sheet needs review as well if a column of its ``plan`` does, and if it is one of several regions of a sheet.
+    """
     n = lambda *t: F.count_if(F.col("type").isin(*t))
     agg = rows.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("rows"), n(RECORD).alias("records"), n(*SUMMARIES).alias("summaries"), n(PERIOD).alias("periods"), n(EMPTY).alias("empty"),
@@ -392,8 +403,12 @@ def sheet_metrics(rows: DataFrame, pattern: DataFrame) -> DataFrame:
         "content": F.greatest(F.lit(1), F.col("rows") - F.col("empty"))}).drop("c", "s", "i")
     share = F.col("unknown") / F.col("content")
     safe = F.col("strong") & (F.col("records") >= MIN_STRONG) & (F.col("compatibility") >= 95) & ~F.col("incompatible") & (share <= MAX_UNKNOWN)
-    review = F.col("incompatible") | ((F.col("unknown") > 0) & ~safe)
+    doubtful = plan.where("review").select(*KEYS).distinct().withColumn("doubtful", F.lit(True)) if plan is not None else _empty(rows, "file string, sheet string, doubtful boolean")
+    out = out.join(doubtful, KEYS, "left")
+    regional = F.contains("sheet", F.lit(REGION_MARK))
+    review = F.col("incompatible") | ((F.col("unknown") > 0) & ~safe) | F.coalesce("doubtful", F.lit(False)) | regional
     reasons = F.array_compact(F.array(
+        F.when(regional, WHY_REGIONS),
         F.when(F.col("incompatible"), WHY_FAMILIES), F.when((F.col("unknown") > 0) & ~safe, WHY_AMBIGUOUS),
         F.when(~F.col("strong") & (F.col("records") >= MIN_STRONG), WHY_NO_PATTERN)))
     return out.select(
@@ -434,6 +449,18 @@ def review_detail(metrics: DataFrame) -> DataFrame:
         F.sum("content").alias("content_rows"), F.sum("records").alias("record_rows"), F.sum("unknown").alias("unknown_rows"))
 
 
+def records_of(audit: DataFrame) -> DataFrame:
+    """The audit's records. Cells whose formula has no stored value are NULL here; the audit keeps what stands there."""
+    known = F.transform("cells", lambda v, i: F.when(~F.array_contains("uncached", i + 1), v))
+    return audit.where(F.col("type") == RECORD).withColumn("cells", F.when(F.size("uncached") > 0, known).otherwise(F.col("cells")))
+
+
+def unavailable_formulas(audit: DataFrame, formulas: DataFrame) -> DataFrame:
+    """(keys, row_no, col_no, formula): formulas of records that have no stored value."""
+    rows = audit.where((F.col("type") == RECORD) & (F.size("uncached") > 0)).select(*KEYS, "row_no")
+    return formulas.where("uncached").join(rows, [*KEYS, "row_no"]).select(*KEYS, "row_no", "col_no", "formula")
+
+
 def column_facts(records: DataFrame) -> DataFrame:
     """(keys, table_no, pos, …) counts that decide what happens to each column of a table."""
     cells = records.select(*KEYS, "table_no", "row_no", F.posexplode("cells").alias("pos", "v"))
@@ -470,7 +497,8 @@ def column_plan(records: DataFrame, heads: DataFrame) -> DataFrame:
     review = mixed | ((F.col("money") > 0) & ~F.col("is_amount"))
     facts = facts.withColumn("action", action).withColumn("review", F.coalesce(review, F.lit(False)))
     named = heads.select(*KEYS, F.col("row_no"), F.posexplode("names").alias("pos", "label"))
-    start = records.groupBy(*KEYS, "table_no").agg(F.max("head_row").alias("row_no"))
+    # a table made of blocks without a header takes no names from a header that stands later
+    start = records.where(F.col("table_no") != MERGED).groupBy(*KEYS, "table_no").agg(F.max("head_row").alias("row_no"))
     labels = named.join(start, [*KEYS, "row_no"]).select(*KEYS, "table_no", "pos", F.trim("label").alias("label"))
     return clean_names(facts.join(labels, [*KEYS, "table_no", "pos"], "left"))
 
@@ -508,9 +536,15 @@ def lateral_regions(grid: DataFrame) -> DataFrame:
     corridors separate regions of two or more columns whose headers start on
     different rows.
     """
-    cells = grid.select(*KEYS, F.posexplode("cells").alias("pos", "v")).where(~cl.blank(F.col("v"))).select(*KEYS, "pos").distinct()
+    used = F.transform("cells", lambda v: ~cl.blank(v))  # few different ones, so they are counted before they are taken apart
+    cells = grid.groupBy(*KEYS, used.alias("used")).agg(F.count(F.lit(1)).alias("n")).select(*KEYS, F.posexplode("used").alias("pos", "v")).where("v").select(*KEYS, "pos").distinct()
     w = Window.partitionBy(*KEYS).orderBy("pos")
     runs = cells.withColumn("run", F.col("pos") - F.row_number().over(w)).groupBy(*KEYS, "run").agg(F.min("pos").alias("first_col"), F.max("pos").alias("last_col"))
+    runs = cut_lineage(runs)
+    several = runs.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.min(F.col("last_col") - F.col("first_col")).alias("least")).where("n > 1 and least > 0").select(*KEYS)
+    if several.isEmpty():  # no sheet has two regions, so no header has to be judged
+        return _empty(grid, "file string, sheet string, first_col int, last_col int, header_row bigint, region int")
+    runs = runs.join(several, KEYS, "left_semi")
     inside = F.transform(F.sequence(F.col("first_col"), F.col("last_col")), lambda i: F.get(F.col("cells"), i))
     sample = runs.join(grid.where(F.col("row_no") <= SAMPLE), KEYS).select(*KEYS, "first_col", "last_col", "row_no", inside.alias("cells"))
     found = best_rows(sample, [*KEYS, "first_col", "last_col"], "row_no").select(*KEYS, "first_col", F.col("row_no").alias("header_row"))
@@ -523,28 +557,52 @@ def lateral_regions(grid: DataFrame) -> DataFrame:
 
 
 def split_regions(grid: DataFrame, regions: DataFrame) -> DataFrame:
-    """Rows of split sheets once per region (``sheet#n``) with the cells of that region; other sheets unchanged."""
+    """Rows of split sheets once per region (the sheet's name, ``REGION_MARK`` and a number) with the cells of that region; other sheets unchanged."""
     slim = regions.select(*KEYS, "region", "first_col", "last_col")
     cut = F.transform(F.sequence(F.col("first_col"), F.col("last_col")), lambda i: F.get(F.col("cells"), i))
     joined = grid.join(slim, KEYS, "left")
     return joined.select(
-        "file", F.when(F.col("region").isNotNull(), F.concat("sheet", F.lit("#"), "region")).otherwise(F.col("sheet")).alias("sheet"), "row_no",
+        "file", F.when(F.col("region").isNotNull(), F.concat("sheet", F.lit(REGION_MARK), "region")).otherwise(F.col("sheet")).alias("sheet"), "row_no",
         F.when(F.col("region").isNotNull(), cut).otherwise(F.col("cells")).alias("cells"))
 
 
+def plain_tables(grid: DataFrame, audit: DataFrame, sheets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records, headers) of ``sheets`` that are ordinary tables, in the form that :func:`column_plan` and :func:`table_of` take."""
+    plain = grid.join(sheets, KEYS, "left_semi").join(audit.select(*KEYS).distinct(), KEYS, "left_anti")
+    top = top_header(plain, KEYS)
+    rows = plain.join(top, KEYS, "left").where(F.col("row_no") > F.coalesce("header_row", F.lit(0)))
+    records = rows.where(F.exists("cells", lambda v: ~cl.blank(v))).select(
+        *KEYS, "row_no", "cells", F.col("header_row").cast("bigint").alias("head_row"), F.lit(0).cast("bigint").alias("table_no"))
+    heads = plain.join(top, KEYS).where("row_no = header_row").select(*KEYS, "row_no", F.col("cells").alias("names"))
+    return records, heads
+
+
 def recover(grid: DataFrame, formulas: DataFrame | None = None, merged: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All steps: audit rows, headers, sections, pattern and metrics per sheet.
+    """All steps: audit rows, headers, sections, pattern, records, column plan and metrics per sheet.
 
-    Sheets that are ordinary tables are left out of the audit; see :func:`report_gate`.
+    A sheet of several tables side by side is cut into its regions first, and each region is a sheet of its own from
+    there on; a region's columns hang together, so that it can't be cut again. Formulas and merged ranges belong to
+    whole sheets and are not used in regions. Sheets that are ordinary tables are left out of the audit, see
+    :func:`report_gate`; ordinary tables among the regions are in ``region_records``.
     """
-    rows, heads = classify_first(grid, formulas, merged)
-    rows = cut_lineage(rows)
-    gate = report_gate(rows, heads).where("is_report").select(*KEYS)
-    cand = cut_lineage(candidates(rows.join(gate, KEYS, "left_semi"), formulas))
+    regions = cut_lineage(lateral_regions(grid))
+    split = not regions.isEmpty()
+    if split:
+        grid = cut_lineage(split_regions(grid, regions))
+    rows, heads, top = classify_first(grid, formulas, merged)
+    gate = cut_lineage(report_gate(rows, heads, top).where("is_report").select(*KEYS))
+    cand = cut_lineage(candidates(with_chunk(rows.join(gate, KEYS, "left_semi"), "row_no"), formulas))  # the scans from here on share their chunks
     parts = cut_lineage(sections(cand))
     pattern = cut_lineage(sheet_pattern(cand, parts))
-    marked = cut_lineage(mark_summary_runs(cand, pattern).join(pattern.select(*KEYS, "strong_global"), KEYS, "left"))
-    audit = classify_rows(marked, heads, parts)
-    audit = last_known(audit, KEYS, "row_no", {"head_row": F.when(F.col("type") == HEADER, F.col("row_no"))})
-    audit = cut_lineage(merge_continuations(audit))
-    return {"audit": audit, "headers": heads, "sections": parts, "pattern": pattern, "metrics": sheet_metrics(audit, pattern)}
+    marked = mark_summary_runs(cand, pattern).join(pattern.select(*KEYS, "strong_global"), KEYS, "left")
+    audit = classify_rows(marked, heads, parts, top, cut_lineage(similarity_to_common(cand)))
+    audit = cut_lineage(merge_continuations(audit.drop("_chunk")))
+    records = records_of(audit)
+    plan = cut_lineage(column_plan(records, heads))
+    out = {"audit": audit, "headers": heads, "sections": parts, "pattern": pattern, "records": records, "plan": plan,
+           "metrics": sheet_metrics(audit, pattern, plan), "regions": regions}
+    if split:
+        named = rows.select(*KEYS).distinct().where(F.contains("sheet", F.lit(REGION_MARK)))
+        plain, plain_heads = plain_tables(grid, audit, named)
+        out |= {"region_records": plain, "region_plan": column_plan(plain, plain_heads)}
+    return out

@@ -40,8 +40,7 @@ def test_short_repeated_blocks(spark):
 
 def test_plain_table_is_left_alone(spark):
     rows = [["Codigo", "Nome", "Valor"]] + [[i, "abc", 5] for i in range(8)]
-    r, h = grid.classify_first(sheet(spark, rows))
-    assert not grid.report_gate(r, h).first()["is_report"]
+    assert not grid.report_gate(*grid.classify_first(sheet(spark, rows))).first()["is_report"]
 
 
 def test_header_scores(spark):
