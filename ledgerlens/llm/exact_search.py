@@ -4,11 +4,12 @@ The product of two vectors is known from their lengths and their distance, and
 the distance of two segments of ``m`` components is at least ``m`` times that of
 their points (mean, standard deviation). Summed over the segments this bounds the
 distance from below, and the product from above. A shard holds vectors with the
-statistics of 1, 4, 16, ... segments. For a block of queries the coarsest level
-bounds all of the shard; the best of these are scored exactly, which gives each
-query a score that its answers reach. Only vectors whose bound reaches it go on to the
-next finer level, and the survivors of the finest are scored exactly. Bounds are
-floating-point numbers with room for their rounding; scores are integers.
+statistics of 1, 4, 16, ... segments. For a block of queries the vectors with the
+best bounds are scored exactly, which gives each query a score that its answers
+reach; then the coarsest level bounds all of the shard. Only vectors whose bound reaches it go on to the
+next finer level (a level of many survivors is bounded by one matrix product, one
+of few pair by pair), and the survivors of the finest are scored exactly. Bounds
+are floating-point numbers with room for their rounding; scores are integers.
 
 Every shard is a group of rows followed by the blocks of queries, in the order
 of a sort: a task reads one shard and then block after block, so that memory
@@ -40,10 +41,12 @@ from ledgerlens.llm.common import buckets_for, col, written
 SCALE, K = 256, 5
 #: Largest product of a scaled vector with itself; products of any two such vectors are no larger.
 LARGEST = 2.0 ** 62
+#: Doubles add up integers exactly below this.
+EXACT = 2.0 ** 53
 #: Distinct vectors of a shard, queries of a block, each level's segments are so many times those of the one before.
-SHARD_ROWS, BLOCK, FINER = 16384, 256, 4
-#: Vectors scored exactly at the start, per query, beside those asked for.
-FIRST = 16
+SHARD_ROWS, BLOCK, FINER = 8192, 256, 4
+#: Vectors scored exactly at the start, per query, beside those asked for; pairs handled at once; share of survivors above which a level is one matrix product.
+FIRST, PAIRS, MANY = 16, 262_144, 0.05
 
 
 def scaled(vector: Column, scale: int = SCALE) -> Column:
@@ -90,6 +93,7 @@ class Shard:
         self.counts = np.array([len(x) for x in ids])
         self.ids = np.concatenate(ids)
         self.begins = np.cumsum(self.counts) - self.counts
+        self.exact = real if float((real ** 2).sum(1).max(initial=0.0)) < EXACT else None
         self.room = 1 + 1e-9 * float(np.sqrt((real ** 2).sum(1).max(initial=0.0)))
 
     def nearest(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,21 +102,24 @@ class Shard:
         room = 1 + 1e-9 * np.sqrt((real ** 2).sum(1)) * self.room
         if self.cuts and n > k + 1 + FIRST:
             # products of statistics: half of (both squared lengths less the bound of the squared distance)
-            first = statistics(real, self.cuts[0]) @ self.stats[0].T
-            ahead = np.argpartition(-first, k + FIRST, 1)[:, :k + 1 + FIRST]
+            bound = statistics(real, self.cuts[0]) @ self.stats[0].T
+            ahead = np.argpartition(-(statistics(real, self.cuts[-1]) @ self.stats[-1].T), k + FIRST, 1)[:, :k + 1 + FIRST]
             score = np.einsum("qcd,qd->qc", self.whole[ahead], queries)
-            reach = -np.partition(-score, k, 1)[:, k]  # k + 1 points: one may be the query's own
-            q, c = np.nonzero(first + room[:, None] >= reach[:, None])
+            reach = -np.partition(-score, k, 1)[:, k] - room  # k + 1 points: one may be the query's own
+            q, c = np.nonzero(bound >= reach[:, None])
             for cut, stats in zip(self.cuts[1:], self.stats[1:]):
-                asked, keep = statistics(real, cut), []
-                for lo in range(0, len(q), 262144):
-                    a, b = q[lo:lo + 262144], c[lo:lo + 262144]
-                    keep.append(np.einsum("pd,pd->p", asked[a], stats[b]) + room[a] >= reach[a])
-                stays = np.concatenate(keep) if keep else np.zeros(0, bool)
+                asked = statistics(real, cut)
+                if len(q) > MANY * len(queries) * n:
+                    q, c = np.nonzero(asked @ stats.T >= reach[:, None])
+                    continue
+                stays = [np.einsum("pd,pd->p", asked[q[lo:lo + PAIRS]], stats[c[lo:lo + PAIRS]]) >= reach[q[lo:lo + PAIRS]] for lo in range(0, len(q), PAIRS)]
+                stays = np.concatenate(stays) if stays else np.zeros(0, bool)
                 q, c = q[stays], c[stays]
+            if len(q) > MANY * len(queries) * n and self.exact is not None and (real ** 2).sum(1).max() < EXACT:
+                q, c = np.nonzero(real @ self.exact.T >= reach[:, None])  # most are left: their scores as one product, too
         else:
             q, c = np.divmod(np.arange(len(queries) * n), n)
-        score = np.concatenate([np.einsum("pd,pd->p", queries[q[lo:lo + 262144]], self.whole[c[lo:lo + 262144]]) for lo in range(0, max(len(q), 1), 262144)])
+        score = np.concatenate([np.einsum("pd,pd->p", queries[q[lo:lo + PAIRS]], self.whole[c[lo:lo + PAIRS]]) for lo in range(0, max(len(q), 1), PAIRS)])
         times = self.counts[c]
         at = np.repeat(self.begins[c], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         q, score, ids = np.repeat(q, times), np.repeat(score, times), self.ids[at]
