@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.dates import parse_date_text
 from ledgerlens.functions.numeric import exact_medians
 from ledgerlens.operators import clean, quality
 
@@ -78,6 +79,41 @@ def infer(spark, d):
     return rounded(quality.infer_types(raw(spark, d)).select("column", "suggested", "confidence"), 2)
 
 
+#: The same date in a notation that depends on the order; the month comes first only where the day can't be one.
+NOTATIONS = ("yyyy-MM-dd", "dd/MM/yyyy", "d.M.yy", "d MMM yyyy", "MMMM d, yyyy", "yyyyMMdd", "dd-MM-yyyy HH:mm", "M/d/yyyy h:mm a", "yyyy/M/d'T'HH:mm:ss")
+
+
+def mixed(spark, d):
+    kind = F.col("o_orderkey") % len(NOTATIONS)
+    late = F.col("o_orderdate") + F.expr("INTERVAL 13 HOURS 5 MINUTES")
+    written = F.lit(None).cast("string")
+    for i, layout in enumerate(NOTATIONS):
+        day = layout.replace("M/d/yyyy", "d/M/yyyy") if layout.startswith("M/") else layout
+        text = F.when(F.dayofmonth("o_orderdate") > 12, F.date_format(late, layout)).otherwise(F.date_format(late, day))
+        written = F.when(kind == i, text).otherwise(written)
+    return table(spark, d, "orders").select(kind.alias("notation"), written.alias("Data_Emissao"), "o_orderpriority")
+
+
+@check("mixed_dates", f"""SELECT o_orderkey % {len(NOTATIONS)} AS notation, count(*) AS n, count(*) AS dates, CAST(sum(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE))) AS BIGINT) AS days,
+ CAST(sum(CASE WHEN o_orderkey % {len(NOTATIONS)} IN (6, 7, 8) THEN 13 * 60 + 5 ELSE 0 END) AS BIGINT) AS minutes FROM orders GROUP BY 1""")
+def mixed_dates(spark, d):
+    read = parse_date_text(F.col("Data_Emissao"))
+    return mixed(spark, d).withColumn("t", read).groupBy("notation").agg(
+        F.count(F.lit(1)).alias("n"), F.count("t").alias("dates"), F.sum(F.datediff("t", F.lit("1970-01-01"))).alias("days"),
+        F.sum(F.hour("t") * 60 + F.minute("t")).cast("bigint").alias("minutes"))
+
+
+@check("mixed_date_column", """SELECT 'Data_Emissao' AS "column", 'datetime' AS suggested, 100.0 AS confidence, count(*) AS converted, strftime(min(o_orderdate), '%Y-%m-%d') AS first_date,
+ strftime(max(o_orderdate), '%Y-%m-%d') AS last_date FROM orders""")
+def mixed_column(spark, d):
+    """Inferred as a date column and converted without loss."""
+    m = mixed(spark, d).drop("notation")
+    kinds = quality.infer_types(m).where("suggested is not null")
+    out, _ = clean.run_etl(m, kinds)
+    dates = out.agg(F.count("Data_Emissao").alias("converted"), F.date_format(F.min("Data_Emissao"), "yyyy-MM-dd").alias("first_date"), F.date_format(F.max("Data_Emissao"), "yyyy-MM-dd").alias("last_date"))
+    return kinds.select("column", "suggested", "confidence").join(dates, F.lit(True))
+
+
 @check("quality_issues", f"""WITH {INFER}, c AS (SELECT count(*) - count(Data) AS d, count(*) - count(Ano) AS a, count(*) AS n,
   count(*) - count(DISTINCT (Data, Prioridade)) AS dup FROM raw)
 SELECT 'duplicidade' AS kind, NULL AS "column", 'media' AS level, dup || ' linhas duplicadas encontradas.' AS message FROM c
