@@ -45,34 +45,34 @@ def _license_sql() -> str:
     def quoted(x: str) -> str:
         return "'" + x.replace("'", "''") + "'"
 
-    def canon(x: str) -> str:
-        plain = f"' ' || trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ') || ' '"
-        for old, new in license_scan.SPELLINGS:
-            plain = f"replace({plain}, '{old}', '{new}')"
-        return (f"CASE WHEN regexp_matches(lower({x}), '{license_scan.COPYRIGHT_LINE}') THEN '' ELSE trim({plain}, ' ') END")
-
-    values = ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in license_scan.KNOWN)
+    alike = "MAP {" + ", ".join(f"{quoted(a)}: {quoted(b)}" for a, b in license_scan.SPELLINGS) + "}"
+    dropped = ", ".join(map(quoted, license_scan.DROPPED))
+    words = f"list_transform(regexp_split_to_array(lower(line), '{license_scan.NOT_WORD}'), lambda w: coalesce({alike}[w], w))"
+    values = ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in license_scan.all_known())
     return f"""
-WITH texts AS (SELECT 'known' AS kind, row_number() OVER () AS id, license, t AS text FROM (VALUES {values}) v(license, t)
-  UNION ALL SELECT 'doc', doc_id, NULL, text FROM documents),
-lines AS (SELECT kind, id, license, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM texts),
-canon AS (SELECT kind, id, license, line_no, {canon('line')} AS t FROM lines),
-wholes AS (SELECT kind, id, any_value(license) AS license, 0 AS line_no, string_agg(t, ' ' ORDER BY line_no) AS t FROM canon WHERE t <> '' GROUP BY kind, id),
-known AS (SELECT DISTINCT license, t FROM wholes WHERE kind = 'known'),
-units AS (SELECT id AS doc_id, line_no, t FROM canon WHERE kind = 'doc' AND t <> '' UNION ALL SELECT id, line_no, t FROM wholes WHERE kind = 'doc'),
-hits AS (SELECT doc_id, line_no, license FROM units JOIN known USING (t)),
-found AS (SELECT doc_id, coalesce(string_agg(DISTINCT license, ',' ORDER BY license) FILTER (line_no = 0), '') AS whole_license,
-  coalesce(string_agg(DISTINCT license, ',' ORDER BY license) FILTER (line_no > 0), '') AS line_licenses,
-  count(DISTINCT line_no) FILTER (line_no > 0) AS n_lines_matched FROM hits GROUP BY doc_id)
-SELECT d.doc_id, coalesce(whole_license, '') AS whole_license, coalesce(line_licenses, '') AS line_licenses,
-  coalesce(n_lines_matched, 0) AS n_lines_matched FROM documents d LEFT JOIN found USING (doc_id)"""
+WITH texts AS (SELECT 'known' AS kind, row_number() OVER () AS r, license, t AS text FROM (VALUES {values}) v(license, t)
+  UNION ALL SELECT 'doc', row_number() OVER (), NULL, text FROM documents),
+lines AS (SELECT kind, r, license, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM texts),
+plain AS (SELECT *, regexp_matches(line, '[\\p{{L}}\\p{{N}}]') AS worded, array_to_string({words}, '') AS t FROM lines),
+canon AS (SELECT kind, r, license, line_no, worded, CASE WHEN regexp_matches(lower(line), '{license_scan.COPYRIGHT_LINE}') OR t IN ({dropped}) THEN '' ELSE t END AS t FROM plain),
+parted AS (SELECT *, count(*) FILTER (NOT worded) OVER (PARTITION BY kind, r ORDER BY line_no) AS part FROM canon),
+parts AS (SELECT kind, r, any_value(license) AS license, part, string_agg(t, '' ORDER BY line_no) AS t FROM parted WHERE worded AND t <> '' GROUP BY kind, r, part),
+listed AS (SELECT kind, r, any_value(license) AS license, list(t ORDER BY part) AS p FROM parts GROUP BY kind, r),
+known AS (SELECT DISTINCT license, array_to_string(p, '') AS t, len(p) AS n FROM listed WHERE kind = 'known'),
+sizes AS (SELECT DISTINCT n FROM known),
+runs AS (SELECT r, p, n, unnest(range(1, len(p) - n + 2)) AS i FROM listed JOIN sizes ON len(p) > n WHERE kind = 'doc'),
+found AS (SELECT r, 0 AS u, 0 AS place, k.license FROM listed l JOIN known k ON k.t = array_to_string(p, '') WHERE kind = 'doc'
+  UNION ALL SELECT c.r, 1, c.line_no, k.license FROM canon c JOIN known k USING (t) WHERE kind = 'doc' AND worded
+  UNION ALL SELECT runs.r, 2, i, k.license FROM runs JOIN known k ON k.t = array_to_string(p[i:i + runs.n - 1], '')),
+named AS (SELECT r, coalesce(string_agg(DISTINCT license, ',' ORDER BY license) FILTER (u = 0), '') AS w, coalesce(string_agg(DISTINCT license, ',' ORDER BY license) FILTER (u = 1), '') AS l,
+  coalesce(string_agg(DISTINCT license, ',' ORDER BY license) FILTER (u = 2), '') AS p, count(DISTINCT place) FILTER (u = 1) AS n FROM found GROUP BY r)
+SELECT doc_id, coalesce(w, '') AS whole_license, coalesce(l, '') AS line_licenses, coalesce(p, '') AS part_licenses, coalesce(n, 0) AS n_lines_matched
+FROM (SELECT row_number() OVER () AS r, doc_id FROM documents) LEFT JOIN named USING (r)"""
 
 
 @query("op4_license_scan", _license_sql())
 def licenses(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    found = docs.select("doc_id").join(license_scan.scan(docs), "doc_id", "left")
-    return found.na.fill({"whole_license": "", "line_licenses": "", "n_lines_matched": 0})
+    return license_scan.scan(table(spark, d, "documents"))
 
 
 @query("op5_line_dedup", rf"""

@@ -44,20 +44,47 @@ def test_secrets_equal_brute_force(spark):
     assert secret_scan.scan(docs.limit(0)).count() == 0
 
 
+MIT = license_scan.KNOWN[0][1]
+
+
+def wrapped(text, width):
+    import textwrap
+
+    return "\n\n".join("\n".join(textwrap.wrap(p, width)) for p in text.split("\n\n"))
+
+
+def licence_texts():
+    apache = dict(license_scan.long_texts())["Apache-2.0"]
+    return [
+        None, "", MIT, "Copyright (c) 2020 Somebody\n\n" + MIT.upper().replace("sublicense", "sub-license").replace(",", " ,"), "text\nReleased under the MIT Licence\nmore",
+        "RELEASED under, the mit license!", "no licence here", "© X\n(c) Y", "word " * 20000 + "\nLicensed under CC BY-NC 4.0.", MIT,
+        "MIT License\n\nCopyright (c) 2021 B\n\n" + MIT, "# Copyright 2020 A\n#\n" + "\n".join("# " + x for x in MIT.split("\n")), MIT + "\n\nAll rights reserved.",
+        "An introduction.\n\nAnd another one:\n\n" + wrapped(MIT, 70) + "\n\nSome words after it.", 'a\nLicensed under the Apache License, Version 2.0 (the "License");\nb',
+        apache, wrapped(license_scan.KNOWN[4][1], 60), "MIT License", "# (c) 2020 X, all rights reserved\n", dict(license_scan.long_texts())["GPL-3.0"].replace("\n\n", "\n \t\n")]
+
+
 def test_licences(spark):
-    mit = license_scan.KNOWN[0][1]
-    texts = [None, "", mit, "Copyright (c) 2020 Somebody\n\n" + mit.upper().replace("sublicense", "sub-license").replace(",", " ,"), "text\nReleased under the MIT Licence\nmore",
-             "RELEASED under, the mit license!", "no licence here", "© X\n(c) Y", "word " * 20000 + "\nLicensed under CC BY-NC 4.0.", mit]
-    docs = frame(spark, texts).withColumn("digest", F.lit("clash")).withColumn("license", F.lit("clash"))
-    got = {r["doc_id"]: (r["whole_license"], r["line_licenses"], r["n_lines_matched"]) for r in license_scan.scan(docs).collect()}
-    assert got[2][0] == got[3][0] == got[9][0] == "MIT" and got[4] == ("", "MIT", 1) and got[5] == ("MIT", "MIT", 1)
-    assert got[8] == ("", "CC-BY-NC-4.0", 1) and not {0, 1, 6, 7} & set(got)
+    texts = licence_texts()
+    docs = frame(spark, texts).withColumn("digest", F.lit("clash")).withColumn("license", F.lit("clash")).withColumn("row", F.lit(1))
+    got = {r["doc_id"]: (r["whole_license"], r["line_licenses"], r["n_lines_matched"], r["part_licenses"]) for r in license_scan.scan(docs).collect()}
+    assert len(got) == len(texts)
+    assert all(got[i][0] == "MIT" for i in (2, 3, 5, 9, 10, 11, 12)) and got[4][:3] == ("", "MIT", 1) and got[5][:3] == ("MIT", "MIT", 1)
+    assert got[8][:3] == ("", "CC-BY-NC-4.0", 1) and got[13][0] == "" and got[13][3] == "MIT" and got[14][:2] == ("", "Apache-2.0")
+    assert got[15][0] == "Apache-2.0" and got[16][0] == "BSD-2-Clause" and got[19][0] == "GPL-3.0"
+    assert all(got[i] == ("", "", 0, "") for i in (0, 1, 6, 7, 17, 18))
     own = spark.createDataFrame([("A", "one text"), ("B", "One Text.")], "license string, text string")
     found = license_scan.scan(docs.withColumn("text", F.lit("ONE text")), license_scan.known_digests(spark, own)).collect()
     assert len(found) == len(texts) and {r["whole_license"] for r in found} == {"A,B"}
     assert license_scan.scan(docs.limit(0)).count() == 0
 
 
+def test_licences_equal_their_sql(spark, tmp_path):
+    rows = [(i, t) for i, t in enumerate(licence_texts())] + [(None, MIT), (3, "no licence"), (3, MIT), (None, "x\nSPDX-License-Identifier: MIT"), (9, MIT)]
+    got = same_as_sql(spark, tmp_path, "op4_license_scan", spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert len(got) == len(rows)
+    assert [r["whole_license"] for r in got if r["doc_id"] is None].count("MIT") == 1 and sorted(r["whole_license"] for r in got if r["doc_id"] == 3) == ["", "MIT", "MIT"]
+
+
 def brute_lines(rows, ratio, least):
     from collections import Counter
 
