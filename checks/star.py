@@ -256,6 +256,18 @@ def chain(spark, d):
     return full.agg(F.count(F.lit(1)).alias("n")).select("n", (F.col("n") * regions).alias("k"))
 
 
+@check("enrichment_with_broken_table", """SELECT 'avaliacoes' AS modulo, 'sucesso' AS status, count(*) AS "rows", count(*) AS rated, count(*) AS stocked FROM lineitem
+UNION ALL SELECT 'stock', 'sucesso', count(*), count(*), count(*) FROM lineitem UNION ALL SELECT 'devolucoes', 'erro', count(*), count(*), count(*) FROM lineitem""")
+def broken_chain(spark, d):
+    """A value of the returns can't be read when they are; the other two modules are there all the same."""
+    base, side = sides(spark, d)
+    returns = side["Devolucoes"]
+    bad = returns.select(*[F.when(F.monotonically_increasing_id() >= 0, F.raise_error(F.lit("unreadable"))).otherwise(F.col(c)).alias(c) if c == returns.columns[-1] else F.col(c) for c in returns.columns])
+    done = enrich.enrich(base, {**side, "Devolucoes": bad})
+    counts = done.frame.agg(F.count(F.lit(1)).alias("rows"), F.count("Avaliacao_Media").alias("rated"), F.count("Estoque_Atual").alias("stocked"))
+    return done.log_frame().select("modulo", "status").join(counts, F.lit(True))
+
+
 LABELS = ["Pedido ID", "Data da Venda", "Valor Bruto", "Valor c/ Desconto", "Valor Líquido", "Total", "Margem Bruta %", "Meio de Pagamento", "Cliente"]
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import not_nan
+from ..session import cut_lineage
 
 # Accepted table and column names, output columns, reasons.
 PRODUCT = "Produto_ID"
@@ -146,7 +147,7 @@ def add_ratings(state: Enriched, tables: dict[str, DataFrame]) -> Enriched:
     known = only_known(usable, product, base, PRODUCT)
     if known.isEmpty():
         return _skip(state, module, NO_RATING)
-    per = rating_summary(known, product, rating).withColumn("Avaliacao_Media", F.round("Avaliacao_Media", 2))
+    per = cut_lineage(rating_summary(known, product, rating).withColumn("Avaliacao_Media", F.round("Avaliacao_Media", 2)))
     out = attach(base, per, PRODUCT, "_p").withColumn("Quantidade_Avaliacoes", F.coalesce("Quantidade_Avaliacoes", F.lit(0)))
     return Enriched(out, state.log + [(module, "sucesso", None)])
 
@@ -165,6 +166,7 @@ def add_stock(state: Enriched, tables: dict[str, DataFrame], order: str | None =
     order = order if order in df.columns else None
     per = stock_summary(only_known(df, product, base, PRODUCT), product, now, find_column(df, STOCK_MIN),
                         find_column(df, STOCK_MAX), find_column(df, STOCK_LEAD), order)
+    per = cut_lineage(per)
     return Enriched(attach(base, per, PRODUCT, "_p"), state.log + [(module, "sucesso", None)])
 
 
@@ -185,6 +187,7 @@ def add_returns(state: Enriched, tables: dict[str, DataFrame]) -> Enriched:
         # joined together with the returns instead of a window over all rows.
         sold = base.where(_c(PRODUCT).isNotNull()).groupBy(_c(PRODUCT).alias("_p")).agg(F.sum(_num(SOLD_QUANTITY)).alias("_sold"))
         per = sold.join(per, "_p", "left")
+    per = cut_lineage(per)
     out = attach(base, per, PRODUCT, "_p").withColumn(
         "Quantidade_Devolvida", F.coalesce("Quantidade_Devolvida", F.lit(0.0))
     ).withColumn("Numero_Devolucoes", F.coalesce("Numero_Devolucoes", F.lit(0)))
@@ -195,12 +198,16 @@ def add_returns(state: Enriched, tables: dict[str, DataFrame]) -> Enriched:
 
 
 def enrich(base: DataFrame, tables: dict[str, DataFrame], stock_order: str | None = None) -> Enriched:
-    """All three modules; a module that cannot run is logged and leaves the rest alone."""
+    """All three modules; a module that cannot run is logged and leaves the rest alone.
+
+    Each module's values per product are written before they join the chain, so that an error in the side table's data
+    shows there and not when the enriched frame is read.
+    """
     state = Enriched(base)
     steps = (("avaliacoes", add_ratings), ("stock", lambda s, t: add_stock(s, t, stock_order)), ("devolucoes", add_returns))
     for module, step in steps:
         try:
             state = step(state, tables)
         except Exception as error:  # a broken side table must not stop the others
-            state = Enriched(state.frame, state.log + [(module, "erro", str(error)[:500])])
+            state = Enriched(state.frame, state.log + [(module, "erro", str(error))])
     return state

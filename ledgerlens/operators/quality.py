@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import DATE_PATTERN, parse_date_text
 from ..functions.numeric import exact_medians, not_nan, parse_decimal_text
+from ..session import cut_lineage
 from .metrics import Roles
 
 # Fixed values.
@@ -185,7 +186,8 @@ def coherence_audit(df: DataFrame, roles: Roles, tolerance: float = TOLERANCE) -
     base = df.select(*[c.alias(r) for r, c in v.items()])
     whole = F.col("faturamento").isNotNull() & F.col("custo").isNotNull() & F.col("lucro").isNotNull()
     residual = F.when(whole, F.col("faturamento") - F.col("custo") - F.col("lucro"))
-    measured = base.withColumn("residual", residual).withColumn("error", F.abs(residual))
+    # written once: the sums and the three counting passes of the medians read these columns, not what they come from
+    measured = cut_lineage(base.withColumn("residual", residual).withColumn("error", F.abs(residual)))
     agg = measured.agg(
         *[F.count(r).alias(f"{r}_valid") for r in v],
         *[F.count_if(F.col(r).isNull()).alias(f"{r}_nulls") for r in v],
@@ -224,6 +226,7 @@ def quality_score(
     empty_columns_removed: int = 0,
 ) -> DataFrame:
     """Score 0–100 and class from null share, duplicates and issue levels; one row."""
+    profile, duplicates, issue_rows = (cut_lineage(x) for x in (profile, duplicates, issue_rows))  # each is read several times
     cells = profile.agg(
         F.max("rows").alias("rows"), F.count(F.lit(1)).alias("columns"), F.sum("nulls").alias("nulls")
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import not_nan
 from ..functions.text import display_entity, fixed2
+from ..session import cut_lineage
 from .metrics import Roles
 
 # Metric order, list lengths, messages.
@@ -249,7 +250,7 @@ def growth_candidates(totals: DataFrame, k: int = TOP_PRODUCTS) -> DataFrame:
         "entity", "label",
         F.coalesce("faturamento", F.lit(0.0)).alias("faturamento"), F.coalesce("lucro", F.lit(0.0)).alias("lucro"),
     )
-    # One subquery over the columns of the main branch, so both can share one exchange.
+    known = cut_lineage(known)  # one row per product, read for the means and for the products
     means = known.agg(F.struct(F.avg("faturamento").alias("mr"), F.avg("lucro").alias("mp"), F.count("label").alias("n"))).scalar()
     picked = known.where((F.col("lucro") > means["mp"]) & (F.col("faturamento") < means["mr"]))
     w = Window.partitionBy(F.lit(0)).orderBy(F.col("lucro").desc(), F.col("entity"))
@@ -302,9 +303,8 @@ def dimension_sizes(totals: DataFrame) -> DataFrame:
 
 def dimension_top(totals: DataFrame, measure: str, k: int = TOP_VALUES) -> DataFrame:
     """Top values of every dimension with their share of the dimension total."""
-    values = totals.select("dimension", "entity", "label", F.col(measure).alias("value"))
-    # Counting labels keeps both branches on the same columns, so they share one exchange of the totals.
-    sums = values.groupBy("dimension").agg(F.sum("value").alias("total"), F.count("label").alias("labelled")).where("labelled >= 0").drop("labelled")
+    values = cut_lineage(totals.select("dimension", "entity", "label", F.col(measure).alias("value")))  # read for the sums and for the top values
+    sums = values.groupBy("dimension").agg(F.sum("value").alias("total"))
     return top_entities(values, k, ["dimension"]).join(sums, "dimension").select(
         "dimension", F.col("position").cast("bigint").alias("position"), F.col("entity").alias("value_id"),
         display_entity(F.col("entity"), F.col("label")).alias("value_label"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.comparison import COMPARISON_FIELDS, month_label, month_ordinal, period_ordinal, with_comparison
 from ..functions.numeric import finite, not_nan
+from ..session import cut_lineage
 from .metrics import Roles
 
 # Metric preference, thresholds, public reason names.
@@ -200,8 +201,9 @@ def growth_extremes(changes: DataFrame, keys: list[str] | None = None) -> DataFr
 
 
 def growth_summary(series: DataFrame) -> DataFrame:
-    """Evolution, trend, extremes and the longest decline run of every metric."""
-    changes = compare_series(series)
+    """Evolution, trend, extremes and the longest decline run of every metric. The series is written once, as four rules read it."""
+    series = cut_lineage(series)
+    changes = cut_lineage(compare_series(series))
     runs = decline_runs(changes).groupBy("metric").agg(
         F.count(F.lit(1)).alias("decline_runs"),
         F.max_by(F.struct("run_start", "run_end", "length"), F.struct(F.col("length"), -F.col("start_ord"))).alias("r"),

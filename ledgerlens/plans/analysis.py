@@ -59,7 +59,7 @@ def analyze(
     issues = quality.issues(profile, inference, duplicates)
     cleaned, results["etl_log"] = clean.run_etl(frame, inference)
     derived = metrics.derive_metrics(cleaned, detect_roles(cleaned))
-    data, roles = derived.frame, derived.roles
+    data, roles = cut_lineage(derived.frame), derived.roles  # written once: every aggregate below reads a few of its columns
 
     open_types, _ = entities.resolvable_types(data.columns, roles)
     merged = None

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -27,22 +26,25 @@ def build_session(app: str = "ledgerlens", master: str | None = None, **conf: st
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names.
+    """``df`` as a written table in the shared folder, read back.
 
-    The folder comes from ``spark.checkpoint.dir``; one is set here only when
-    the session has none, which is the single-machine test case.
+    It survives lost executors, is read by column, and the planner knows its
+    size. What Parquet can't hold (columns of no type or of one name) becomes a
+    reliable checkpoint instead.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    names = [c.lower() for c in df.columns]
+    if "void" in df.schema.simpleString() or len(set(names)) < len(names) or not names:
+        return _checkpoint(df)
+    path = shared_folder(df.sparkSession, "ledgerlens")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _checkpoint(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the folder the cluster names, or in one of our own where a local session has none."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured:
-            context.setCheckpointDir(configured)
-        elif context.master.startswith("local"):
-            base = os.environ.get("TMPDIR", "/tmp")
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerlens-ckpt-", dir=base))
-        else:
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+        context.setCheckpointDir(shared_folder(df.sparkSession, "ledgerlens-ckpt"))
     return df.checkpoint(eager=True)
 
 

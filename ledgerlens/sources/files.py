@@ -122,12 +122,26 @@ def _names(cells: list[str | None]) -> list[str]:
     return names
 
 
+def used_columns(grid: DataFrame, plans: DataFrame) -> DataFrame:
+    """(file, width, used): how wide the rows below each file's header are, and at which positions something stands.
+
+    Rows are reduced to which of their cells are filled, of which there are few kinds, and these are counted for all files at once.
+    """
+    filled = F.transform("cells", lambda c: F.coalesce(F.trim(c) != "", F.lit(False)))
+    body = grid.join(plans.select("file", "header_row"), "file", "left").where(F.col("row_no") > F.coalesce("header_row", F.lit(0)))
+    kinds = body.groupBy("file", filled.alias("filled")).agg(F.count(F.lit(1)).alias("n"))
+    each = kinds.select("file", F.size("filled").alias("size"), F.posexplode("filled").alias("pos", "there")).where("there")
+    return each.groupBy("file").agg(F.max("size").alias("width"), F.array_sort(F.collect_set("pos")).alias("used"))
+
+
 def table_plans(spark: SparkSession, path: str) -> tuple[DataFrame, list[Row]]:
-    """The grid of all files, and per file (file, header_row, header): decided for all files in one pass over their first rows."""
+    """The grid of all files, and per file (file, header_row, header, width, used): decided for all files at once, in as many jobs for one file as for a thousand."""
     grid = cut_lineage(read_grid(spark, path))
     head = cut_lineage(grid.where(F.col("row_no") <= SAMPLE_LINES))
     cells = head.select("file", F.col("row_no").alias("header_row"), "cells")
     plans = top_header(head, ["file"]).join(cells, ["file", "header_row"], "left").select("file", "header_row", F.col("cells").alias("header"))
+    plans = cut_lineage(plans)
+    plans = plans.join(used_columns(grid, plans), "file", "left")
     return grid, plans.orderBy("file").collect()  # one row per file, as there is one table per file
 
 
@@ -137,10 +151,10 @@ def _table(grid: DataFrame, plan: Row, files: list[Row]) -> DataFrame:
     body = grid.where(F.col("file").isin(*[f["file"] for f in files])).where(F.col("row_no") > skip[F.col("file")])
     body = body.where(F.exists("cells", lambda c: F.coalesce(F.trim(c) != "", F.lit(False))))
     header = list(plan["header"]) if plan["header"] else []
-    width = body.agg(F.max(F.size("cells")).alias("w")).first()["w"] or len(header)
-    used = body.agg(*[F.bool_or(F.coalesce(F.trim(F.col("cells")[i]) != "", F.lit(False))).alias(f"c{i}") for i in range(width)]).first() if width else {}
+    width = max((f["width"] or 0 for f in files), default=0) or len(header)
+    used = {i for f in files for i in f["used"] or ()}
     names = _names(header + [None] * (width - len(header)))
-    kept = [i for i in range(width) if used[f"c{i}"] or (used[f"c{i}"] is None and i < len(header))]
+    kept = [i for i in range(width) if i in used or not used and i < len(header)]
     return body.select(*[F.when(F.col("cells")[i] != "", F.col("cells")[i]).alias(names[i]) for i in kept])
 
 
@@ -154,7 +168,11 @@ def read_csv(spark: SparkSession, path: str, header: bool | None = None) -> Data
     grid, plans = table_plans(spark, path)
     if header is not None:
         first = {r["file"]: r["cells"] for r in grid.where("row_no = 1").select("file", "cells").collect()}
-        plans = [Row(**{**p.asDict(), "header_row": 1 if header else None, "header": first.get(p["file"]) if header else None}) for p in plans]
+        row = 1 if header else None
+        forced = spark.createDataFrame([(p["file"], row) for p in plans], "file string, header_row bigint")
+        used = {r["file"]: r for r in used_columns(grid, forced).collect()}  # one row per file
+        plans = [Row(file=p["file"], header_row=row, header=first.get(p["file"]) if header else None,
+                     width=used[p["file"]]["width"] if p["file"] in used else None, used=used[p["file"]]["used"] if p["file"] in used else None) for p in plans]
     return _table(grid, plans[0], plans)
 
 
