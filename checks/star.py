@@ -14,7 +14,7 @@ def values(rows) -> str:
     return "VALUES " + ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
 
 
-WORDS = values([(r, i, k, a, w) for i, (r, k, a, ws) in enumerate(roles.CATALOGUE) for w in ws.split()])
+WORDS = values([(r, i, k, a, w) for i, (r, k, a, ws) in enumerate(roles.CATALOGUE) for w in ws])
 NUMERIC = "', '".join(roles.NUMERIC_ROLES)
 KEYS = "', '".join(roles.KEY_ROLES)
 

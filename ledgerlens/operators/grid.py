@@ -423,14 +423,15 @@ def sheet_metrics(rows: DataFrame, pattern: DataFrame, plan: DataFrame | None =
         F.when(F.size(reasons) > 0, F.array_join(reasons, "; ")).when(F.col("unknown") > 0, OK_PARTIAL).otherwise(OK_FULL).alias("reason"))
 
 
-def unknown_regions(rows: DataFrame) -> DataFrame:
-    """(keys, start_row, end_row, n, examples): consecutive unknown rows with up to three examples."""
+def unknown_regions(rows: DataFrame, examples: int = 3, width: int | None = 5) -> DataFrame:
+    """(keys, start_row, end_row, n, examples): consecutive unknown rows with the first cells of a few of them; all cells if ``width`` is None."""
+    shown_cells = F.col("cells") if width is None else F.slice("cells", 1, width)
     unknown = last_known(rows.where(F.col("type") == UNKNOWN), KEYS, "row_no", {"prev": F.col("row_no")}, before=True)
     broke = F.when(F.col("prev").isNull() | (F.col("row_no") > F.col("prev") + 1), 1).otherwise(0)
     numbered = running_sums(unknown, KEYS, "row_no", {"region": broke})
     first = numbered.groupBy(*KEYS, "region").agg(F.min("row_no").alias("start_row"), F.max("row_no").alias("end_row"), F.count(F.lit(1)).alias("n"))
-    shown = numbered.join(first.select(*KEYS, "region", "start_row"), [*KEYS, "region"]).where(F.col("row_no") < F.col("start_row") + 3).groupBy(*KEYS, "region").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("row_no", F.slice("cells", 1, 5).alias("cells")))), lambda r: r["cells"]).alias("examples"))
+    shown = numbered.join(first.select(*KEYS, "region", "start_row"), [*KEYS, "region"]).where(F.col("row_no") < F.col("start_row") + examples).groupBy(*KEYS, "region").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("row_no", shown_cells.alias("cells")))), lambda r: r["cells"]).alias("examples"))
     return first.join(shown, [*KEYS, "region"]).drop("region")
 
 
