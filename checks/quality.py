@@ -50,9 +50,11 @@ def profile(spark, d):
 
 
 @check("duplicate_rows", """
-SELECT count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS duplicates FROM lineitem""")
+SELECT (SELECT count(*) FROM (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_returnflag = 'R')) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) AS duplicates""")
 def duplicates(spark, d):
-    return quality.duplicate_rows(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"))
+    """Whole rows, those of returned items twice."""
+    li = table(spark, d, "lineitem")
+    return quality.duplicate_rows(li.unionAll(li.where("l_returnflag = 'R'")))
 
 
 @check("value_frequencies", """
@@ -115,15 +117,16 @@ def mixed_column(spark, d):
 
 
 @check("quality_issues", f"""WITH {INFER}, c AS (SELECT count(*) - count(Data) AS d, count(*) - count(Ano) AS a, count(*) AS n,
-  count(*) - count(DISTINCT (Data, Prioridade)) AS dup FROM raw)
+  (SELECT count(*) FROM raw WHERE Prioridade = '1-URGENT') AS dup FROM raw)
 SELECT 'duplicidade' AS kind, NULL AS "column", 'media' AS level, dup || ' linhas duplicadas encontradas.' AS message FROM c
 UNION ALL SELECT 'valor_nulo', 'Data', 'baixa', 'A coluna ''Data'' possui ' || d || ' valores nulos (' || round(d / n * 100, 2) || '%).' FROM c
 UNION ALL SELECT 'valor_nulo', 'Ano', 'baixa', 'A coluna ''Ano'' possui ' || a || ' valores nulos (' || round(a / n * 100, 2) || '%).' FROM c
 UNION ALL SELECT 'tipo_incorreto', 'Data', 'media', 'A coluna ''Data'' está como string, mas parece ser datetime com confiança de 100.0%.' FROM c
 UNION ALL SELECT 'tipo_incorreto', 'Valor', 'media', 'A coluna ''Valor'' está como string, mas parece ser numérica com confiança de ' || round(pv / nv * 100, 2) || '%.' FROM s""")
 def issue_rows(spark, d):
+    """Duplicates are those of whole rows, the urgent orders being there twice."""
     r = raw(spark, d)
-    return quality.issues(quality.null_profile(r), quality.infer_types(r), quality.duplicate_rows(r.select("Data", "Prioridade")))
+    return quality.issues(quality.null_profile(r), quality.infer_types(r), quality.duplicate_rows(r.unionAll(r.where("Prioridade = '1-URGENT'"))))
 
 
 @check("quality_score", f"""WITH {RAW}, c AS (SELECT count(*) AS n, sum(({' + '.join(f'CASE WHEN {c} IS NULL THEN 1 ELSE 0 END' for c in RAW_COLS)})) AS nulls,
@@ -184,13 +187,13 @@ def median(spark, d):
 
 
 @check("quality_report", f"""WITH {AUDIT}, r AS (SELECT count(*) FILTER (WHERE err <= 0.01) / count(residual) * 100 AS p FROM m),
- n AS (SELECT count(*) FILTER (WHERE c2 IS NULL) AS k, count(*) AS n FROM m)
+ n AS (SELECT count(*) FILTER (WHERE c2 IS NULL) AS k, count(*) AS n FROM m), w AS (SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT faturamento, c2, l2 FROM m)) AS dup FROM m)
 SELECT 'valor_nulo' AS kind, 'Custo' AS "column", 'baixa' AS level, 'A coluna ''Custo'' possui ' || k || ' valores nulos (' || round(k / n * 100, 2) || '%).' AS message FROM n
-UNION ALL SELECT 'incoerencia_metricas_financeiras', NULL, 'media', 'Faturamento, Custo e Lucro não reconciliam na maior parte dos registros (' || round(p, 2) || '% conciliados; tolerância de R$ 0.01). Os valores originais foram preservados.' FROM r WHERE p < 50""")
+UNION ALL SELECT 'incoerencia_metricas_financeiras', NULL, 'media', 'Faturamento, Custo e Lucro não reconciliam na maior parte dos registros (' || round(p, 2) || '% conciliados; tolerância de R$ 0.01). Os valores originais foram preservados.' FROM r WHERE p < 50
+UNION ALL SELECT 'duplicidade', NULL, 'media', dup || ' linhas duplicadas encontradas.' FROM w WHERE dup > 0""")
 def report(spark, d):
     a = audited(spark, d).drop("Pedido_ID")
-    none = quality.infer_types(a).where("false")
-    issues = quality.issues(quality.null_profile(a), none, quality.duplicate_rows(a).where("false"))
+    issues = quality.issues(quality.null_profile(a), quality.infer_types(a), quality.duplicate_rows(a))
     return quality.quality_report(issues, quality.coherence_audit(a, AUDIT_ROLES))
 
 
