@@ -10,7 +10,9 @@ into a score. Only dictionaries and the curve are fitted on a sample, bounded by
 Defined cases: a null or empty text has the difference zero and so the curve's
 score there; without labels of both kinds every score is the share of good
 ones (a half if there are none); several labels of one document count each;
-repeated rows give repeated scores; an empty table gives an empty table.
+repeated rows give repeated scores; a row without an id is not held out and has no
+label; the sample is taken in the order of the ids' hashes, so that the model does
+not depend on how the table lies; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from ledgerlens.llm.common import col
 
 #: Bound of the sample: rows of each label, and bytes of each label that reach the driver at most.
 PER_LABEL, SAMPLE_BYTES = 3000, 24_000_000
+#: Longer texts are scored like all others but not learned from, so that no single one fills the sample.
+LONGEST = 2_000_000
 #: Share of the sample that fits the curve instead of the dictionaries.
 CURVE_SHARE = 3
 DICTIONARY_BYTES, CHUNK, LEVEL = 112_640, 1024, 3
@@ -41,6 +45,11 @@ class Model:
     slope: float
 
 
+def held_out(doc: Column) -> Column:
+    """Whether a row is in fold 0; one without an id is not, and has no label to learn from either."""
+    return F.coalesce(fold(doc) == 0, F.lit(False))
+
+
 def fold(doc: Column) -> Column:
     """0 to 4, by the CRC-32 of the id as text; fold 0 is held out."""
     return F.pmod(F.crc32(doc.cast("string")), F.lit(5))
@@ -86,13 +95,14 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, doc: str, text: str, label: str, per_label: int) -> DataFrame:
-    """``text``, ``label``, ``share`` of the labelled documents outside fold 0 whose ids have the lowest hashes, ``per_label`` of each label at most."""
-    ids = docs.where(col(text) != "").select(col(doc).alias("doc"))
+    """``text``, ``label``, ``share`` of the labelled documents outside fold 0 whose ids have the lowest hashes, ``per_label`` of each label at most, in the order of these hashes."""
+    ids = docs.where((col(text) != "") & (F.octet_length(col(text)) <= LONGEST)).select(col(doc).alias("doc"))
     known = labels.where(col(label).isin(0, 1) & (fold(col(doc)) != 0)).select(col(doc).alias("doc"), col(label).alias("label"))
     known = known.join(ids, "doc", "left_semi").withColumn("h", F.xxhash64("doc"))
     parts = [known.where(F.col("label") == k).orderBy("h").limit(per_label) for k in (0, 1)]
     chosen = F.broadcast(parts[0].unionAll(parts[1]))  # 2 * per_label rows of an id, a label and a hash
-    return docs.select(col(doc).alias("doc"), col(text).alias("text")).join(chosen, "doc").where("text <> ''").select(
+    return docs.select(col(doc).alias("doc"), col(text).alias("text")).join(chosen, "doc").where(
+        (F.col("text") != "") & (F.octet_length("text") <= LONGEST)).orderBy("h", "label", F.xxhash64("text")).select(
         "text", "label", F.pmod("h", F.lit(CURVE_SHARE)).alias("share"))
 
 

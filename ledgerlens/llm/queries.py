@@ -132,7 +132,7 @@ def neighbours(spark: SparkSession, d: str) -> DataFrame:
 def quality_scores(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     scored = quality_model.score(docs, quality_model.fit(docs, table(spark, d, "labels")))
-    return scored.select("doc_id", (quality_model.fold(F.col("doc_id")) == 0).alias("held_out"), "score",
+    return scored.select("doc_id", quality_model.held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= quality_model.THRESHOLD).cast("int").alias("predicted"))
 
 

@@ -128,6 +128,29 @@ def test_quality_model_on_held_out_rows(spark):
     assert quality_model.fit(docs.limit(0), labels).slope == 0.0
 
 
+def test_quality_model_does_not_depend_on_the_layout(spark, tmp_path):
+    from ledgerlens.llm.queries import QUERIES
+
+    rng = np.random.default_rng(9)
+    good, bad = ["river", "stone", "garden", "winter"], ["buy", "cheap", "click", "free"]
+    rows = [(i, " ".join(rng.choice(good if i % 2 else bad, 60))) for i in range(200)] + [(None, "river stone"), (7, "river stone"), (7, "river stone"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(None, 1)], "doc_id bigint, quality int")
+    first, second = (quality_model.fit(d, labels) for d in (docs.repartition(7), docs.orderBy(F.desc("text")).coalesce(1)))
+    assert first == second
+    # the score is the sizes under both dictionaries, put on the curve
+    scorer = quality_model.Scorer(first.good, first.bad)
+    for r in quality_model.score(docs, first).collect()[:20]:
+        t = dict(rows[:200]).get(r["doc_id"], "")
+        if t:
+            assert np.isclose(r["score"], 1 / (1 + np.exp(-(first.intercept + first.slope * scorer.difference(t))))) or r["doc_id"] == 7
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    out = QUERIES["op9_quality_model"](spark, str(tmp_path)).collect()
+    assert len(out) == len(rows) and all(r["held_out"] is not None and r["predicted"] in (0, 1) and 0 <= r["score"] <= 1 for r in out)
+    assert all(r["predicted"] == int(r["score"] >= 0.3) for r in out) and not any(r["held_out"] for r in out if r["doc_id"] is None)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="no-sidebar"><nav><ul><li>Menu %d</li></ul></nav>
 <div class="top-banner">Ad</div><div><p>Standing text of the site</p></div><article><h1>Title &amp;\n  more%d</h1><p>One <b>bold</b><br>two&nbsp;three<p>Four
 <script>var x = "</p>";</script><p>Shared by all</p><aside>Side</aside><form>Form</form></article><section id="comments"><p>Reader</p></section><footer>F</footer>"""
