@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import (
-    clean, entities, enrich, evolution, findings, insights, mapping, metrics, quality, rankings, relate, selection, temporal,
+    clean, entities, enrich, evolution, findings, grid, insights, mapping, metrics, quality, rankings, relate, selection, temporal,
     time_quality,
 )
 from ..operators.roles import detect_roles
 from ..session import cut_lineage
+from ..sources.files import union_continuations
 
 
 @dataclass
@@ -140,6 +141,43 @@ def analyze(
     return Analysis(data, roles, results)
 
 
+class ReviewRequired(ValueError):
+    """A report whose structure is in doubt; ``detail`` has its metrics."""
+
+    def __init__(self, detail: DataFrame):
+        super().__init__("the structure of the report needs review before it is analysed")
+        self.detail = detail
+
+
+def report_tables(recovered: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables of a recovered report, one name each; those of one layout are continued."""
+    found: dict[str, DataFrame] = {}
+    for records, plan in (("records", "plan"), ("region_records", "region_plan")):
+        if plan not in recovered:
+            continue
+        planned = cut_lineage(recovered[plan])
+        for t in planned.select("file", "sheet", "table_no").distinct().orderBy("file", "sheet", "table_no").collect():  # one per table
+            name = f"{t['sheet'].replace(grid.REGION_MARK, ' ')} {t['table_no']}" if t["table_no"] > 0 else t["sheet"].replace(grid.REGION_MARK, " ")
+            found[name if name not in found else f"{t['file']} {name}"] = grid.table_of(recovered[records], planned, *t).drop("row_no")
+    return union_continuations(found)
+
+
+def analyze_report(cells: DataFrame, formulas: DataFrame | None = None, merged: DataFrame | None = None, reviewed: bool = False, **settings) -> Analysis:
+    """From the grid of a report to its analysis: rows are recovered, tables named and typed, and analysed like any others.
+
+    A report that needs review is not analysed before it is ``reviewed``. Late headers say what the columns of a headerless
+    table may be called, and stand among the results as evidence; they name nothing by themselves.
+    """
+    recovered = grid.recover(cells, formulas, merged)
+    metrics_ = cut_lineage(recovered["metrics"])
+    if not reviewed and not metrics_.where("review_required").isEmpty():
+        raise ReviewRequired(metrics_)
+    out = analyze(report_tables(recovered), **settings)
+    out.results |= {"structure": metrics_, "review": grid.review_detail(metrics_), "blocks": grid.detected_blocks(recovered["audit"]),
+                    "late_headers": grid.late_headers(recovered["audit"], recovered["headers"])}
+    return out
+
+
 # What the rules read, where an analysis has no such part.
 PARTS = {
     "growth": "metric string, trend string, evolution double, drop_percent double, drop_period string, growth_percent double, growth_period string",

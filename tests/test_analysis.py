@@ -45,6 +45,26 @@ def test_query_agrees_with_sql(spark, name):
     assert good, message
 
 
+def test_a_report_is_analysed_in_one_step(spark):
+    from ledgerlens.plans.analysis import ReviewRequired, analyze_report
+
+    def cells(rows):
+        return spark.createDataFrame([("f", "Vendas", i, [None if c is None else str(c) for c in r]) for i, r in enumerate(rows, 1)],
+                                     "file string, sheet string, row_no bigint, cells array<string>")
+
+    rows = [["Pedido_ID", "Data", "Cliente", "Faturamento", "Lucro"]]
+    for m in (1, 2, 3):
+        rows.append([["JANEIRO", "FEVEREIRO", "MARCO"][m - 1], None, None, None, None])
+        rows += [[m * 100 + k, f"2025-0{m}-{k + 1:02d}", "ab"[k % 2] * 12, f"{100 + k}.50", k + 1] for k in range(12)]
+        rows.append(["TOTAL", None, None, "1.0", None])
+    a = analyze_report(cells(rows))
+    got = {r["indicador"]: r["valor"] for r in a["kpis"].collect()}
+    assert got["quantidade_registros"] == 36 and got["faturamento_total"] == 3 * sum(100.5 + k for k in range(12)) and got["quantidade_pedidos"] == 36
+    assert a["structure"].first()["status"] == "accepted" and a["series"].where("metric = 'faturamento'").count() == 3
+    with pytest.raises(ReviewRequired):
+        analyze_report(cells([["Janeiro"], ["Texto inexplicavel"], [1, 2], ["X", "Y", "Z"]]))
+
+
 @pytest.mark.parametrize("name", ["growth_summary", "growth_candidates", "dimension_top_revenue", "coherence_audit", "quality_score"])
 def test_rules_read_what_is_written(spark, name, monkeypatch):
     """No rule goes back to the tables: of the six that make the joined frame, each is read once, when the rule's base is written."""
