@@ -47,8 +47,11 @@ def _arranged(low: Column, notations: tuple) -> Column:
 
 
 def parse_date_text(c: Column) -> Column:
-    """Timestamp of a text cell, NULL when it is no real date."""
-    low = F.lower(F.trim(c.cast("string")))
+    """Timestamp of a text cell, NULL when it is no real date. A lambda, so that many such columns don't make one method too long to compile."""
+    return F.get(F.transform(F.array(F.lower(F.trim(c.cast("string")))), _read), F.lit(0))
+
+
+def _read(low: Column) -> Column:
     text = (
         F.when(low.rlike(r"^\d{1,2}[-/. ]"), _arranged(low, DAY_FIRST)).when(low.rlike(r"^\d{4}[-/. ]"), _arranged(low, YEAR_FIRST))
         .when(low.rlike(r"^\d{8}(?!\d)"), _arranged(low, DIGITS)).when(low.rlike("^[a-z]{3,9}[-/. ,]+\\d"), _arranged(low, NAME_FIRST))
