@@ -2,6 +2,9 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from ledgerlens.functions.ordered import with_chunk
 from ledgerlens.operators import grid
 from ledgerlens.operators.headers import top_header
 from ledgerlens.sources import files, sinks, snapshots
@@ -87,3 +90,35 @@ def test_files_and_snapshots(spark, tmp_path):
     page = snapshots.list_snapshots(spark, str(tmp_path / "h"), limit=2, offset=1).collect()
     assert [r["id"][16:17] for r in page] == ["3", "2"]
     assert snapshots.fetch_snapshot(spark, str(tmp_path / "h"), page[0]["id"], "kpis").count() == 1
+
+
+def test_rows_of_a_long_sheet_stay_spread(spark):
+    """A sheet of 100,000 rows is several chunks, and what holds for a sheet or table is brought to its rows, not they to it."""
+    def plan(df):
+        return df._jdf.queryExecution().sparkPlan().toString()
+
+    g = spark.range(1, 100_001).select(
+        F.lit("f").alias("file"), F.lit("s").alias("sheet"), F.col("id").alias("row_no"),
+        F.array(F.col("id").cast("string"), F.lit("01/02/2020"), F.lit("R$ 1.00"), F.when(F.col("id") % 2 == 0, "US$").otherwise("R$")).alias("cells"))
+    assert with_chunk(g, "row_no").select("_chunk").distinct().count() > 3
+    rows = grid.described_rows(g)
+    assert "SortMergeJoin" not in plan(rows) and {r["formulas"] for r in rows.limit(3).collect()} == {0}
+    facts = grid.column_facts(g.withColumn("table_no", F.lit(1)))
+    assert "SortAggregate" not in plan(facts)
+    assert [(r["mark_a"], r["mark_b"]) for r in facts.orderBy("pos").collect()] == [(None, None)] * 3 + [("R$", "US$")]
+
+
+def test_compatibility_of_equal_signatures(spark):
+    df = spark.createDataFrame([(list("ND_$"), list("ND_$")), (list("N__$"), list("N__$")), (list("NDTT"), list("NDNT")), (list("ND_T"), list("NDNT")), (list("N___"), list("NDNT"))],
+                               "s array<string>, r array<string>")
+    assert [round(r[0], 4) for r in df.select(grid.compatibility(F.col("s"), F.col("r"))).collect()] == [1.0, 0.0, 0.75, 1.0, 0.0]
+
+
+def test_blocks_count_changes_of_the_header(spark):
+    """The same header again goes on with a block, another one opens the next."""
+    rows = [("Pedido", "Data", "Valor", "Status")] + [(str(i), "01/02/2020", f"{i}.50", "ok") for i in range(30)]
+    rows += rows[:1] + [(str(i), "01/02/2020", f"{i}.50", "ok") for i in range(30, 60)]
+    rows += [("Nota", "Emissao", "Quantia", "Cliente")] + [(str(i), "01/02/2020", f"{i}.50", "ok") for i in range(60, 90)] + [("TOTAL", None, "9.00", None)]
+    audit = grid.recover(spark.createDataFrame([("f", "s", i + 1, list(r)) for i, r in enumerate(rows)], "file string, sheet string, row_no long, cells array<string>"))["audit"]
+    got = audit.where("type = 'transacao'").groupBy("block", "head_row").count().orderBy("head_row").collect()
+    assert [tuple(r) for r in got] == [(1, 1, 30), (1, 32, 30), (2, 63, 30)]
