@@ -169,7 +169,7 @@ def formula_margin(
     )
 
     def named(alias: str, out: str) -> DataFrame:
-        return concepts.select(F.col("position").alias(alias), F.col("concept").alias(out))
+        return F.broadcast(concepts.select(F.col("position").alias(alias), F.col("concept").alias(out)))  # one row per column of the sheet
 
     proven = (
         parsed.join(named("target", "t"), "target").where(F.col("t") == "margem_bruta_percentual")

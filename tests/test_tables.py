@@ -161,3 +161,15 @@ def test_header_concepts_by_group(spark):
     many = spark.range(1000).select("id", F.explode(F.array(*[F.lit(x) for x, _ in rows])).alias("label"))
     plan = roles.concept_of_label(many, "label", "id")._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("Join") == 1  # the words that are known beforehand
+
+
+def test_formula_margin_joins_column_concepts_whole(spark):
+    """The few concepts go to the formulas; no formula meets all of them in one task."""
+    rows = spark.range(1000).select(F.lit("s").alias("sheet"), F.col("id").alias("row_no"), (F.col("id") * 1.0).alias("m"), F.lit(2.0).alias("v"))
+    formulas = rows.select("sheet", "row_no", F.lit(4).alias("col_no"), F.lit("=B7/$C$7").alias("formula"))
+    concepts = spark.createDataFrame([(2, "margem_bruta"), (3, "valor_total"), (4, "margem_bruta_percentual")], "position int, concept string")
+    got = metrics.formula_margin(rows, formulas, concepts, {"margem_bruta": "m", "valor_total": "v"})
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "CartesianProduct" not in plan and plan.count("BroadcastHashJoin") + plan.count("BroadcastNestedLoopJoin") >= 3
+    row = got.first()
+    assert (row["margem_bruta_percentual"], row["linhas_base"]) == (24975.0, 1000)
