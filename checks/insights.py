@@ -22,13 +22,19 @@ DETAIL_ROLES = {
 }
 
 
+@once
+def sold(spark, d):
+    """The sales as one written table: the queries below read them many times over and join them once."""
+    return cut_lineage(sales(spark, d).select("Data", "Cliente_ID", "Cliente", "Produto_ID", "Produto", "Quantidade", "Faturamento", "Lucro"))
+
+
 @once
 def detail(spark, d):
     """Product detail over sales enriched with ratings, stock and returns; reduced to products once."""
     from .star import tables
 
     t = tables(spark, d)
-    done = enrich.enrich(sales(spark, d), {n: t[n] for n in ("Avaliacoes", "Stock", "Devolucoes")})
+    done = enrich.enrich(sold(spark, d), {n: t[n] for n in ("Avaliacoes", "Stock", "Devolucoes")})
     return cut_lineage(insights.product_detail(done.frame, DETAIL_ROLES))
 
 
@@ -137,7 +143,7 @@ FULL = DETAIL + ", " + MEANS + ", " + EXTREMES + "," + SUMMARY_SQL.replace(SALES
 @once
 def parts(spark, d):
     """The aggregate frames the rules read, each reduced once."""
-    s = sales(spark, d)
+    s = sold(spark, d)
     det = detail(spark, d)
     series = cut_lineage(temporal.monthly_series(s, "Data", {m: ROLES[m] for m in ("faturamento", "lucro")}))
     changes = temporal.compare_series(series)

@@ -1,10 +1,14 @@
 """The whole analysis, and the registered queries against their SQL."""
 
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
+from checks import insights as queries
 from checks.common import table
 from checks.compare_tool import compare, connect
+from ledgerlens.operators import quality
 from ledgerlens.plans.analysis import analyze
 
 DIR = "/root/testdata/sf0.001"
@@ -81,3 +85,20 @@ def test_rules_read_what_is_written(spark, name, monkeypatch):
     out = entry.queries()[name](spark, DIR)
     assert str(DIR) not in out._jdf.queryExecution().executedPlan().toString() and out.count() > 0
     assert 0 < sum(n > 0 for n in read) <= 3 and (name == "quality_score" or max(read) <= 2)
+
+
+def test_insight_queries_join_the_sales_once(spark, tmp_path):
+    rows = {
+        "customer": ([(1, "A", 0, 1.0, "M")], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"),
+        "nation": ([(0, "N", 0)], "n_nationkey int, n_name string, n_regionkey int"),
+        "region": ([(0, "R")], "r_regionkey int, r_name string"), "part": ([(1, "p", "b", "t", 5, 2.0)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"),
+        "supplier": ([(1, "s", 0, 1.0)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double"),
+        "orders": ([(1, 1, "O", 9.0, datetime(2020, 1, 2), "5-LOW")], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"),
+        "lineitem": ([(1, 1, 1, 1, 3.0, 10.0, 0.0, "R", "O", datetime(2020, 1, 3))],
+                     "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string, l_linestatus string, l_shipdate timestamp")}
+    for name, (data, schema) in rows.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    sold = queries.sold(spark, str(tmp_path))
+    assert "Join" not in sold._jdf.queryExecution().optimizedPlan().toString() and sold is queries.sold(spark, str(tmp_path))
+    detail = queries.detail(spark, str(tmp_path)).first()
+    assert (detail["entity"], detail["quantidade"], detail["faturamento"], detail["lucro"]) == (1, 3.0, 10.0, 4.0)
