@@ -48,12 +48,14 @@ def analyze(
     """Runs the whole analysis over the given tables.
 
     ``confirmed`` maps columns to concepts the user chose, ``decisions`` are
-    entity decisions to apply before the analytics. Row-level frames stay lazy;
-    aggregates that several rules read are materialised once.
+    entity decisions to apply before the analytics. The joined tables, the
+    derived frame and aggregates that several rules read are written once.
     """
     frame, results = relate_tables(tables)
     if confirmed:
         frame, results["mapping_audit"] = mapping.apply_mapping(frame, {}, confirmed)
+    if len(tables) > 1:
+        frame = cut_lineage(frame)  # joined once: the profiles below read it column by column
     profile = cut_lineage(quality.null_profile(frame))
     inference = cut_lineage(quality.infer_types(frame))
     duplicates = cut_lineage(quality.duplicate_rows(frame))

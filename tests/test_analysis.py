@@ -87,6 +87,17 @@ def test_rules_read_what_is_written(spark, name, monkeypatch):
     assert 0 < sum(n > 0 for n in read) <= 3 and (name == "quality_score" or max(read) <= 2)
 
 
+def test_joined_tables_are_written_before_they_are_profiled(spark, monkeypatch):
+    """What profiles read is the joined table as written, and not the join again."""
+    seen = []
+    profile = quality.null_profile
+    monkeypatch.setattr(quality, "null_profile", lambda df: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or profile(df))
+    facts = spark.createDataFrame([(i, i % 5, float(i)) for i in range(40)], "Pedido_ID long, Produto_ID long, Faturamento double")
+    products = spark.createDataFrame([(i, f"P{i}", 2.0) for i in range(5)], "Produto_ID long, Nome string, Custo_Aquisicao double")
+    out = analyze({"Vendas": facts, "Produtos": products})
+    assert len(seen) == 1 and "Join" not in seen[0] and out["kpis"].where("indicador = 'faturamento_total'").first()["valor"] == 780.0
+
+
 def test_insight_queries_join_the_sales_once(spark, tmp_path):
     rows = {
         "customer": ([(1, "A", 0, 1.0, "M")], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"),
