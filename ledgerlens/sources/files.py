@@ -8,7 +8,7 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import running_sums
+from ..functions.ordered import with_chunk
 from ..operators.headers import top_header
 from ..session import cut_lineage
 
@@ -16,6 +16,8 @@ from ..session import cut_lineage
 PATTERN = "*.{csv,txt,tsv}"
 DELIMITERS = (",", ";", "\t", "|")
 SAMPLE_LINES = 20
+#: Lines that are numbered and joined in one task.
+CHUNK_LINES = 8_192
 
 
 def find_files(spark: SparkSession, folder: str, pattern: str = PATTERN) -> DataFrame:
@@ -47,35 +49,53 @@ def line_facts(spark: SparkSession, path: str) -> DataFrame:
         F.bool_or(_count(F.col("raw"), F.lit('"')) % 2 == 1).alias("open_quotes"))
 
 
-def _records(lines: DataFrame) -> DataFrame:
-    """(file, encoding, row_no, line): numbered records, lines of one quoted field joined.
+def _numbered(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``row_no`` instead of their place, without moving a line: places in a split are consecutive, splits get the offset of those before them."""
+    spans = lines.groupBy("file", "split").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut_lineage(spans.select("file", "split", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1).alias("offset")))
+    return lines.join(offsets, ["file", "split"]).withColumn("row_no", F.col("place") + F.col("offset")).drop("split", "place", "offset")
+
+
+def _joined(lines: DataFrame, rows: int = CHUNK_LINES) -> DataFrame:
+    """(file, encoding, row_no, line): records of files whose quotes stay open over line ends.
 
-    Rows are numbered inside each file split and splits get the offset of those
-    before them. Where quotes stay open over line ends, a record starts at the
-    lines before which the number of quotes is even: a running total in chunks.
+    A record starts at the lines before which the number of quotes is even. Lines are brought together by chunks, once; a
+    chunk's lines become pieces of records there, and only the pieces of records that run over a chunk's end meet again.
     """
-    inside = F.row_number().over(Window.partitionBy("file", "split").orderBy("place"))
-    sizes = lines.groupBy("file", "split").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("file", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    keep = ["file", "encoding", "open_quotes"]
-    numbered = lines.withColumn("inside", inside).join(offsets, ["file", "split"]).select(*keep, (F.col("offset") + F.col("inside")).alias("row_no"), "line")
-    plain = numbered.where("not open_quotes").drop("open_quotes")
-    quotes = _count(F.col("line"), F.lit('"'))
-    counted = running_sums(numbered.where("open_quotes"), ["file"], "row_no", {"upto": quotes})
-    starts = counted.withColumn("starts", F.when((F.col("upto") - quotes) % 2 == 0, 1).otherwise(0))
-    named = running_sums(starts, ["file"], "row_no", {"record": F.col("starts")})
-    joined = named.groupBy("file", "encoding", "record").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row_no", "line"))), lambda x: x["line"]), "\n").alias("line"), (F.max("upto") % 2).alias("left_open"))
-    whole = F.when(F.col("left_open") == 1, F.raise_error(F.concat(F.lit("a quoted field is never closed in "), "file"))).otherwise(F.col("line"))
-    return plain.unionByName(joined.select("file", "encoding", F.col("record").alias("row_no"), whole.alias("line")))
+    work = with_chunk(lines, "row_no", rows).withColumn("quotes", _count(F.col("line"), F.lit('"')))
+    before = Window.partitionBy("file").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = work.groupBy("file", "_chunk").agg(F.sum("quotes").alias("n"))
+    base = cut_lineage(totals.select(
+        "file", "_chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), (F.sum("n").over(Window.partitionBy("file")) % 2 == 1).alias("left_open")))
+    inside = Window.partitionBy("file", "_chunk").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
+    counted = work.join(base, ["file", "_chunk"]).withColumn("upto", F.col("base") + F.sum("quotes").over(inside))
+    counted = counted.withColumn("nth", F.count_if((F.col("upto") - F.col("quotes")) % 2 == 0).over(inside))
+    text = lambda order: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "line"))), lambda x: x["line"]), "\n").alias("line")
+    pieces = cut_lineage(counted.groupBy("file", "encoding", "left_open", "_chunk", "nth").agg(text("row_no")))
+    starts = pieces.groupBy("file", "_chunk").agg(F.max("nth").alias("n"))
+    earlier = cut_lineage(starts.select("file", "_chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier")))
+    named = pieces.join(earlier, ["file", "_chunk"]).withColumn("row_no", F.col("earlier") + F.col("nth"))  # nth is 0 in what goes on with an earlier chunk's record
+    broken = cut_lineage(named.where("nth = 0").select("file", "row_no").distinct())
+    whole = named.join(broken, ["file", "row_no"], "left_anti").select("file", "encoding", "left_open", "row_no", "line")
+    mended = named.join(broken, ["file", "row_no"], "left_semi").groupBy("file", "encoding", "left_open", "row_no").agg(text("_chunk"))
+    closed = F.when(F.col("left_open"), F.raise_error(F.concat(F.lit("a quoted field is never closed in "), "file"))).otherwise(F.col("line"))
+    return whole.unionByName(mended).select("file", "encoding", "row_no", closed.alias("line"))
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(file, encoding, row_no, line) of all files below ``path``; ``file`` is the full path, the encoding that of the file."""
-    raw = _lines(spark, path).join(cut_lineage(line_facts(spark, path)), "file")
+    """(file, encoding, row_no, line) of all files below ``path``: numbered records, lines of one quoted field joined.
+
+    ``file`` is the full path, the encoding that of the file. Lines are written once, as their places hold for one reading of the files.
+    """
+    facts = cut_lineage(line_facts(spark, path))
+    raw = _lines(spark, path).join(facts, "file")
     text = F.when(F.col("encoding") == "UTF-8", F.col("raw")).otherwise(F.decode(F.col("raw").cast("binary"), "ISO-8859-1"))
-    return _records(raw.withColumn("line", F.regexp_replace(text, "^\ufeff", "")).drop("raw"))
+    numbered = _numbered(cut_lineage(raw.withColumn("line", F.regexp_replace(text, "^\ufeff", "")).drop("raw")))
+    plain = numbered.where("not open_quotes").select("file", "encoding", "row_no", "line")
+    if facts.where("open_quotes").isEmpty():
+        return plain
+    return plain.unionByName(_joined(numbered.where("open_quotes").drop("open_quotes")))
 
 
 def delimiter_scores(records: DataFrame, sample: int = SAMPLE_LINES) -> DataFrame:

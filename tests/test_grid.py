@@ -122,3 +122,17 @@ def test_blocks_count_changes_of_the_header(spark):
     audit = grid.recover(spark.createDataFrame([("f", "s", i + 1, list(r)) for i, r in enumerate(rows)], "file string, sheet string, row_no long, cells array<string>"))["audit"]
     got = audit.where("type = 'transacao'").groupBy("block", "head_row").count().orderBy("head_row").collect()
     assert [tuple(r) for r in got] == [(1, 1, 30), (1, 32, 30), (2, 63, 30)]
+
+
+def test_quoted_lines_are_joined_over_chunks(spark, tmp_path):
+    """Records run over the ends of chunks of any length; what is read is written records, and no line is moved for each use."""
+    text = 'a;b\n1;"x\n\ny"\n2;"p"\n3;"q\nr\ns\nt\nu\nv\nw"\n4;z\n5;"\n"\n'
+    lines = spark.createDataFrame([("f", "UTF-8", i + 1, x) for i, x in enumerate(text.split("\n")[:-1])], "file string, encoding string, row_no long, line string")
+    want = [(1, "a;b"), (2, '1;"x\n\ny"'), (3, '2;"p"'), (4, '3;"q\nr\ns\nt\nu\nv\nw"'), (5, "4;z"), (6, '5;"\n"')]
+    for rows in (1, 2, 3, 5, 100):
+        assert [(r["row_no"], r["line"]) for r in files._joined(lines, rows).orderBy("row_no").collect()] == want
+    (tmp_path / "a.csv").write_text(text)
+    (tmp_path / "b.csv").write_text("k;l\n7;8\n9;10\n")
+    found = files.read_records(spark, str(tmp_path))
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["file"][-5], r["row_no"], r["line"]) for r in found.collect()) == [("a", *w) for w in want] + [("b", 1, "k;l"), ("b", 2, "7;8"), ("b", 3, "9;10")]
