@@ -24,8 +24,8 @@ DETAIL_ROLES = {
 
 @once
 def sold(spark, d):
-    """The sales as one written table: the queries below read them many times over and join them once."""
-    return cut_lineage(sales(spark, d).select("Data", "Cliente_ID", "Cliente", "Produto_ID", "Produto", "Quantidade", "Faturamento", "Lucro"))
+    """The sales as one written table: the queries below read them many times over and join them once. Each file holds whole products."""
+    return cut_lineage(sales(spark, d, spread=True).select("Data", "Cliente_ID", "Cliente", "Produto_ID", "Produto", "Quantidade", "Faturamento", "Lucro"))
 
 
 @once
@@ -34,7 +34,7 @@ def detail(spark, d):
     from .star import tables
 
     t = tables(spark, d)
-    done = enrich.enrich(sold(spark, d), {n: t[n] for n in ("Avaliacoes", "Stock", "Devolucoes")})
+    done = enrich.enrich(sold(spark, d), {n: t[n] for n in ("Avaliacoes", "Stock", "Devolucoes")}, spread=True)
     return cut_lineage(insights.product_detail(done.frame, DETAIL_ROLES))
 
 

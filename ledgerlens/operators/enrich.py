@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,16 +64,20 @@ def _num(name: str) -> Column:
     return not_nan(_c(name).try_cast("double"))
 
 
-def only_known(data: DataFrame, column: str, base: DataFrame, base_column: str) -> DataFrame:
+def _sized(df: DataFrame, spread: bool) -> DataFrame:
+    return df.hint("merge") if spread else df
+
+
+def only_known(data: DataFrame, column: str, base: DataFrame, base_column: str, spread: bool = False) -> DataFrame:
     """Rows whose id occurs in the base; the base is reduced to its ids first."""
     ids = base.select(_c(base_column).alias("_known")).where("_known is not null").distinct()
-    return data.join(ids, _c(column) == F.col("_known"), "left_semi")
+    return data.join(_sized(ids, spread), _c(column) == F.col("_known"), "left_semi")
 
 
-def attach(base: DataFrame, per_key: DataFrame, base_column: str, key: str) -> DataFrame:
+def attach(base: DataFrame, per_key: DataFrame, base_column: str, key: str, spread: bool = False) -> DataFrame:
     """Left join of a per-key aggregate; unique by construction, so rows are preserved."""
     right = per_key.withColumnRenamed(key, "_key")
-    return base.join(right, _c(base_column) == F.col("_key"), "left").drop("_key")
+    return base.join(_sized(right, spread), _c(base_column) == F.col("_key"), "left").drop("_key")
 
 
 def rating_summary(ratings: DataFrame, product: str, rating: str) -> DataFrame:
@@ -122,15 +126,31 @@ def return_summary(returns: DataFrame, product: str, quantity: str | None, reaso
 
 @dataclass
 class Enriched:
+    """``products``: the base's products and quantities sold, which no module changes. ``spread``: see :func:`enrich`."""
     frame: DataFrame
     log: list[tuple[str, str, str | None]] = field(default_factory=list)
+    products: DataFrame | None = None
+    spread: bool = False
+
+    def per_product(self) -> DataFrame:
+        """(_p, _sold): every product of the base, with the quantity sold where the base has one; reduced once and written."""
+        if self.products is None:
+            sold = F.sum(_num(SOLD_QUANTITY)) if SOLD_QUANTITY in self.frame.columns else F.lit(None).cast("double")
+            self.products = cut_lineage(self.frame.where(_c(PRODUCT).isNotNull()).groupBy(_c(PRODUCT).alias("_p")).agg(sold.alias("_sold")))
+        return self.products
+
+    def known(self, per_key: DataFrame) -> DataFrame:
+        return only_known(per_key, "_p", self.per_product(), "_p", self.spread)
+
+    def then(self, frame: DataFrame, module: str, status: str, why: str | None) -> Enriched:
+        return replace(self, frame=frame, log=self.log + [(module, status, why)])
 
     def log_frame(self) -> DataFrame:
         return self.frame.sparkSession.createDataFrame(self.log, "modulo string, status string, motivo string")
 
 
 def _skip(state: Enriched, module: str, why: str) -> Enriched:
-    return Enriched(state.frame, state.log + [(module, "ignorado", why)])
+    return state.then(state.frame, module, "ignorado", why)
 
 
 def add_ratings(state: Enriched, tables: dict[str, DataFrame]) -> Enriched:
@@ -144,12 +164,11 @@ def add_ratings(state: Enriched, tables: dict[str, DataFrame]) -> Enriched:
     if PRODUCT not in base.columns:
         return _skip(state, module, NO_PRODUCT)
     usable = tables[name].where(_num(rating).isNotNull())
-    known = only_known(usable, product, base, PRODUCT)
-    if known.isEmpty():
+    per = cut_lineage(state.known(rating_summary(usable, product, rating)).withColumn("Avaliacao_Media", F.round("Avaliacao_Media", 2)))
+    if per.isEmpty():
         return _skip(state, module, NO_RATING)
-    per = cut_lineage(rating_summary(known, product, rating).withColumn("Avaliacao_Media", F.round("Avaliacao_Media", 2)))
-    out = attach(base, per, PRODUCT, "_p").withColumn("Quantidade_Avaliacoes", F.coalesce("Quantidade_Avaliacoes", F.lit(0)))
-    return Enriched(out, state.log + [(module, "sucesso", None)])
+    out = attach(base, per, PRODUCT, "_p", state.spread).withColumn("Quantidade_Avaliacoes", F.coalesce("Quantidade_Avaliacoes", F.lit(0)))
+    return state.then(out, module, "sucesso", None)
 
 
 def add_stock(state: Enriched, tables: dict[str, DataFrame], order: str | None = None) -> Enriched:
@@ -164,10 +183,9 @@ def add_stock(state: Enriched, tables: dict[str, DataFrame], order: str | None =
     if PRODUCT not in base.columns:
         return _skip(state, module, NO_PRODUCT)
     order = order if order in df.columns else None
-    per = stock_summary(only_known(df, product, base, PRODUCT), product, now, find_column(df, STOCK_MIN),
-                        find_column(df, STOCK_MAX), find_column(df, STOCK_LEAD), order)
-    per = cut_lineage(per)
-    return Enriched(attach(base, per, PRODUCT, "_p"), state.log + [(module, "sucesso", None)])
+    per = stock_summary(df, product, now, find_column(df, STOCK_MIN), find_column(df, STOCK_MAX), find_column(df, STOCK_LEAD), order)
+    per = cut_lineage(state.known(per))
+    return state.then(attach(base, per, PRODUCT, "_p", state.spread), module, "sucesso", None)
 
 
 def add_returns(state: Enriched, tables: dict[str, DataFrame]) -> Enriched:
@@ -181,33 +199,33 @@ def add_returns(state: Enriched, tables: dict[str, DataFrame]) -> Enriched:
         return _skip(state, module, NO_COLUMNS[module])
     if PRODUCT not in base.columns:
         return _skip(state, module, NO_PRODUCT)
-    per = return_summary(only_known(df, product, base, PRODUCT), product, find_column(df, RETURN_QUANTITY), find_column(df, RETURN_REASON))
+    per = state.known(return_summary(df, product, find_column(df, RETURN_QUANTITY), find_column(df, RETURN_REASON)))
     if SOLD_QUANTITY in base.columns:
         # The rate needs the sold quantity of the product: one small aggregate
         # joined together with the returns instead of a window over all rows.
-        sold = base.where(_c(PRODUCT).isNotNull()).groupBy(_c(PRODUCT).alias("_p")).agg(F.sum(_num(SOLD_QUANTITY)).alias("_sold"))
-        per = sold.join(per, "_p", "left")
+        per = state.per_product().join(_sized(per, state.spread), "_p", "left")
     per = cut_lineage(per)
-    out = attach(base, per, PRODUCT, "_p").withColumn(
+    out = attach(base, per, PRODUCT, "_p", state.spread).withColumn(
         "Quantidade_Devolvida", F.coalesce("Quantidade_Devolvida", F.lit(0.0))
     ).withColumn("Numero_Devolucoes", F.coalesce("Numero_Devolucoes", F.lit(0)))
     if SOLD_QUANTITY in base.columns:
         rate = F.when(F.col("_sold") > 0, F.col("Quantidade_Devolvida") / F.col("_sold") * 100).otherwise(0.0)
         out = out.withColumn("Taxa_Devolucao", F.round(rate, 2)).drop("_sold")
-    return Enriched(out, state.log + [(module, "sucesso", None)])
+    return state.then(out, module, "sucesso", None)
 
 
-def enrich(base: DataFrame, tables: dict[str, DataFrame], stock_order: str | None = None) -> Enriched:
+def enrich(base: DataFrame, tables: dict[str, DataFrame], stock_order: str | None = None, spread: bool = False) -> Enriched:
     """All three modules; a module that cannot run is logged and leaves the rest alone.
 
     Each module's values per product are written before they join the chain, so that an error in the side table's data
-    shows there and not when the enriched frame is read.
+    shows there and not when the enriched frame is read. Where products are so many that they shouldn't pass through the
+    driver, ``spread`` joins them by shuffles; a written table of short rows may look small enough to be broadcast.
     """
-    state = Enriched(base)
+    state = Enriched(base, spread=spread)
     steps = (("avaliacoes", add_ratings), ("stock", lambda s, t: add_stock(s, t, stock_order)), ("devolucoes", add_returns))
     for module, step in steps:
         try:
             state = step(state, tables)
         except Exception as error:  # a broken side table must not stop the others
-            state = Enriched(state.frame, state.log + [(module, "erro", str(error))])
+            state = state.then(state.frame, module, "erro", str(error))
     return state

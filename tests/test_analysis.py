@@ -113,3 +113,22 @@ def test_insight_queries_join_the_sales_once(spark, tmp_path):
     assert "Join" not in sold._jdf.queryExecution().optimizedPlan().toString() and sold is queries.sold(spark, str(tmp_path))
     detail = queries.detail(spark, str(tmp_path)).first()
     assert (detail["entity"], detail["quantidade"], detail["faturamento"], detail["lucro"]) == (1, 3.0, 10.0, 4.0)
+
+
+def test_many_products_are_not_broadcast(spark):
+    """Where products grow with the sales their values are joined by shuffles, as are the sales' own tables; the results are those of the planner's choice."""
+    from checks.common import sales
+    from ledgerlens.operators import enrich
+
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    base = spark.createDataFrame([(i % 4 if i % 9 else None, float(i)) for i in range(40)], "Produto_ID long, Quantidade double")
+    tables = {"Avaliacoes": spark.createDataFrame([(0, 4.0), (0, 5.0), (1, None), (9, 1.0), (None, 2.0)], "Produto_ID long, Nota double"),
+              "Stock": spark.createDataFrame([(1, 5.0, 10.0), (1, 7.0, 10.0), (9, 1.0, 2.0)], "Produto_ID long, `Estoque Atual` double, `Estoque Minimo` double"),
+              "Devolucoes": spark.createDataFrame([(2, 3.0, "x"), (2, 1.0, "y"), (2, 1.0, "y"), (9, 1.0, "z")], "Produto_ID long, Quantidade double, Motivo string")}
+    wide, usual = enrich.enrich(base, tables, spread=True), enrich.enrich(base, tables)
+    assert "Broadcast" not in plan(wide.frame) and [x[1] for x in wide.log] == ["sucesso"] * 3 == [x[1] for x in usual.log]
+    rows = lambda e: sorted(map(str, e.frame.collect()))
+    assert rows(wide) == rows(usual) and wide.per_product().count() == 4
+    none = enrich.enrich(base, {"Avaliacoes": tables["Avaliacoes"].where("Produto_ID = 9")}, spread=True)
+    assert none.log[0] == ("avaliacoes", "ignorado", enrich.NO_RATING)
+    assert plan(sales(spark, str(DIR), spread=True)).count("SortMergeJoin") == 3
