@@ -136,3 +136,16 @@ def test_quoted_lines_are_joined_over_chunks(spark, tmp_path):
     found = files.read_records(spark, str(tmp_path))
     assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r["file"][-5], r["row_no"], r["line"]) for r in found.collect()) == [("a", *w) for w in want] + [("b", 1, "k;l"), ("b", 2, "7;8"), ("b", 3, "9;10")]
+
+
+def test_numbers_of_a_column_are_read_once(spark):
+    """Counting numbers and amounts of money reads each cell once; both counts are those of the rules."""
+    cells = ["R$ 1.00", "(5)", " (7.5) ", "1.000,5", "1,5", "12", "US$", "R$ x", "(x)", None, " ", "01/02/2020", "5%", "1.234"]
+    g = spark.createDataFrame([("f", "s", 1, i, [c]) for i, c in enumerate(cells, 1)], "file string, sheet string, table_no int, row_no long, cells array<string>")
+    facts = grid.column_facts(g)
+    reads = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count(r"^[+-]?\d+$")
+    assert reads(facts) == reads(facts.select("numbers"))
+    f = facts.first()
+    assert (f["filled"], f["numbers"], f["money"], f["marks"]) == (12, 6, 4, 1)
+    rows = {r["row_no"]: r["money"] for r in grid.described_rows(g.drop("table_no")).select("row_no", "money").collect()}
+    assert [i for i, m in sorted(rows.items()) if m] == [1, 2, 3, 4]
