@@ -4,7 +4,8 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.ordered import with_chunk
+from ledgerlens.functions import cells as cl
+from ledgerlens.functions.ordered import last_known, with_chunk
 from ledgerlens.operators import grid
 from ledgerlens.operators.headers import top_header
 from ledgerlens.sources import files, sinks, snapshots
@@ -149,3 +150,37 @@ def test_numbers_of_a_column_are_read_once(spark):
     assert (f["filled"], f["numbers"], f["money"], f["marks"]) == (12, 6, 4, 1)
     rows = {r["row_no"]: r["money"] for r in grid.described_rows(g.drop("table_no")).select("row_no", "money").collect()}
     assert [i for i, m in sorted(rows.items()) if m] == [1, 2, 3, 4]
+
+
+def test_one_scan_for_values_before_and_at_a_row(spark):
+    """What counts strictly before a row and what counts at it too come from one scan of the rows, over chunks of any length."""
+    v = [None, 1, None, 0, None, None, 1, None]
+    df = spark.createDataFrame([("f", i, x) for i, x in enumerate(v)], "k string, o int, v int")
+    for rows in (2, 3, 100):
+        got = last_known(df, ["k"], "o", {"b": F.col("v"), "l": F.col("v")}, rows=rows, before=("b",))
+        assert [r["l"] for r in got.orderBy("o").collect()] == [None, 1, 1, 0, 0, 0, 1, 1]
+        assert [r["b"] for r in got.orderBy("o").collect()] == [None, None, 1, 1, 0, 0, 0, 1]
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("Window [last(_v_") == 1
+
+
+def test_kinds_tell_the_numbers_of_a_column(spark):
+    """Records bring the kinds of their cells, so that no cell is read again; the counts are those of reading it."""
+    cells = ["R$ 1.00", "(5)", "1.000,5", "12", "US$", "R$ x", None, " ", "01/02/2020", "5%", "1.234", "=A1/2"]
+    g = spark.createDataFrame([("f", "s", 1, i, [c]) for i, c in enumerate(cells, 1)], "file string, sheet string, table_no int, row_no long, cells array<string>")
+    told = grid.column_facts(g.withColumn("sig", F.transform("cells", cl.cell_kind)))
+    assert told.first() == grid.column_facts(g).first()
+    gone = g.withColumn("sig", F.transform("cells", cl.cell_kind)).withColumn("cells", F.when(F.col("row_no") != 4, F.col("cells")).otherwise(F.array(F.lit(None).cast("string"))))
+    assert (told.first()["numbers"], grid.column_facts(gone).first()["numbers"]) == (4, 3)
+    held = g.withColumn("sig", F.array(F.lit("N")))
+    assert r"^[+-]?\d+$" not in grid.column_facts(held)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_plain_numbers_and_dates_are_told_by_one_pattern(spark):
+    """Cells of the common forms are read as the others are; days that a month lacks, blanks and line ends around them included."""
+    want = {"12": ("N", 12.0), "R$ 1.50": ("N", 1.5), "US$5": ("N", 5.0), "€ 7.": ("N", 7.0), "R$  3": ("N", 3.0), " 4 ": ("N", 4.0), "-4": ("N", -4.0), "1.234": ("T", None),
+            "R$ 1.2345": ("N", 1.2345), "UR$S$5": ("T", None), "12\u2028": ("T", None), "29/02/2020": ("D", None), "29/02/2021": ("T", None), "28/02/2021": ("D", None), "2020-02-30": ("T", None),
+            "2020-12-28": ("D", None), "1/13/2020": ("T", None), "31/1/2020": ("D", None), "12%": ("P", None), "$": ("$", None), "": ("_", None)}
+    df = spark.createDataFrame([(c,) for c in want], "c string")
+    assert {r["c"]: (r["k"], r["n"]) for r in df.select("c", cl.cell_kind(F.col("c")).alias("k"), cl.parse_number(F.col("c")).alias("n")).collect()} == want
+    plan = df.select(cl.is_date(F.col("c")), cl.parse_number(F.col("c")))._jdf.queryExecution().optimizedPlan().toString()
+    assert cl._SIMPLE in plan and cl._SLASH_DAY in plan
