@@ -116,20 +116,20 @@ def series_of(months: DataFrame, metrics: list[str]) -> DataFrame:
 def matched_pairs(months: DataFrame, metrics: list[str]) -> DataFrame:
     """(entity, metric, before, after) for entities seen in two adjacent months."""
     w = Window.partitionBy("entity").orderBy("ord")
+    whole = Window.partitionBy("entity")
 
     def magnitude(m: str) -> Column:
         size = F.abs(F.col(f"s_{m}"))
-        return F.coalesce(F.median(F.when(size > 0, size)), F.lit(0.0)).alias(f"ref_{m}")
+        return F.coalesce(F.median(F.when(size > 0, size)).over(whole), F.lit(0.0)).alias(f"ref_{m}")
 
-    # an entity's magnitude is the same in all its rows: once per entity, joined on the partitioning of the window
+    # an entity's magnitude comes from the rows that are shuffled for the steps anyway
     seen = months.where(F.col("entity").isNotNull() & F.col("ord").isNotNull())
-    references = seen.groupBy("entity").agg(*[magnitude(m) for m in metrics])
     stepped = seen.select(
         "entity", "label", "identity_source", "ord", "records", F.lead("ord").over(w).alias("next_ord"),
-        F.lead("records").over(w).alias("records_b"),
+        F.lead("records").over(w).alias("records_b"), *[magnitude(m) for m in metrics],
         *[F.col(f"s_{m}").alias(f"a_{m}") for m in metrics], *[F.col(f"n_{m}").alias(f"va_{m}") for m in metrics],
         *[F.lead(f"s_{m}").over(w).alias(f"b_{m}") for m in metrics], *[F.lead(f"n_{m}").over(w).alias(f"vb_{m}") for m in metrics],
-    ).where(F.col("next_ord") == F.col("ord") + 1).join(references, "entity")
+    ).where(F.col("next_ord") == F.col("ord") + 1)
     return stepped.select(
         "entity", "label", "identity_source", F.col("ord").alias("ord_before"),
         F.col("records").alias("records_before"), F.col("records_b").alias("records_after"),

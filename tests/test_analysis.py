@@ -1,5 +1,7 @@
 """The whole analysis, and the registered queries against their SQL."""
 
+import re
+import time
 from datetime import datetime
 
 import pytest
@@ -132,3 +134,76 @@ def test_many_products_are_not_broadcast(spark):
     none = enrich.enrich(base, {"Avaliacoes": tables["Avaliacoes"].where("Produto_ID = 9")}, spread=True)
     assert none.log[0] == ("avaliacoes", "ignorado", enrich.NO_RATING)
     assert plan(sales(spark, str(DIR), spread=True)).count("SortMergeJoin") == 3
+
+
+def test_findings_join_the_sales_once(spark, tmp_path, monkeypatch):
+    """All rules read one written table of sales, whose rows are those of the join: keys that repeat, miss or are null included."""
+    import __spark_entry__ as entry
+    from checks import evolution
+    from checks.common import sales
+    from ledgerlens.operators import findings
+
+    d = str(tmp_path)
+    at = lambda m: datetime(2020 + m // 12, m % 12 + 1, 5)
+    orders = [(m * 10 + k, k % 3, at(m)) for m in range(14) for k in range(6)] + [(900, None, at(3)), (901, 7, at(4)), (902, 1, None), (20, 0, at(2)), (None, 1, at(5))]
+    lines = [(o, (o + n) % 4, 1.0 + n, 100.0 * (1 + 2 * (o // 10 % 2)) + o, 0.05 * n) for o, _, _ in orders if o is not None for n in range(2)]
+    lines += [(11, None, 1.0, 50.0, 0.0), (11, 8, 1.0, 50.0, 0.0), (None, 1, 1.0, 50.0, 0.0), (12, 1, None, 50.0, 0.0), (13, 1, 1.0, None, 0.0), (13, 5, 1.0, 50.0, 0.0), lines[0]]
+    rows = {
+        "region": ([(0, "R")], "r_regionkey int, r_name string"), "nation": ([(0, "N", 0), (1, "X", 9)], "n_nationkey int, n_name string, n_regionkey int"),
+        "customer": ([(0, "A", 0), (1, "B", 0), (2, None, 0), (2, None, 0), (7, "G", 1), (None, "H", 0)], "c_custkey long, c_name string, c_nationkey int"),
+        "part": ([(0, "p", "t", 2.0), (1, "q", "t", 30.0), (1, "q", "t", 30.0), (2, "r", "u", 6.0), (3, "s", "u", 4.0), (5, "v", "u", None)], "p_partkey long, p_name string, p_type string, p_retailprice double"),
+        "orders": (orders, "o_orderkey long, o_custkey long, o_orderdate timestamp"),
+        "lineitem": (lines, "l_orderkey long, l_partkey long, l_quantity double, l_extendedprice double, l_discount double")}
+    for name, (data, schema) in rows.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{d}/{name}.parquet")
+    kept = ("id", "priority", "impact", "confidence")
+    rows_of = lambda df: [tuple(r) for r in df.select(*kept).collect()]
+    apart = findings.all_findings(
+        findings.concentration_finding(evolution.stats(spark, d), "faturamento", True), findings.negative_findings(evolution.stats(spark, d), "customers"),
+        findings.negative_findings(evolution.record_stats(spark, d), "records"), evolution.found_temporal(spark, d), evolution.found_entities(spark, d))
+    want = rows_of(findings.ordered_findings(apart))
+    months = set(rows_of(apart.where("scope = 'temporal'")))
+    joined = []
+    monkeypatch.setattr(evolution, "sales", lambda *a, **b: joined.append(b) or sales(*a, **b))
+    assert rows_of(entry.queries()["findings_page"](spark, d)) == [r for r in want if r in months][10:20] and len(months) >= 20
+    assert rows_of(entry.queries()["all_findings"](spark, d)) == want and len(joined) == 1
+    written, columns = evolution.sold(spark, d), ["Data", "Cliente_ID", "Cliente", "Faturamento", "Custo", "Lucro", "Margem_Bruta"]
+    assert "Join" not in written._jdf.queryExecution().optimizedPlan().toString()
+    listed = lambda df: sorted(map(str, df.select(*columns).collect()))
+    assert listed(written) == listed(sales(spark, d))
+
+
+def test_lines_are_shuffled_without_texts(spark):
+    """Parts are joined first and by a shuffle; of a line only its order, net and cost go on to the orders."""
+    from checks.common import sales
+
+    plan = sales(spark, DIR, parts_first=True).select("Data", "Cliente_ID", "Cliente", "Lucro")._jdf.queryExecution()
+    assert plan.sparkPlan().toString().count("SortMergeJoin") == 3
+    bare = re.sub(r"#\d+L?", "", plan.optimizedPlan().toString())
+    assert "Project [l_orderkey, _net, (l_quantity * p_retailprice) AS _cost]\n   :  +- Join Inner, (l_partkey = p_partkey)" in bare
+
+
+def test_pairs_of_months_take_one_shuffle(spark):
+    """Steps and usual size of an entity come from the same rows; the size is the median of all its months, those without a successor too."""
+    from ledgerlens.operators import evolution
+
+    months = spark.createDataFrame([(1, "A", "t", o, 2, v, 2) for o, v in [(10, 5.0), (11, -7.0), (13, 0.0), (20, 100.0)]] + [(2, "B", "t", 10, 1, None, 0), (2, "B", "t", 11, 1, 3.0, 1), (None, None, "t", 10, 1, 4.0, 1)],
+                                   "entity long, label string, identity_source string, ord int, records long, s_faturamento double, n_faturamento long")
+    pairs = evolution.matched_pairs(months, ["faturamento"])
+    assert pairs._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted((r["entity"], r["ord_before"], r["a"], r["b"], r["ref"]) for r in pairs.collect()) == [(1, 10, 5.0, -7.0, 7.0), (2, 10, None, 3.0, 3.0)]
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    from ledgerlens import session
+
+    def files():
+        return set(re.findall(r"shuffle_\d+_\d+_\d+\.data", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")))
+
+    before, setting = files(), spark.conf.get(session.FREES_SHUFFLES, None)
+    written = session.cut_lineage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    until = time.time() + 10
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before
+    assert spark.conf.get(session.FREES_SHUFFLES, None) == setting and written.count() == written.count() == 7
